@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing
 
 
 def queries() -> dict:
-    return {"op9_source_mixing": mixing.query}
+    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query}
 
 
 def oracle_sql() -> dict:

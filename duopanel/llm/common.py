@@ -144,3 +144,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path in it) of a folder or file that all executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def attempt() -> str:
+    """A name that no other run of the same task uses."""
+    return uuid.uuid4().hex[:12]

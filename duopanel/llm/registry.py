@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, token_files
 
 
 def queries() -> dict:
-    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query}
+    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query}
 
 
 def oracle_sql() -> dict:

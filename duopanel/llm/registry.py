@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, token_files
+from . import media, mixing, packing, token_files, warc
 
 
 def queries() -> dict:
-    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query}
+    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query, "op7_best_fit_packing": packing.query, "op4_warc_index": warc.query}
 
 
 def oracle_sql() -> dict:
-    return {"op9_source_mixing": mixing.SQL}
+    return {"op9_source_mixing": mixing.SQL, "op4_warc_index": warc.SQL}

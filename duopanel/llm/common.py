@@ -124,10 +124,10 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the first word of each row (n + 1)."""
+def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not in ``between``, and the first run of each row (n + 1)."""
     inside = np.zeros(len(buf) + 1, bool)
-    np.logical_not(IS_SPACE[buf], out=inside[:-1])
+    np.logical_not(between[buf], out=inside[:-1])
     begins = inside[:-1].copy()
     begins[1:] &= ~inside[:-2]
     cuts = offs[(offs > 0) & (offs < len(buf))]  # a word never runs on into the next row

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, token_files, warc
+from . import fingerprints, media, mixing, packing, token_files, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query, "op7_best_fit_packing": packing.query, "op3_fingerprints": fingerprints.query, "op4_warc_index": warc.query}
+    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query, "op7_best_fit_packing": packing.query, "op2_toxicity": toxicity.query, "op3_fingerprints": fingerprints.query, "op4_warc_index": warc.query}
 
 
 def oracle_sql() -> dict:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, lm_scoring, media, mixing, packing, token_files, toxicity, warc
+from . import fingerprints, jaccard_join, lm_scoring, media, mixing, packing, suffix_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query, "op7_best_fit_packing": packing.query, "op5_ppm_scoring": lm_scoring.query, "op8_jaccard_join": jaccard_join.query, "op2_toxicity": toxicity.query, "op3_fingerprints": fingerprints.query, "op4_warc_index": warc.query}
+    return {"op6_media_columns": media.query, "op9_source_mixing": mixing.query, "op10_token_files": token_files.query, "op7_best_fit_packing": packing.query, "op5_ppm_scoring": lm_scoring.query, "op8_jaccard_join": jaccard_join.query, "op1_suffix_dedup": suffix_dedup.query, "op2_toxicity": toxicity.query, "op3_fingerprints": fingerprints.query, "op4_warc_index": warc.query}
 
 
 def oracle_sql() -> dict:

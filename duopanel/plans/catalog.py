@@ -1,21 +1,394 @@
-"""The registered panel queries and their SQL counterparts."""
+"""The registered panel queries and their SQL counterparts.
+
+Panels over the driver's tables: P1 orders as workers and suppliers as firms; P3 parts as workers;
+P4 nations as firms; P5 customers by ship date; P6 events. Doubles are rounded on both sides, and ids decide ties.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blm, cre, fe, graph, moments, panel, sorkin
+
+R = panel.round_to
+
+
+# Panels
+
+
+def p1(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return x.select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_linenumber").cast("long").alias("t"), F.log("l_extendedprice").alias("y"))
+
+
+def p3(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return x.select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("t"), F.log("l_extendedprice").alias("y"))
+
+
+def p4(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("j"), F.col("s_nationkey").cast("long").alias("n"))
+    return p1(spark, d).join(s, "j").select("i", F.col("n").alias("j"), "t", "y")
+
+
+def p6(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/events.parquet")
+    return x.select(F.col("user_id").alias("i"), F.col("event_type").alias("j"), F.col("event_id").alias("t"), F.col("value").alias("y"))
+
+
+P1 = "p AS (SELECT l_orderkey AS i, l_suppkey AS j, CAST(l_linenumber AS BIGINT) AS t, ln(l_extendedprice) AS y FROM lineitem)"
+P3 = "p AS (SELECT l_partkey AS i, l_suppkey AS j, l_orderkey * 8 + l_linenumber AS t, ln(l_extendedprice) AS y FROM lineitem)"
+P4 = "p AS (SELECT l_orderkey AS i, CAST(s_nationkey AS BIGINT) AS j, CAST(l_linenumber AS BIGINT) AS t, ln(l_extendedprice) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
+P6 = "p AS (SELECT user_id AS i, event_type AS j, event_id AS t, value AS y FROM events)"
+ONE = "d AS (SELECT i, j, t, y FROM (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY y DESC, j) AS k FROM p) WHERE k = 1)"
+SPELL = (
+    "sp AS (SELECT i, j, t, y, sum(mv) OVER (PARTITION BY i ORDER BY t) AS spell FROM (SELECT *, CASE WHEN j IS NOT DISTINCT FROM lag(j) OVER (PARTITION BY i ORDER BY t) THEN 0 ELSE 1 END AS mv FROM d))"
+)
+FIRST_LAST = "fl AS (SELECT *, min(spell) OVER (PARTITION BY i, j) AS f, max(spell) OVER (PARTITION BY i, j) AS l FROM sp)"
+EVENTS = (
+    "f AS (SELECT *, CASE WHEN min(j) OVER (PARTITION BY i) <> max(j) OVER (PARTITION BY i) THEN 1 ELSE 0 END AS m FROM d),"
+    "es AS (SELECT * FROM (SELECT i, m, j AS j1, t AS t1, y AS y1, lead(j) OVER w AS j2, lead(t) OVER w AS t2, lead(y) OVER w AS y2 FROM f WINDOW w AS (PARTITION BY i ORDER BY t)) WHERE m = 1 AND j2 IS NOT NULL"
+    " UNION ALL SELECT i, m, j, t, y, j, t, y FROM f WHERE m = 0)"
+)
+rnd = lambda x, n=6: f"round({x}, {n}) + 0.0"
+
+
+def one(spark: SparkSession, d: str, source=p1) -> DataFrame:
+    return panel.dedupe_period(panel.drop_missing(source(spark, d)))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[R(F.col(c), digits).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
+
+
+def classes(spark: SparkSession, d: str, n: int = 4) -> DataFrame:
+    """P1 without repeated periods, with firm classes g by mean outcome."""
+    return moments.quantile_classes(one(spark, d), n).select("i", "j", "t", "y", F.col("g").cast("long").alias("g"))
+
+
+CLASSES = "fm AS (SELECT j, avg(y) AS a FROM d GROUP BY j), cl AS (SELECT j, CAST(ntile(4) OVER (ORDER BY a, j) - 1 AS BIGINT) AS g FROM fm), dg AS (SELECT d.*, g FROM d JOIN cl USING (j))"
+CLASS_EVENTS = EVENTS.replace("FROM d)", "FROM dg)").replace("y AS y1,", "y AS y1, g AS g1, lead(g) OVER w AS g2,").replace("SELECT i, m, j, t, y, j, t, y FROM f", "SELECT i, m, j, t, y, g, g, j, t, y FROM f")
+
+_found: dict = {}
+_sql: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _found[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+# Cleaning and reshaping
+
+
+@query("clean_best_paid", f"WITH {P1}, {ONE} SELECT i, j, t, {rnd('y')} AS y FROM d")
+def _(s, d):
+    return rounded(one(s, d))
+
+
+@query("clean_mean_then_best", f"WITH {P1}, a AS (SELECT i, j, t, avg(y) AS y FROM p GROUP BY 1, 2, 3) SELECT i, j, t, {rnd('y')} AS y FROM (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY y DESC, j) AS k FROM a) WHERE k = 1")
+def _(s, d):
+    return rounded(panel.dedupe_period(p1(s, d), "mean"))
+
+
+@query("spell_numbers", f"WITH {P4}, {ONE}, {SPELL} SELECT i, j, t, CAST(spell AS BIGINT) AS spell FROM sp")
+def _(s, d):
+    return panel.spells(one(s, d, p4)).select("i", "j", "t", F.col("spell").cast("long").alias("spell"))
+
+
+def _returns(how, where):
+    @query(f"returns_{how}", f"WITH {P4}, {ONE}, {SPELL}, {FIRST_LAST} SELECT i, j, t, {rnd('y')} AS y FROM {where}")
+    def _(s, d):
+        return rounded(panel.drop_returns(one(s, d, p4), how))
+
+
+_returns("keep_first_returns", "fl WHERE spell = f")
+_returns("keep_last_returns", "fl WHERE spell = l")
+_returns("returners", "(SELECT *, max(CASE WHEN f <> l THEN 1 ELSE 0 END) OVER (PARTITION BY i) AS e FROM fl) WHERE e = 0")
+
+
+@query("collapse_spells", f"WITH {P4}, {ONE}, {SPELL} SELECT i, j, {rnd('avg(y)')} AS y, min(t) AS t1, max(t) AS t2, count(*) AS w FROM sp GROUP BY i, j, spell")
+def _(s, d):
+    return rounded(panel.collapse(one(s, d, p4), "spell"))
+
+
+@query("collapse_matches", f"WITH {P4}, {ONE} SELECT i, j, {rnd('avg(y)')} AS y, min(t) AS t1, max(t) AS t2, count(*) AS w FROM d GROUP BY i, j")
+def _(s, d):
+    return rounded(panel.collapse(one(s, d, p4), "match"))
+
+
+@query("movers", f"WITH {P1}, {ONE} SELECT i, j, t FROM d WHERE i IN (SELECT i FROM d GROUP BY i HAVING min(j) <> max(j))")
+def _(s, d):
+    return panel.movers(one(s, d)).select("i", "j", "t")
+
+
+@query("stayers", f"WITH {P1}, {ONE} SELECT i, j, t FROM d WHERE i IN (SELECT i FROM d GROUP BY i HAVING min(j) = max(j))")
+def _(s, d):
+    return panel.stayers(one(s, d)).select("i", "j", "t")
+
+
+@query("drop_single_stayers", f"WITH {P1}, {ONE} SELECT i, j, t FROM d WHERE i IN (SELECT i FROM d GROUP BY i HAVING min(j) <> max(j) OR count(*) > 1)")
+def _(s, d):
+    return panel.drop_single_stayers(one(s, d)).select("i", "j", "t")
+
+
+@query("artificial_time", f"WITH {P3} SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j, y, t) AS t2, t FROM p")
+def _(s, d):
+    x = p3(s, d).withColumnRenamed("t", "t0")
+    return panel.artificial_time(x, ("j", "y", "t0")).select("i", "j", F.col("t").cast("long").alias("t2"), F.col("t0").alias("t"))
+
+
+@query("contiguous_firms", f"WITH {P1} SELECT DISTINCT j AS original, CAST(dense_rank() OVER (ORDER BY j) - 1 AS BIGINT) AS j FROM (SELECT DISTINCT j FROM p)")
+def _(s, d):
+    return panel.contiguous_ids(p1(s, d), "j")[1].select("original", "j")
+
+
+@query("event_study", f"WITH {P1}, {ONE}, {EVENTS} SELECT i, CAST(m AS BIGINT) AS m, j1, j2, t1, t2, {rnd('y1')} AS y1, {rnd('y2')} AS y2 FROM es")
+def _(s, d):
+    return rounded(panel.event_study(one(s, d))).select("i", "m", "j1", "j2", "t1", "t2", "y1", "y2")
+
+
+@query("event_study_to_long", f"WITH {P1}, {ONE} SELECT i, j, t, {rnd('y')} AS y FROM d")
+def _(s, d):
+    return rounded(panel.to_long(panel.event_study(one(s, d)))).select("i", "j", "t", "y")
+
+
+@query("permuted_event_study", f"WITH {P1}, {ONE}, {EVENTS} SELECT i, CASE WHEN y1 > y2 THEN j2 ELSE j1 END AS j1, CASE WHEN y1 > y2 THEN j1 ELSE j2 END AS j2, {rnd('least(y1, y2)')} AS y1, {rnd('greatest(y1, y2)')} AS y2 FROM es")
+def _(s, d):
+    return rounded(panel.permuted_event_study(panel.event_study(one(s, d)))).select("i", "j1", "j2", "y1", "y2")
+
+
+@query(
+    "extended_event_study",
+    f"WITH {P6} SELECT * FROM (SELECT i, t AS t1, j AS j1, lead(j) OVER w AS j2, lead(j, 2) OVER w AS j3, lead(j, 3) OVER w AS j4, {rnd('y')} AS y1, {rnd('lead(y) OVER w')} AS y2, {rnd('lead(y, 2) OVER w')} AS y3, {rnd('lead(y, 3) OVER w')} AS y4 FROM p WINDOW w AS (PARTITION BY i ORDER BY t)) WHERE j1 = j2 AND j2 <> j3 AND j3 = j4",
+)
+def _(s, d):
+    return rounded(panel.extended_event_study(p6(s, d)))
+
+
+@query("cross_section", f"WITH {P1}, {ONE}, {EVENTS} SELECT i, j1, t1, CAST(row_number() OVER (PARTITION BY i ORDER BY t1, j1, j2) = 1 AS BIGINT) AS cs FROM es")
+def _(s, d):
+    return panel.cross_section(panel.event_study(one(s, d))).select("i", "j1", "t1", F.col("cs").cast("long").alias("cs"))
+
+
+@query(
+    "keep_large_firms",
+    f"WITH {P1}, big AS (SELECT j FROM p GROUP BY j HAVING count(*) > (SELECT count(*) / count(DISTINCT j) FROM p)) SELECT i, j, t FROM p WHERE j IN (SELECT j FROM big)",
+)
+def _(s, d):
+    x = p1(s, d)
+    mean = x.agg((F.count(F.lit(1)) / F.countDistinct("j")).alias("mean"))
+    big = x.groupBy("j").count().crossJoin(F.broadcast(mean)).where("count > mean")
+    return panel.keep_ids(x, big, "j").select("i", "j", "t")
+
+
+# Moments
+
+
+@query("panel_counts", f"WITH {P1}, {ONE}, w AS (SELECT i, count(*) AS n, CASE WHEN min(j) <> max(j) THEN 1 ELSE 0 END AS m FROM d GROUP BY i) SELECT CAST(sum(n) AS BIGINT) AS n_obs, count(*) AS n_workers, CAST(sum(m) AS BIGINT) AS n_movers, CAST(sum(1 - m) AS BIGINT) AS n_stayers, (SELECT count(DISTINCT j) FROM d) AS n_firms FROM w")
+def _(s, d):
+    return moments.panel_counts(one(s, d))
+
+
+@query(
+    "firm_stats",
+    f"WITH {P1}, {ONE}, f AS (SELECT *, CASE WHEN min(j) OVER (PARTITION BY i) <> max(j) OVER (PARTITION BY i) THEN i END AS mi FROM d) SELECT j, count(*) AS n_obs, count(DISTINCT i) AS n_workers, count(DISTINCT mi) AS n_movers, {rnd('avg(y)')} AS mean_y, {rnd('var_pop(y)')} AS var_y FROM f GROUP BY j",
+)
+def _(s, d):
+    return rounded(moments.firm_stats(one(s, d)))
+
+
+@query("between_firm_variance", f"WITH {P1}, {ONE}, f AS (SELECT count(*) AS n, avg(y) AS m FROM d GROUP BY j), a AS (SELECT sum(n * m) / sum(n) AS mm FROM f) SELECT {rnd('(SELECT var_pop(y) FROM d)')} AS var_y, {rnd('sum(n * (m - mm) ** 2) / sum(n)')} AS between_firm_var FROM f, a")
+def _(s, d):
+    return rounded(moments.between_firm_variance(one(s, d)))
+
+
+@query(
+    "weighted_moments",
+    f"WITH x AS (SELECT ln(l_extendedprice) AS a, l_discount AS b, l_quantity AS w FROM lineitem), m AS (SELECT sum(a * w) / sum(w) AS ma, sum(b * w) / sum(w) AS mb FROM x) SELECT {rnd('sum(w * (a - ma) ** 2) / sum(w)')} AS var, {rnd('sum(w * (a - ma) * (b - mb)) / sum(w)')} AS cov FROM x, m",
+)
+def _(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.log("l_extendedprice").alias("a"), F.col("l_discount").alias("b"), F.col("l_quantity").alias("w"))
+    v = moments.weighted_var(x, F.col("a"), F.col("w")).select("var")
+    return rounded(v.crossJoin(moments.weighted_cov(x, F.col("a"), F.col("b"), F.col("w"), F.col("w"))))
+
+
+@query(
+    "firm_size_quantiles",
+    f"WITH {P1}, {ONE}, f AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM d GROUP BY j), g AS (SELECT v, sum(v) AS w FROM f GROUP BY v), c AS (SELECT v, (sum(w) OVER (ORDER BY v) - w / 2) / sum(w) OVER () AS c FROM g), n AS (SELECT v, c, lead(v) OVER (ORDER BY v) AS v2, lead(c) OVER (ORDER BY v) AS c2, row_number() OVER (ORDER BY v) AS k FROM c), q AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]::DOUBLE[]) AS q)"
+    f" SELECT q, {rnd('CASE WHEN q <= c OR c2 IS NULL THEN v ELSE v + (q - c) / (c2 - c) * (v2 - v) END')} AS value FROM n JOIN q ON (k = 1 AND q <= c) OR (q > c AND (c2 IS NULL OR q <= c2))",
+)
+def _(s, d):
+    f = one(s, d).groupBy("j").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return rounded(moments.weighted_quantiles(f, "v", "v", [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
+
+
+@query("mobility_matrix", f"WITH {P4}, {ONE}, {EVENTS} SELECT j1, j2, count(*) AS n FROM es WHERE j1 <> j2 GROUP BY 1, 2")
+def _(s, d):
+    return moments.mobility(panel.event_study(one(s, d, p4)))
+
+
+@query("class_cross_tab", f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS} SELECT g1, " + ", ".join(f"count(*) FILTER (g2 = {k}) AS c{k}" for k in range(4)) + " FROM es WHERE m = 1 GROUP BY g1")
+def _(s, d):
+    x = moments.cross_tab(panel.event_study(classes(s, d)).where("m = 1"), [0, 1, 2, 3])
+    return x.select("g1", *[F.col(str(k)).alias(f"c{k}") for k in range(4)])
+
+
+@query("firm_classes", f"WITH {P1}, {ONE}, {CLASSES} SELECT j, g, count(*) AS n FROM dg GROUP BY j, g")
+def _(s, d):
+    return classes(s, d).groupBy("j", "g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("firm_cdf", f"WITH {P1}, {ONE}, x AS (SELECT j, level, avg(CASE WHEN y <= 9.0 + level THEN 1.0 ELSE 0.0 END) AS share FROM d, (SELECT unnest([0, 1, 2]) AS level) GROUP BY j, level) SELECT j, CAST(level AS BIGINT) AS level, {rnd('share')} AS share FROM x")
+def _(s, d):
+    return rounded(moments.firm_cdf(one(s, d), [9.0, 10.0, 11.0]))
+
+
+@query(
+    "borovickova_shimer",
+    f"WITH {P3}, x AS (SELECT y, count(*) OVER i AS ni, sum(y) OVER i AS si, sum(y * y) OVER i AS qi, count(*) OVER j AS nj, sum(y) OVER j AS sj, sum(y * y) OVER j AS qj FROM p WINDOW i AS (PARTITION BY i), j AS (PARTITION BY j)), a AS (SELECT avg(y) AS m, avg((si * si - qi) / (ni * (ni - 1))) AS ll, avg((sj * sj - qj) / (nj * (nj - 1))) AS mm, avg((si - y) / (ni - 1) * (sj - y) / (nj - 1)) AS lm FROM x)"
+    f" SELECT {rnd('m', 5)} AS mean_y, {rnd('ll - m * m', 5)} AS var_lambda, {rnd('mm - m * m', 5)} AS var_mu, {rnd('lm - m * m', 5)} AS cov FROM a",
+)
+def _(s, d):
+    return rounded(moments.borovickova_shimer(p3(s, d)).drop("corr"), 5)
+
+
+# Graph
+
+
+@query("firm_components", "WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS i, l_suppkey AS j FROM lineitem), e AS (SELECT DISTINCT a.j AS a, b.j AS b FROM p a JOIN p b USING (i)), r(j, s) AS (SELECT DISTINCT j, j FROM p UNION SELECT r.j, e.b FROM r JOIN e ON r.s = e.a) SELECT j, min(s) AS component FROM r GROUP BY j")
+def _(s, d):
+    return graph.firm_components(p1(s, d))
+
+
+@query("strongly_connected_firms")
+def _(s, d):
+    return graph.strongly_connected(panel.event_study(one(s, d, p4)))
+
+
+@query("leave_match_out_set")
+def _(s, d):
+    return moments.panel_counts(graph.leave_match_out(one(s, d)))
+
+
+# Estimators
+
+
+MATCH = f"WITH RECURSIVE {P1}, {ONE}, m AS (SELECT i, j, CAST(count(*) AS DOUBLE) AS w, sum(y) AS wy FROM d GROUP BY i, j), wk AS (SELECT i, sum(w) AS wi, sum(wy) AS wyi FROM m GROUP BY i), k AS (SELECT a.j, b.j AS k, sum(a.w * b.w / wi) AS v FROM m a JOIN m b USING (i) JOIN wk USING (i) GROUP BY 1, 2), b AS (SELECT j, sum(w) AS w, sum(wy - w * wyi / wi) AS b FROM m JOIN wk USING (i) GROUP BY j), it(n, j, psi) AS (SELECT 0, j, 0.0::DOUBLE FROM b UNION ALL SELECT any_value(it.n) + 1, b.j, (any_value(b.b) + sum(k.v * it.psi)) / any_value(b.w) FROM b JOIN k ON k.j = b.j JOIN it ON it.j = k.k WHERE it.n < 60 GROUP BY b.j), s AS (SELECT j, psi - (SELECT psi FROM it WHERE n = 60 ORDER BY j LIMIT 1) AS psi FROM it WHERE n = 60)"
+
+
+@query("fe_firm_effects", MATCH + f" SELECT j, {rnd('psi', 5)} AS psi_hat FROM s")
+def _(s, d):
+    solved = fe.solve(fe.match_table(one(s, d)))
+    x = s.createDataFrame([(int(j), float(v)) for j, v in zip(solved.firms, solved.psi)], "j long, psi_hat double")
+    return rounded(x, 5)
+
+
+@query(
+    "fe_plug_in",
+    MATCH + ", al AS (SELECT i, sum(wy - w * psi) / sum(w) AS alpha FROM m JOIN s USING (j) GROUP BY i), o AS (SELECT y, psi, alpha, y - psi - alpha AS e FROM d JOIN s USING (j) JOIN al USING (i))"
+    f" SELECT {rnd('var_pop(y)', 5)} AS var_y, {rnd('var_pop(psi)', 5)} AS var_psi, {rnd('var_pop(alpha)', 5)} AS var_alpha, {rnd('covar_pop(psi, alpha)', 5)} AS cov_psi_alpha, {rnd('var_pop(psi + alpha)', 5)} AS var_psi_alpha, {rnd('avg(e * e)', 5)} AS var_eps, {rnd('1 - sum(e * e) / sum(y * y)', 5)} AS r2 FROM o",
+)
+def _(s, d):
+    return entry(s, d)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as a panel: worker = part, firm = supplier."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_extendedprice").alias("y")
-    )
+    """Plug-in variance decomposition of P1."""
+    x = one(spark, sf_dir)
+    return rounded(fe.plug_in(fe.attach_effects(x, fe.solve(fe.match_table(x)))), 5)
+
+
+@query("fe_corrected")
+def _(s, d):
+    return rounded(fe.corrected(panel.drop_single_stayers(one(s, d))), 5)
+
+
+@query("fe_conjugate_gradients", MATCH + f" SELECT j, {rnd('psi', 5)} AS psi_hat FROM s")
+def _(s, d):
+    solved = fe.solve(fe.match_table(one(s, d)), dense=0)
+    return rounded(s.createDataFrame([(int(j), float(v)) for j, v in zip(solved.firms, solved.psi)], "j long, psi_hat double"), 5)
+
+
+@query("cre_totals")
+def _(s, d):
+    return rounded(cre.totals(panel.cross_section(panel.event_study(classes(s, d)))), 5)
+
+
+FLOWS = f"WITH RECURSIVE {P4}, {ONE}, {EVENTS}, f2 AS (SELECT j1, j2, CAST(count(*) AS DOUBLE) AS n FROM es WHERE j1 <> j2 GROUP BY 1, 2), x AS (SELECT j1 AS j, sum(n) AS s FROM f2 GROUP BY 1), it(k, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM x UNION ALL SELECT any_value(it.k) + 1, f2.j2, sum(n * v) / any_value(x.s) FROM it JOIN f2 ON f2.j1 = it.j JOIN x ON x.j = f2.j2 WHERE it.k < 40 GROUP BY f2.j2)"
+
+
+@query("sorkin_values", FLOWS + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 40))', 4)} AS v_ee FROM it WHERE k = 40")
+def _(s, d):
+    return rounded(sorkin.values(panel.event_study(one(s, d, p4)), tolerance=1e-12, most=40), 4)
+
+
+@query("sorkin_values_distributed", FLOWS.replace("it.k < 40", "it.k < 5") + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 5))', 4)} AS v_ee FROM it WHERE k = 5")
+def _(s, d):
+    e = panel.event_study(one(s, d, p4)).where("j1 <> j2").groupBy("j1", "j2").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return rounded(sorkin.iterate(e, 5).select("j", F.log("v").alias("v_ee")), 4)
+
+
+_A = ["9.0", "10.0", "11.0"]
+_LP = [f"(ln(1.0/3) - ln(2 * pi()) - (y1 - {a}) ** 2 / 2 - (y2 - {a}) ** 2 / 2)" for a in _A]
+
+
+@query(
+    "blm_e_step",
+    f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS}, l AS (SELECT g1, g2, {', '.join(f'exp({x}) AS e{k}' for k, x in enumerate(_LP))} FROM es WHERE m = 1), q AS (SELECT *, e0 + e1 + e2 AS e FROM l)"
+    f" SELECT g1, g2, count(*) AS n, {rnd('sum(ln(e))', 3)} AS loglik, {', '.join(f'{rnd(f"sum(e{k} / e)", 4)} AS q{k}' for k in range(3))} FROM q GROUP BY g1, g2",
+)
+def _(s, d):
+    e = panel.event_study(classes(s, d)).where("m = 1")
+    x = blm.sums(blm.posteriors(e, blm.start(3, 4, 10.0, 1.0)), 3)
+    return x.select(F.col("g1").cast("long").alias("g1"), F.col("g2").cast("long").alias("g2"), "n", R(F.col("loglik"), 3).alias("loglik"), *[R(F.col(f"q{k}"), 4).alias(f"q{k}") for k in range(3)])
+
+
+@query("blm_fit")
+def _(s, d):
+    e = panel.event_study(classes(s, d)).where("m = 1")
+    model, path = blm.fit(e, blm.start(3, 4, 10.0, 1.0), most=10)
+    rows = [(k, g, float(model.a1[k, g]), float(model.a2[k, g]), float(model.s1[k, g])) for k in range(3) for g in range(4)]
+    return rounded(s.createDataFrame(rows, "type int, class int, a1 double, a2 double, s1 double"))
+
+
+# Fixpoints
+
+
+def _checkpoints(s: SparkSession) -> None:
+    """Checkpoints need a folder; an own one only where the session has none."""
+    import tempfile
+
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duopanel-"))
+
+
+@query("min_joint_obs")
+def _(s, d):
+    return panel.min_joint_obs(one(s, d), 2, 3).select("i", "j", "t")
+
+
+@query("min_movers", f"WITH {P4}, {ONE} SELECT i, j, t FROM d")
+def _(s, d):
+    return panel.min_movers(one(s, d, p4), 2).select("i", "j", "t")
 
 
 def queries() -> dict:
-    return {}
+    def prepared(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _checkpoints(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {k: prepared(f) for k, f in _found.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_sql)

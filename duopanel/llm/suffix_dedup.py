@@ -30,7 +30,7 @@ GRAM = 24
 #: Size of the bitmap of repeated anchors: 2 ** BITS bits (32 MB), whatever the input.
 BITS = 28
 #: Input bytes for each shard of anchors.
-SHARD = 16 << 20
+SHARD = 4 << 20
 #: Suffixes of a batch.
 BATCH = 1 << 16
 #: Window starts that are hashed together.
@@ -140,11 +140,11 @@ def by_document(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndar
     doc, mark, pairs = doc[order], mark[order], np.stack([start, n], axis=1).astype(np.int64)[order]
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.zeros(0, np.int64)
     cut = np.r_[first, len(doc)]
-    return pd.DataFrame({"shard": np.full(len(first), -1), "doc": doc[first], "mark": mark[first], "data": [pairs[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]})
+    return pd.DataFrame({"shard": np.full(len(first), -1, np.int32), "doc": doc[first], "mark": mark[first], "data": [pairs[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]})
 
 
 def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) -> DataFrame:
-    """Rows of runs for each shard (shard, data), and rows of what a block has already found repeated in itself (shard -1, doc, mark, data).
+    """Rows of runs for each shard (shard, data), and rows of what a block has already found repeated in itself (with doc and mark, in a shard of their hash).
 
     Of runs that are equal byte for byte (64-bit hash and length) within a block only the earliest is shipped.
     """
@@ -171,6 +171,7 @@ def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) ->
                 later[first] = False
                 found = by_document(doc[row[later]], mark[row[later]], start[later], n[later])
                 if len(found):
+                    found["shard"] = (mix64(found["mark"].to_numpy().view(np.uint64)) % np.uint64(shards)).astype(np.int32)
                     yield pa.RecordBatch.from_pandas(found.astype({"shard": "int32"}), preserve_index=False, schema=SHIPPED)
                 shard = (mix64(anchor) % np.uint64(shards)).astype(np.int64)
                 shard[later] = shards
@@ -259,14 +260,20 @@ def search_shard(parts: list[bytes], length: int) -> pd.DataFrame:
     sums = prefix_sums(text)
     k = k[(times[which] > 1) | (held(sums, at[k], size[order][k], anchor[k]) > 1)]
     if len(k):
-        source = np.repeat(k, n[k])
-        offset = np.arange(len(source)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
         family, views = Family(length), np.lib.stride_tricks.sliding_window_view(text, length)
-        known = np.concatenate([family.add(views[at[source[b : b + BATCH]] + offset[b : b + BATCH]]) for b in range(0, len(source), BATCH)])
-        begin = known & ~np.r_[False, known[:-1] & (source[1:] == source[:-1])]
-        stop = known & ~np.r_[known[1:] & (source[1:] == source[:-1]), False]
-        x, y = np.flatnonzero(begin), np.flatnonzero(stop)
-        found.append((doc[source[x]], mark[source[x]], start[source[x]] + offset[x], y - x + 1))
+        end = np.cumsum(n[k])
+        known = np.zeros(int(end[-1]), bool)
+        for b in range(0, len(known), BATCH):
+            place = np.arange(b, min(b + BATCH, len(known)))
+            run = np.searchsorted(end, place, "right")
+            known[place] = family.add(views[at[k[run]] + place - end[run] + n[k[run]]])
+        edge = np.zeros(len(known) + 1, bool)  # runs do not go on into the next
+        edge[0] = True
+        edge[end] = True
+        x = np.flatnonzero(known & (edge[:-1] | ~np.r_[False, known[:-1]]))
+        y = np.flatnonzero(known & (edge[1:] | ~np.r_[known[1:], False]))
+        run = np.searchsorted(end, x, "right")
+        found.append((doc[k[run]], mark[k[run]], start[k[run]] + x - end[run] + n[k[run]], y - x + 1))
     return by_document(*(np.concatenate(c) for c in zip(*found)))
 
 
@@ -275,9 +282,15 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, total // SHARD)
     bitmap = repeated_anchors(docs, length, shards)
-    shipped = written(ship_runs(docs, bitmap, length, shards), "runs")
-    searched = shipped.where("shard >= 0").select("shard", "data").groupBy("shard").applyInPandas(lambda own: search_shard(list(own["data"]), length), "shard int, doc long, mark long, data binary")
-    both = searched.unionByName(shipped.where("shard < 0"))
+
+    def search(own: pd.DataFrame) -> pd.DataFrame:
+        runs = own["doc"].isna()
+        there = own[~runs].astype({"doc": "int64", "mark": "int64"})
+        return pd.concat([there, search_shard(list(own["data"][runs]), length)]) if runs.any() else there
+
+    # Document ids of 64 bits must not pass through floats where a column has nulls: they travel as decimal text.
+    shipped = ship_runs(docs, bitmap, length, shards).select("shard", F.col("doc").cast("string").alias("doc"), F.col("mark").cast("string").alias("mark"), "data")
+    both = shipped.groupBy("shard").applyInPandas(search, "shard int, doc long, mark long, data binary")
     return both.groupBy("doc", "mark").agg(F.collect_list("data").alias("runs"))
 
 

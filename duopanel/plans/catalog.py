@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blm, cre, fe, graph, moments, panel, sorkin
+from ..operators import blm, controls, cre, diagnostics, fe, graph, moments, panel, resampling, sorkin
 
 R = panel.round_to
 
@@ -305,6 +305,50 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fe.plug_in(fe.attach_effects(x, fe.solve(fe.match_table(x)))), 5)
 
 
+@query(
+    "fe_next_firm_covariance",
+    MATCH + f", o AS (SELECT psi, lead(psi) OVER (PARTITION BY i ORDER BY t) AS nx FROM d JOIN s USING (j)) SELECT {rnd('covar_pop(psi, nx)', 5)} AS cov_psi_next, count(*) AS n FROM o WHERE nx IS NOT NULL",
+)
+def _(s, d):
+    x = one(s, d)
+    return rounded(diagnostics.next_firm_covariance(fe.attach_effects(x, fe.solve(fe.match_table(x)))), 5)
+
+
+def with_controls(s: SparkSession, d: str) -> DataFrame:
+    """P1 with the line's quantity and return flag."""
+    x = s.read.parquet(f"{d}/lineitem.parquet")
+    x = x.select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_linenumber").cast("long").alias("t"), F.log("l_extendedprice").alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    return panel.dedupe_period(x)
+
+
+@query("fe_controls")
+def _(s, d):
+    x = with_controls(s, d)
+    solved = controls.solve(x, ["flag"], ["quantity"])
+    return rounded(s.createDataFrame([(k, float(v)) for k, v in zip(solved.names, solved.gamma)], "control string, gamma double"), 6)
+
+
+@query("fe_clustered_errors")
+def _(s, d):
+    x = with_controls(s, d)
+    solved = controls.solve(x, ["flag"], ["quantity"])
+    return rounded(controls.clustered_errors(x, controls.attach(x, solved, ["flag"], ["quantity"]), "quantity"), 6)
+
+
+@query("fe_attrition")
+def _(s, d):
+    return rounded(resampling.attrition(one(s, d), [0.5, 1.0]), 5)
+
+
+@query(
+    "class_transitions",
+    f"WITH {P1}, {ONE}, {CLASSES}, x AS (SELECT g AS g1, lead(g) OVER w AS g2, lead(g, 2) OVER w AS g3, lead(g, 3) OVER w AS g4, y AS y1, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3, lead(y, 3) OVER w AS y4 FROM dg WINDOW w AS (PARTITION BY i ORDER BY t))"
+    f" SELECT g2 AS from_g, g3 AS to_g, count(*) AS n, {', '.join(f'{rnd(f"avg(y{k})")} AS y{k}' for k in range(1, 5))} FROM x WHERE g1 = g2 AND g2 <> g3 AND g3 = g4 GROUP BY 1, 2",
+)
+def _(s, d):
+    return rounded(diagnostics.class_transitions(panel.extended_event_study(classes(s, d), "g")))
+
+
 @query("fe_corrected")
 def _(s, d):
     return rounded(fe.corrected(panel.drop_single_stayers(one(s, d))), 5)

@@ -250,7 +250,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
   CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000

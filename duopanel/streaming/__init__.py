@@ -1 +1 @@
-
+"""No streaming operators: the panel estimators are batch computations."""

@@ -50,13 +50,18 @@ class Solved:
 
 def solve(matches: DataFrame, dense: int = DENSE) -> Solved:
     """Firm effects of a connected panel, the least firm id normalised to 0."""
+    held = matches.storageLevel.useMemory
+    matches = matches if held else matches.persist()
     k, b = firm_system(matches)
     n = matches.select("j").distinct().count()
     if n > dense:
-        return solve_iterative(matches)
+        out = solve_iterative(matches)
+        return out if held else (matches.unpersist(), out)[1]
     firms = b.toPandas().sort_values("j")
     ids = firms["j"].to_numpy()
     cells = k.toPandas()
+    if not held:
+        matches.unpersist()
     r, c = np.searchsorted(ids, cells["j"]), np.searchsorted(ids, cells["k"])
     dense_k = np.zeros((len(ids), len(ids)))
     dense_k[r, c] = dense_k[c, r] = cells["v"]
@@ -183,7 +188,7 @@ def corrected(panel: DataFrame) -> DataFrame:
     solved = solve(matches)
     if solved.inverse is None:
         raise ValueError(f"more than {DENSE} firms: exact traces need the dense inverse")
-    effects = attach_effects(panel, solved)
+    effects = attach_effects(panel, solved).persist()
     plain = plug_in(effects)
     m, k, w = solved.inverse, solved.k, solved.weights
     n, nf, p = w.sum(), len(w), w / w.sum()

@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         name, at, out = f"{attempt()}.warc.gz", 0, None
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             lines = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or fs.open_output_stream(f"{base}/{name}", compression=None)

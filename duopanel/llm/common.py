@@ -95,20 +95,22 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: One random odd-looking number for each byte, from the finaliser above.
 BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64))
+TABLE = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n-1 of the hash base, or of its inverse, modulo 2**64."""
+    """Powers 0..n-1 of the hash base, or of its inverse, modulo 2**64. Up to TABLE of each (8 MB) stay in memory."""
+    base = _INVERSE if inverse else _BASE
     key = "i" if inverse else "b"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), _INVERSE if inverse else _BASE, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if len(have) <= 64 << 20:
-            _powers[key] = have
-    return have[:n]
+    if key not in _powers:
+        table = np.full(TABLE, base, np.uint64)
+        table[0] = 1
+        _powers[key] = np.cumprod(table)
+    if n <= TABLE:
+        return _powers[key][:n]
+    steps = np.array([pow(base, k * TABLE, 1 << 64) for k in range(-(-n // TABLE))], np.uint64)
+    return (steps[:, None] * _powers[key][None, :]).reshape(-1)[:n]
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ SHARD = 4 << 20
 #: Suffixes of a batch.
 BATCH = 1 << 16
 #: Window starts that are hashed together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 LAST = np.int64(2**63 - 1)
 
 

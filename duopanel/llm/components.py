@@ -20,15 +20,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long): the smallest node that it reaches.
 
+    With ``rounds``, it stops after so many: equal labels then still mean a connection, but not all connected nodes have one.
+
     No group is collected: stars are an aggregate and a join back, so a node with very many links is split by adaptive
     execution. Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path.
     """
     one = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    current, seen = written(one, "links"), None
-    while True:
+    current, seen, done = written(one, "links"), None, 0
+    while rounds is None or done < rounds:
+        done += 1
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
@@ -36,4 +39,5 @@ def components(links: DataFrame) -> DataFrame:
         following = written(_star(_star(current, True), False), "links")
         drop(current)
         current = following
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    both = current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return both.groupBy("node").agg(F.min("component").alias("component"))

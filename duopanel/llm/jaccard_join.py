@@ -6,12 +6,13 @@ one of the first n - ceil(0.8 n) + 1 shingles in any common order; here rare one
 documents) come first. Documents that share such a shingle form a tile; in a tile an R-tree over the points finds the pairs
 whose bound suffices, and these are verified on the whole sets. Equal sets are one node from the start.
 
-Components need no pair within what is already linked: two rounds link the members of each tile to one of them (a
-different one each time), and only then the trees search the pairs that are left between components, all of them.
+Components need no pair within what is already linked: two rounds link the members of each tile to one or a few of
+them, and only then the trees search the pairs that are left between components, all of them.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -21,20 +22,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix64, prefix_sums, span_hashes, utf8, words, written
+from .common import LOWER, blocks, drop, mix64, prefix_sums, span_hashes, utf8, words, written
 from .components import components
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 512
 #: Counters of the sketch that orders shingles by frequency: a fixed size, 4 MB.
 SKETCH = 1 << 20
 PIECES = 16
+#: Bytes of text that are hashed together (about 40 times as many in working arrays).
+BLOCK = 2 << 20
 #: Partial pieces of the sketch that one task adds up.
 MERGE = 256
-#: Prefix entries (16 bytes) that one shard holds, about.
-SHARD = 500_000
+#: Prefix entries (8 bytes) that one shard holds, about.
+SHARD = 1_000_000
 #: Points of a leaf or children of an inner node of the R-tree.
 FANOUT = 32
+#: Members of a tile that all its members are held against, in the first and the second round.
+PIVOTS = (1, 4)
 #: Members of a tile that one tree holds; larger tiles are split and their parts joined pair by pair.
 TILE = 4096
 _ODD = mix64(np.arange(11, 11 + SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,7 +70,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for a, b in blocks(batch.column(0)):
+            for a, b in blocks(batch.column(0), BLOCK):
                 h, _ = shingles(batch.column(0)[a:b])
                 total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         parts = [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(PIECES)]
@@ -101,6 +106,14 @@ def sets(texts: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
 
 
+def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each row's set; 0 for the empty set."""
+    n = np.diff(at)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix64(h), out=sums[1:])
+    return np.where(n > 0, mix64(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * _ODD[0]), np.uint64(0))
+
+
 def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     """A row for each document (shard -1: doc_id, n, node, point) and rows of packed prefix entries for the shards of the index.
 
@@ -110,30 +123,32 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1), 8 << 20):
+            for a, b in blocks(batch.column(1), BLOCK):
                 h, at = sets(batch.column(1)[a:b], shared.value)
                 n = np.diff(at)
                 row = np.repeat(np.arange(b - a), n)
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix64(h), out=sums[1:])
-                node = np.where(n > 0, mix64(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * _ODD[0]), np.uint64(0))
-                points = np.bincount(row * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=(b - a) * GROUPS).astype("<u4").reshape(-1, GROUPS)
+                node = node_of(h, at)
+                points = np.bincount(row * GROUPS + (h >> np.uint64(64 - 9)).astype(np.int64), minlength=(b - a) * GROUPS).astype("<u4").reshape(-1, GROUPS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * (b - a), pa.int32()), batch.column(0)[a:b], pa.array(n), pa.array(node.view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())],
+                    [pa.array([-1] * (b - a), pa.int32()), batch.column(0)[a:b], pa.array(n), pa.array(node.view(np.int64)), pa.array([zlib.compress(p.tobytes(), 1) for p in points], pa.binary())],
                     names=["shard", "doc_id", "n", "node", "data"],
                 )
                 prefix = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-                pick = np.flatnonzero(np.arange(len(h)) - at[row] < prefix[row])
-                entries = np.stack([h[pick], node[row[pick]]], axis=1)
-                _, once = np.unique(mix64(entries[:, 0]) + entries[:, 1], return_index=True)  # copies within the block
-                entries = entries[once]
-                shard = (mix64(entries[:, 0]) % np.uint64(shards)).astype(np.int64)
+                once = np.zeros(b - a, bool)
+                once[np.unique(node, return_index=True)[1]] = True  # a set once in each block
+                pick = np.flatnonzero((np.arange(len(h)) - at[row] < prefix[row]) & once[row])
+                shard = (mix64(h[pick]) % np.uint64(shards)).astype(np.int64)
                 by = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[by], np.arange(shards + 1))
+                pick, cut = pick[by], np.searchsorted(shard[by], np.arange(shards + 1))
                 used = np.flatnonzero(np.diff(cut))
-                entries = entries[by]
+                data = []
+                for x in used:
+                    own = pick[cut[x] : cut[x + 1]]
+                    first = np.flatnonzero(np.r_[True, row[own][1:] != row[own][:-1]])
+                    high = h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                    data.append(pickle.dumps((node[row[own[first]]], np.diff(np.r_[first, len(own)]).astype(np.uint32), high.tobytes()), 5))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.array(np.diff(cut)[used]), pa.nulls(len(used), pa.int64()), pa.array([entries[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())],
+                    [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.array(np.diff(cut)[used]), pa.nulls(len(used), pa.int64()), pa.array(data, pa.binary())],
                     names=["shard", "doc_id", "n", "node", "data"],
                 )
 
@@ -141,10 +156,16 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
 
 
 def shared_prefixes(entries: DataFrame) -> DataFrame:
-    """(tile, node): prefix shingles that at least two nodes have. The number of shards follows the number of entries."""
+    """(tile, node): prefix shingles (48 bits of their hashes) that at least two nodes have. The number of shards follows the number of entries."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.frombuffer(v, np.uint64).reshape(-1, 2) for v in own["data"]])
+        parts = []
+        for v in own["data"]:
+            node, n, high = pickle.loads(v)
+            wide = np.zeros((len(high) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(high, np.uint8).reshape(-1, 6)
+            parts.append(np.stack([wide.view("<u8").reshape(-1), np.repeat(node, n)], axis=1))
+        x = np.concatenate(parts)
         x = x[np.lexsort((x[:, 1], x[:, 0]))]
         x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
         same = x[1:, 0] == x[:-1, 0]
@@ -154,6 +175,11 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("shard").applyInPandas(run, "tile long, node long")
 
 
+def unfold(points) -> np.ndarray:
+    """Points (rows of GROUPS counts) from their stored form."""
+    return np.stack([np.frombuffer(zlib.decompress(p), "<u4") for p in points]).astype(np.int32)
+
+
 class CountTree:
     """R-tree over count vectors, bulk-loaded: points sorted by size and then dealt by coordinate sums into leaves of FANOUT.
 
@@ -170,7 +196,7 @@ class CountTree:
             level = (np.maximum.reduceat(level[0], first, axis=0), np.minimum.reduceat(level[1], first))
             self.levels.append(level)
 
-    def search(self, sizes: np.ndarray, points: np.ndarray, together: int = 200_000):
+    def search(self, sizes: np.ndarray, points: np.ndarray, together: int = 10_000):
         """Yields arrays (query, point) whose bound suffices."""
         for a in range(0, len(sizes), max(1, together // FANOUT)):
             q = np.arange(a, min(len(sizes), a + max(1, together // FANOUT)))
@@ -210,7 +236,7 @@ def tree_pairs(tiles: DataFrame) -> DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         for (_, i, j), g in mine.groupby(["tile", "i", "j"], sort=False):
             node, comp, n, part = (g[c].to_numpy() for c in ("node", "component", "n", "part"))
-            points = np.stack([np.frombuffer(p, "<u4") for p in g["point"]]).astype(np.int64)
+            points = unfold(g["point"])
             left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
             if not len(left) or not len(right):
                 continue
@@ -230,6 +256,43 @@ def enough(n_a: Column, n_b: Column) -> Column:
     return F.greatest(n_a, n_b) * 4 <= F.least(n_a, n_b) * 5
 
 
+def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose points bound the overlap well enough, as at a leaf of the tree."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = []
+            for k in range(0, batch.num_rows, 2000):
+                x, y = (unfold(batch.column(c)[k : k + 2000].to_pylist()) for c in (4, 5))
+                keep.append(9 * np.minimum(x, y).sum(axis=1) >= 4 * (n_a[k : k + 2000] + n_b[k : k + 2000]))
+            keep = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def remake(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of all nodes of ``pairs``, made again from the text of a document of each."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = written(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_d"), F.col("node").alias("_node")), "asked")
+    if asked.count() <= 200_000:  # 16 bytes each
+        asked = F.broadcast(asked)
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("_node", "text")
+
+    def run(batches):
+        for batch in batches:
+            for a, b in blocks(batch.column(1), BLOCK):
+                h, at = sets(batch.column(1)[a:b], np.zeros(SKETCH, np.int64))
+                # Documents of one id may differ: the node tells which is meant.
+                keep = np.flatnonzero(node_of(h, at).view(np.int64) == batch.column(0)[a:b].to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(keep)), pa.array([h[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
 def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets in ``found`` (node, n, shingles) have 100 x intersection >= 80 x union."""
     left = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -261,23 +324,8 @@ def similar(docs: DataFrame) -> DataFrame:
     described = written(describe(docs, order, max(1, int(counts.sum()) // 5 // SHARD)), "described")
     rows = described.where("shard = -1").select("doc_id", "n", "node", F.col("data").alias("point"))
     tiles = shared_prefixes(described.where("shard >= 0").select("shard", "data"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"))
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point")), "nodes")
     tiles = written(tiles.join(nodes.select("node", "n"), "node"), "tiles")
-    wanted = tiles.select("node").distinct()
-    # The sets of all nodes in tiles, made again from their texts.
-    ids = written(rows.where("n > 0").select("doc_id", "node").join(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_d")), "node").where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "node").distinct(), "wanted")
-    asked = ids.select(F.col("doc_id").alias("_d"), "node")
-    if ids.count() <= 200_000:  # 16 bytes each
-        asked = F.broadcast(asked)
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
-
-    def remake(batches):
-        for batch in batches:
-            for a, b in blocks(batch.column(1), 8 << 20):
-                h, at = sets(batch.column(1)[a:b], np.zeros(SKETCH, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(b - a)], pa.binary())], names=["node", "shingles"])
-
-    found = written(texts.mapInArrow(remake, "node long, shingles binary").dropDuplicates(["node"]), "sets")
     links, label = None, None
     tested = None
     for turn in range(3):
@@ -286,8 +334,9 @@ def similar(docs: DataFrame) -> DataFrame:
         else:
             own = tiles.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < 2:
-            # Every member of a tile against one of them.
-            pivot = own.groupBy("tile").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))).alias("p")).select("tile", "p.b", "p.cb", "p.nb")
+            # Every member of a tile against some of them.
+            by = lambda k: F.struct(F.xxhash64("node", F.lit(8 * turn + k)).alias("r"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))  # noqa: E731, B023
+            pivot = own.groupBy("tile").agg(F.array(*[F.min(by(k)) for k in range(PIVOTS[turn])]).alias("p")).select("tile", F.explode("p").alias("p")).select("tile", "p.b", "p.cb", "p.nb")
             pairs = own.join(pivot, "tile").where((F.col("component") != F.col("cb")) & enough(F.col("n"), F.col("nb")))
             pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         else:
@@ -295,11 +344,13 @@ def similar(docs: DataFrame) -> DataFrame:
             pairs = tree_pairs(own.join(more, "tile", "left_semi").join(nodes.select("node", "point"), "node"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(within_bound(pairs, nodes) if turn < 2 else pairs, "pairs")
+        found = written(remake(docs, pairs, nodes), "sets")
         linked = written(verify(pairs, found), "verified")
+        drop(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = linked if links is None else links.unionByName(linked)
-        label = written(components(links), "labels")
+        label = written(components(links, None if turn == 2 else 1), "labels")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(member.join(least, "component").select("node", "component_id"), "named")

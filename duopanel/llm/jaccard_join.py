@@ -350,7 +350,7 @@ def similar(docs: DataFrame) -> DataFrame:
         drop(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = linked if links is None else links.unionByName(linked)
-        label = written(components(links, None if turn == 2 else 1), "labels")
+        label = written(components(links, 1 if turn == 0 else None), "labels")
     member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(member.join(least, "component").select("node", "component_id"), "named")

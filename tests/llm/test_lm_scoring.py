@@ -84,3 +84,19 @@ def test_pruned_trie_and_empty(spark, monkeypatch):
     g = np.array([int.from_bytes(b"abrac" + bytes([s]), "big") for s in range(256)])
     assert math.isclose((10 ** trie.log10(g)).sum(), 1, rel_tol=1e-9)
     assert L.score(docs.limit(0), L.F.lit(True)).count() == 0
+
+
+def test_whole_model(spark, monkeypatch):
+    """No count of grams leaves any of them out, in one shard or in many."""
+    monkeypatch.setattr(L, "MODEL_ROWS", 8)
+    monkeypatch.setattr(L, "BLOCK", 500)
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcd é\n") for _ in range(r.randrange(0, 60)))) for i in range(80)]
+    seen = brute_trie([lower(t) for i, t in rows if i % 3])
+    for size, listed in ((10**6, 10**6), (300, 700)):
+        monkeypatch.setattr(L, "SHARD", size)
+        monkeypatch.setattr(L, "LISTED", listed, raising=False)
+        got = L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), L.F.col("doc_id") % 3 != 0).collect()
+        assert len(got) == len(rows)
+        for g in got:
+            assert math.isclose(g.score, brute_score(seen, lower(rows[g.doc_id][1])), rel_tol=1e-9)

@@ -2,7 +2,7 @@
 
 A text is cut before each ASCII blank, tab or line feed that follows a character that is no white space;
 neither vocabulary has a pre-token over such a cut, so that the ids of the parts, put together, are the
-ids of the text. Each distinct part is encoded once by the tokenizers library and then looked up by its
+ids of the text; added tokens hold no white space and take none beside them. Each distinct part is encoded once by the tokenizers library and then looked up by its
 64-bit hash, which makes long corpora of recurring words several times cheaper.
 """
 
@@ -46,7 +46,6 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.clear()
 
     def clear(self) -> None:

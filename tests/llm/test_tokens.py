@@ -3,6 +3,7 @@ import pytest
 from duopanel.llm import tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 PLACES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = ["", None, " ", "  a  b", "a\n\n b's it'll", "é  x　 y \nz", "<|endoftext|> x <|startoftext|>", "ä ö\tü", "é ö ́x", "日本 語 です。 1 234", "a" * 3000 + " " * 50, "\x1c x\x85 y \x00 z", "🙂 🙂 👩‍👩‍👧", "\r\n x\r\ny", "Σς ΑΣ ΑΣ. İ ı"]
@@ -33,3 +34,15 @@ def test_memory_starts_anew(monkeypatch):
     for text in ("one two three", "four five six seven", "one two"):
         ids, _ = memory.encode(pa.array([text]))
         assert ids.tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", PLACES)
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "a", "junk", "é", "\u3000", "'s", "."])).map("".join), max_size=5))
+def test_added_tokens(name, texts):
+    """Ids are those of the library as it comes, which knows the added tokens in a text."""
+    plain = Tokenizer.from_file(tokens.vocabulary(name))
+    texts = ["junk <|endoftext|> line", *texts]
+    ids, at = tokens.memory(tokens.vocabulary(name)).encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)

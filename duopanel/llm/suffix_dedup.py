@@ -52,7 +52,7 @@ def ties(grams: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     around = np.zeros(len(low) + 2 * (width - 1), np.uint64)
     around[width - 1 : width - 1 + len(low)] = low
     at = np.flatnonzero(slide(around, width, np.maximum) == grams)
-    same = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < width)
+    same = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) <= width)
     return grams[at[1:][same]]
 
 

@@ -70,3 +70,14 @@ def test_texts_repeated_rows_empty(spark):
     out = sorted(map(tuple, S.deduplicate(docs).collect()), key=str)
     assert out == [(1, "x" + p + "y", "en"), (2, "éü", None), (2, "éü", None)]
     assert S.digests(docs.limit(0)).count() == 0
+
+
+def test_period_of_the_grams_of_a_string(spark, monkeypatch):
+    monkeypatch.setattr(S, "BITS", 16)
+    r = random.Random(9)
+    line = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(S.LENGTH - S.GRAM)) + "\n"
+    rows = [(1, line * 3), (2, "other text")]
+    want = brute(rows, S.LENGTH)
+    assert want[1, rows[0][1]][1] > 0
+    got = S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(g.doc_id, dict(rows)[g.doc_id]): tuple(g)[1:] for g in got} == want

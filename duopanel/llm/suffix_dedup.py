@@ -166,6 +166,10 @@ def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) ->
                 same = span_hashes(prefix_sums(buf), at, at + n + length - 1)
                 order = np.lexsort((start, mark[row], doc[row]))
                 row, start, n, anchor, at, same = (x[order] for x in (row, start, n, anchor, at, same))
+                # Repeated rows of one document bring a run twice, and never as a repeat of itself.
+                twin = np.zeros(len(row), bool)
+                twin[1:] = (doc[row[1:]] == doc[row[:-1]]) & (mark[row[1:]] == mark[row[:-1]]) & (start[1:] == start[:-1])
+                row, start, n, anchor, at, same = (x[~twin] for x in (row, start, n, anchor, at, same))
                 _, first = np.unique(same, return_index=True)
                 later = np.ones(len(same), bool)
                 later[first] = False

@@ -81,3 +81,15 @@ def test_period_of_the_grams_of_a_string(spark, monkeypatch):
     assert want[1, rows[0][1]][1] > 0
     got = S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(g.doc_id, dict(rows)[g.doc_id]): tuple(g)[1:] for g in got} == want
+
+
+def test_repeated_rows_of_one_block(spark, monkeypatch):
+    monkeypatch.setattr(S, "BITS", 16)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(1, text(300)), (1, None), (2, text(150) * 2), (None, text(200))]
+    rows = [*rows, *rows, (3, rows[0][1]), (None, rows[3][1])]
+    want = brute(rows, S.LENGTH)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((g.doc_id or -1, *tuple(g)[1:]) for g in S.digests(docs).collect())
+    assert got == sorted((-1 if i is None else i, *want[S.LAST if i is None else i, t or ""]) for i, t in rows)

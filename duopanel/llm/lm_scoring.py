@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, attempt, blocks, mix64, prefix_sums, ragged, span_hashes, utf8, words, written
+from .common import LOWER, attempt, blocks, lean, mix64, ragged, span_hashes, utf8, words, written
 
 ORDER = 5
 #: Bytes of a context by which grams are dealt. Leaves of shorter contexts are broadcast: at most 256 ** LOW, whatever the input.
@@ -139,7 +139,7 @@ def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def text_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and ends, and the number of both in each row."""
     starts, stops, first = words(buf, offs)
-    return np.insert(span_hashes(prefix_sums(LOWER[buf]), starts, stops), first[1:], END), np.diff(first) + 1
+    return np.insert(span_hashes(LOWER[buf], starts, stops), first[1:], END), np.diff(first) + 1
 
 
 def dealt(codes: np.ndarray, n: np.ndarray, by: np.ndarray, shards: int):
@@ -192,7 +192,7 @@ def read_blocks(docs: DataFrame, shards: int) -> DataFrame:
         if len(g[0]):
             yield from end()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "training").mapInArrow(run, "list string, shard long, a binary, b binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "training").mapInArrow(lean(run), "list string, shard long, a binary, b binary")
 
 
 def short_levels(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +205,7 @@ def short_levels(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             g, n = summed(np.concatenate([g, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)]))
         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
 
-    own = found.where("shard = -2").select("a").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    own = found.where("shard = -2").select("a").mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     return lower_levels(own["g"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.int64), LOW - 1, 0)
 
 
@@ -231,7 +231,7 @@ def gram_values(parts: DataFrame, short: list[tuple[np.ndarray, np.ndarray]]) ->
             out.append(dump(d, value[np.searchsorted(g, np.cumsum(d))]))
         return pd.DataFrame({"list": own["list"], "shard": own["shard"], "c": out})
 
-    return parts.groupBy("shard").applyInPandas(run, "list string, shard long, c binary")
+    return parts.groupBy("shard").applyInPandas(lean(run), "list string, shard long, c binary")
 
 
 def count_words(parts: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def count_words(parts: DataFrame) -> DataFrame:
         head[0] = total.sum(), (total > 0).sum()
         return pd.DataFrame({"list": own["list"], "shard": own["shard"], "c": [dump(h, total[which[x:y]]) for h, x, y in zip(hashes, cut[:-1], cut[1:])], "tokens": head[:, 0], "types": head[:, 1]})
 
-    return parts.groupBy("shard").applyInPandas(run, "list string, shard long, c binary, tokens long, types long")
+    return parts.groupBy("shard").applyInPandas(lean(run), "list string, shard long, c binary, tokens long, types long")
 
 
 def put_together(found: DataFrame, values: DataFrame, counts: DataFrame, tokens: int, types: int) -> DataFrame:
@@ -286,14 +286,14 @@ def put_together(found: DataFrame, values: DataFrame, counts: DataFrame, tokens:
     heads = found.where("shard = -1").select("list", "shard", "a", "b", F.lit(None).cast("binary").alias("c"))
     none = F.lit(None).cast("binary")
     both = heads.unionByName(counts.unionByName(values).select("list", "shard", none.alias("a"), none.alias("b"), "c"))
-    return both.groupBy("list").applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return both.groupBy("list").applyInPandas(lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text), learned from those where ``training`` is true.
 
-    Null text is empty: one end token. Repeated rows count as often as they occur. Without training rows all bytes are
-    equally likely. An empty table gives no rows.
+    Null text is empty: one end token. Repeated rows count as often as they occur, and get equal scores. Without training rows all bytes are
+    equally likely. Very long texts are one block and scored whole. An empty table gives no rows; other columns, of any names, are not read.
     """
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), training.alias("training"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, powers, prefix_sums, ragged, span_hashes, utf8, written
+from .common import blocks, first_equal, lean, mix64, ragged, row_schema, utf8, with_row, written
 
 LENGTH = 100
 #: Bytes of the grams whose least hash is the anchor.
@@ -33,9 +33,36 @@ BITS = 28
 SHARD = 4 << 20
 #: Suffixes of a batch.
 BATCH = 1 << 16
-#: Window starts that are hashed together.
+#: Bytes of text whose runs are dealt out together.
 CHUNK = 2 << 20
+#: Window starts that are hashed together (about 60 bytes of working arrays each).
+WINDOW = 1 << 19
 LAST = np.int64(2**63 - 1)
+_BASE = 0x9E3779B97F4A7C15 | 1
+#: One number for each byte.
+BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64))
+TABLE = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers 0..n-1 of the base of gram hashes, or of its inverse, modulo 2**64. Up to TABLE of each (8 MB) stay in memory."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    if base not in _powers:
+        table = np.full(TABLE, base, np.uint64)
+        table[0] = 1
+        _powers[base] = np.cumprod(table)
+    if n <= TABLE:
+        return _powers[base][:n]
+    steps = np.array([pow(base, k * TABLE, 1 << 64) for k in range(-(-n // TABLE))], np.uint64)
+    return (steps[:, None] * _powers[base][None, :]).reshape(-1)[:n]
+
+
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums whose differences, times a power, are the rolling hashes of grams. They only choose anchors: grams that collide cost time, never results."""
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTE_CODE[buf] * powers(len(buf), inverse=True), out=out[1:])
+    return out
 
 
 def slide(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -62,8 +89,8 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int, twice: list | None = No
     ``twice``, if given, gets the anchors that stand twice in one string.
     """
     width = length - GRAM + 1
-    for a in range(0, max(len(buf) - length + 1, 0), CHUNK):
-        part = buf[a : a + CHUNK + length - 1]
+    for a in range(0, max(len(buf) - length + 1, 0), WINDOW):
+        part = buf[a : a + WINDOW + length - 1]
         sums = prefix_sums(part)
         n = len(part) - GRAM + 1
         grams = mix64((sums[GRAM:] - sums[:-GRAM]) * powers(len(part))[:n])
@@ -119,7 +146,7 @@ def repeated_anchors(docs: DataFrame, length: int, shards: int) -> np.ndarray:
         bits[(twice >> np.uint64(64 - BITS)).astype(np.int64) % size] = 1
         return pd.DataFrame({"shard": own["shard"].iloc[:1], "data": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
-    marks = docs.select("text").mapInArrow(run, "shard int, data binary").groupBy("shard").applyInPandas(mark, "shard int, data binary")
+    marks = docs.select("text").mapInArrow(lean(run), "shard int, data binary").groupBy("shard").applyInPandas(lean(mark), "shard int, data binary")
     out = np.zeros((shards, size // 8), np.uint8)
     for r in marks.toLocalIterator():
         out[r["shard"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
@@ -146,7 +173,7 @@ def by_document(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndar
 def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) -> DataFrame:
     """Rows of runs for each shard (shard, data), and rows of what a block has already found repeated in itself (with doc and mark, in a shard of their hash).
 
-    Of runs that are equal byte for byte (64-bit hash and length) within a block only the earliest is shipped.
+    Of runs that are equal byte for byte within a block only the earliest is shipped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -163,16 +190,13 @@ def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) ->
                 if not out:
                     continue
                 row, start, n, anchor, at = (np.concatenate(x) for x in zip(*out))
-                same = span_hashes(prefix_sums(buf), at, at + n + length - 1)
                 order = np.lexsort((start, mark[row], doc[row]))
-                row, start, n, anchor, at, same = (x[order] for x in (row, start, n, anchor, at, same))
+                row, start, n, anchor, at = (x[order] for x in (row, start, n, anchor, at))
                 # Repeated rows of one document bring a run twice, and never as a repeat of itself.
                 twin = np.zeros(len(row), bool)
                 twin[1:] = (doc[row[1:]] == doc[row[:-1]]) & (mark[row[1:]] == mark[row[:-1]]) & (start[1:] == start[:-1])
-                row, start, n, anchor, at, same = (x[~twin] for x in (row, start, n, anchor, at, same))
-                _, first = np.unique(same, return_index=True)
-                later = np.ones(len(same), bool)
-                later[first] = False
+                row, start, n, anchor, at = (x[~twin] for x in (row, start, n, anchor, at))
+                later = first_equal(buf, at, at + n + length - 1) != np.arange(len(row))
                 found = by_document(doc[row[later]], mark[row[later]], start[later], n[later])
                 if len(found):
                     found["shard"] = (mix64(found["mark"].to_numpy().view(np.uint64)) % np.uint64(shards)).astype(np.int32)
@@ -188,7 +212,7 @@ def ship_runs(docs: DataFrame, bitmap: np.ndarray, length: int, shards: int) ->
                     data.append(pack(doc[row[k]], mark[row[k]], start[k], n[k].astype(np.int64), anchor[k], buf[ragged(at[k], n[k] + length - 1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(data, pa.binary())], names=["shard", "doc", "mark", "data"])
 
-    return docs.select("doc", "mark", "text").mapInArrow(run, "shard int, doc long, mark long, data binary")
+    return docs.select("doc", "mark", "text").mapInArrow(lean(run), "shard int, doc long, mark long, data binary")
 
 
 SHIPPED = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("data", pa.binary())])
@@ -247,22 +271,20 @@ def search_shard(parts: list[bytes], length: int) -> pd.DataFrame:
     text = np.concatenate([x[5] for x in loaded])
     size = n + length - 1
     at = np.cumsum(size) - size
-    same = span_hashes(prefix_sums(text), at, at + size)
     order = np.lexsort((start, mark, doc))
     # Repeated rows of one document bring a run twice: once is enough.
-    doc, mark, start, n, anchor, at, same = (x[order] for x in (doc, mark, start, n, anchor, at, same))
+    doc, mark, start, n, anchor, at, size = (x[order] for x in (doc, mark, start, n, anchor, at, size))
     twin = np.zeros(len(doc), bool)
     twin[1:] = (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (start[1:] == start[:-1])
-    _, first = np.unique(same, return_index=True)
-    whole = np.ones(len(doc), bool)
-    whole[first] = False
+    whole = first_equal(text, at, at + size) != np.arange(len(doc))
+    # Of distinct runs, those that share their anchor, or hold it more than once.
+    k = np.flatnonzero(~whole)
     whole &= ~twin
     found = [(doc[whole], mark[whole], start[whole], n[whole])]
-    # Of distinct runs, those that share their anchor, or hold it more than once.
-    k = first[np.argsort(first)]
     _, which, times = np.unique(anchor[k], return_inverse=True, return_counts=True)
     sums = prefix_sums(text)
-    k = k[(times[which] > 1) | (held(sums, at[k], size[order][k], anchor[k]) > 1)]
+    k = k[(times[which] > 1) | (held(sums, at[k], size[k], anchor[k]) > 1)]
+    del sums
     if len(k):
         family, views = Family(length), np.lib.stride_tricks.sliding_window_view(text, length)
         end = np.cumsum(n[k])
@@ -294,16 +316,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # Document ids of 64 bits must not pass through floats where a column has nulls: they travel as decimal text.
     shipped = ship_runs(docs, bitmap, length, shards).select("shard", F.col("doc").cast("string").alias("doc"), F.col("mark").cast("string").alias("mark"), "data")
-    both = shipped.groupBy("shard").applyInPandas(search, "shard int, doc long, mark long, data binary")
+    both = shipped.groupBy("shard").applyInPandas(lean(search), "shard int, doc long, mark long, data binary")
     return both.groupBy("doc", "mark").agg(F.collect_list("data").alias("runs"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds doc (order of documents; null last), mark (hash of the text) and the text without nulls."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))).withColumn("_mark", F.xxhash64(text)).withColumn("_text", text)
-
-
 def spans_of(parts: list[bytes], size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed byte runs (starts, ends) from the packed runs of one document."""
     x = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in parts])
@@ -314,10 +330,10 @@ def spans_of(parts: list[bytes], size: int, length: int) -> tuple[np.ndarray, np
 
 
 def with_runs(docs: DataFrame, length: int) -> DataFrame:
-    own = keyed(docs)
-    found = removed_runs(own.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), F.col("_text").alias("text")), length)
-    found = found.select(F.col("doc").alias("_d"), F.col("mark").alias("_m"), F.col("runs").alias("_runs"))
-    return own.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
+    """(row, doc, mark, text, runs): each whole row of ``docs``, the order of its document (null last), a hash of its text, the text without nulls, and its removed runs."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = with_row(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), mark=F.xxhash64(text), text=text)
+    return own.join(removed_runs(own.select("doc", "mark", "text"), length), ["doc", "mark"], "left")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -329,44 +345,47 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            buf, offs = utf8(batch.column(1))
-            raw, out = buf.tobytes(), []
-            for k, parts in enumerate(batch.column(2).to_pylist()):
-                data = raw[offs[k] : offs[k + 1]]
-                if not parts:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-                    continue
-                a, b = spans_of(parts, len(data), length)
-                sha = hashlib.sha256()
-                for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)]):
-                    sha.update(data[x:y])
-                out.append((len(data), int((b - a).sum()), len(a), sha.hexdigest()))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for first, last in blocks(batch.column(1), 4 << 20):
+                buf, offs = utf8(batch.column(1)[first:last])
+                raw, out = buf.tobytes(), []
+                for k, parts in enumerate(batch.column(2)[first:last].to_pylist()):
+                    data = raw[offs[k] : offs[k + 1]]
+                    if not parts:
+                        out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                        continue
+                    a, b = spans_of(parts, len(data), length)
+                    sha = hashlib.sha256()
+                    for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)]):
+                        sha.update(data[x:y])
+                    out.append((len(data), int((b - a).sum()), len(a), sha.hexdigest()))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
-    return joined.select("doc_id", "_text", "_runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("row.doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the removed bytes cut out of text; a character that loses some of its bytes goes as a whole. Other columns stay as they are."""
+    """``docs`` with the removed bytes cut out of text; a character that loses some of its bytes goes as a whole. Other columns, of any names, stay as they are."""
 
     def run(batches):
         for batch in batches:
-            buf, offs = utf8(batch.column(batch.num_columns - 2))
-            raw, out = buf.tobytes(), []
-            for k, parts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                data = raw[offs[k] : offs[k + 1]]
-                if parts:
-                    a, b = spans_of(parts, len(data), length)
-                    data = b"".join(data[x:y].decode("utf-8", "ignore").encode() for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)]))
-                out.append(data.decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*rest, "text"])
-
-    rest = [c for c in docs.columns if c != "text"]
-    joined = with_runs(docs, length).select(*rest, "_text", "_runs")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), "text string"])
-    return joined.mapInArrow(run, schema).select(*docs.columns)
+            for first, last in blocks(batch.column(1), 4 << 20):
+                buf, offs = utf8(batch.column(1)[first:last])
+                raw, out = buf.tobytes(), []
+                for k, parts in enumerate(batch.column(2)[first:last].to_pylist()):
+                    data = raw[offs[k] : offs[k + 1]]
+                    if parts:
+                        a, b = spans_of(parts, len(data), length)
+                        data = b"".join(data[x:y].decode("utf-8", "ignore").encode() for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)]))
+                    out.append(data.decode())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(out, pa.string())], names=["row", "text"])
+
+    rest = docs.drop("text")
+    names = F.struct(*[F.col("row").getField(c).alias(c) for c in rest.columns]).alias("row")
+    joined = with_runs(docs, length).select(names, "text", "runs")
+    done = joined.mapInArrow(lean(run), row_schema(rest, "text string"))
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,16 @@ def test_repeated_rows_of_one_block(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = sorted((g.doc_id or -1, *tuple(g)[1:]) for g in S.digests(docs).collect())
     assert got == sorted((-1 if i is None else i, *want[S.LAST if i is None else i, t or ""]) for i, t in rows)
+
+
+def test_regular_texts_and_clashes(spark):
+    """Passages that collide under sums of powers are no repeats; columns of any name stay."""
+    morse = ["".join("ab"[(bin(k).count("1") + x) % 2] for k in range(2048)) for x in (0, 1)]
+    rows = [(1, f"{morse[0]} one"), (2, f"{morse[1]} two"), (3, morse[1])]
+    docs = spark.createDataFrame([(*x, "d", "r", 1) for x in rows], "doc_id long, text string, doc string, runs string, row int").coalesce(1)
+    want = brute(rows, 100)
+    assert {(g.doc_id, g.n_removed) for g in S.digests(docs).collect()} == {(i, w[1]) for (i, _), w in want.items()}
+    out = S.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert all((r.doc, r.runs, r.row) == ("d", "r", 1) and len(r.text) == want[r.doc_id, dict(rows)[r.doc_id]][0] - want[r.doc_id, dict(rows)[r.doc_id]][1] for r in out.collect())
+    assert S.deduplicate(docs.limit(0)).count() == 0

@@ -16,7 +16,6 @@ def test_pack(values):
 
 def brute(rows):
     tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     out, start = [], 0
     for i, text in sorted(rows, key=lambda r: r[0]):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
@@ -26,8 +25,8 @@ def brute(rows):
 
 
 def test_query(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(T, "FILE_IDS", 3000)
-    rows = [(i * 7 % 501, None if i % 50 == 0 else "" if i % 51 == 0 else f"the word{i} of Ünïcode " * (i % 9)) for i in range(501)] + [(9999, "long text " * 30000)]
+    monkeypatch.setattr(T, "FILE_BYTES", 9000)
+    rows = [(i * 7 % 501, None if i % 50 == 0 else "" if i % 51 == 0 else f"the word{i} of Ünïcode " * (i % 9)) for i in range(501)] + [(9999, "long text " * 30000), (8888, "junk <|endoftext|> line")]
     spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, start string, n_tokens int").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in T.query(spark, str(tmp_path)).collect())
     assert got == brute(rows)

@@ -46,3 +46,31 @@ def test_added_tokens(name, texts):
     ids, at = tokens.memory(tokens.vocabulary(name)).encode(pa.array(texts, pa.string()))
     for k, text in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def morse(bit):
+    return "".join("ab"[(bin(k).count("1") + bit) % 2] for k in range(1024))
+
+
+@pytest.mark.parametrize("name", PLACES)
+def test_words_of_a_regular_shape(name):
+    """Words that collide under sums of powers, and hits that are not what the memory holds."""
+    plain, memory = Tokenizer.from_file(tokens.vocabulary(name)), tokens.WordMemory(tokens.vocabulary(name))
+    for texts in ([morse(0), morse(1)], [f"x {morse(1)} {morse(0)}"]):
+        ids, at = memory.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    memory.encode(pa.array(["some other words"]))
+    memory.text[:] = 0  # every hit now fails its comparison
+    ids, _ = memory.encode(pa.array(["some other words"]))
+    assert ids.tolist() == plain.encode("some other words", add_special_tokens=False).ids
+
+
+def test_keeps_frequent_parts(monkeypatch):
+    memory = tokens.WordMemory(tokens.vocabulary(PLACES[0]))
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    for k in range(30):
+        text = "often met. " * 3 + f"once{k} and{k} never{k}"
+        ids, _ = memory.encode(pa.array([text]))
+        assert ids.tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
+    assert 0 < len(memory.keys) <= 60

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, drop, mix64, prefix_sums, span_hashes, utf8, words, written
+from .common import LOWER, WORD, blocks, drop, lean, mix64, span_hashes, utf8, with_row, words, written
 from .components import components
 
 SHINGLE = 5
@@ -36,6 +36,10 @@ BLOCK = 2 << 20
 MERGE = 256
 #: Prefix entries (8 bytes) that one shard holds, about.
 SHARD = 1_000_000
+#: Nodes (16 bytes each) whose texts are found by a broadcast; more are joined by shuffle.
+BROADCAST_NODES = 500_000
+#: Rows of tiles that one task of the tree round gets, about.
+TREE_ROWS = 25_000
 #: Points of a leaf or children of an inner node of the R-tree.
 FANOUT = 32
 #: Members of a tile that all its members are held against, in the first and the second round.
@@ -51,7 +55,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     starts, ends, first = words(buf, offs)
-    codes = span_hashes(prefix_sums(LOWER[buf]), starts, ends)
+    codes = span_hashes(LOWER[buf], starts, ends)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     left = np.repeat(first[1:], n) - np.arange(len(codes))  # words from here to the end of the row
@@ -83,7 +87,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(x), np.int64)
         return pd.DataFrame({"piece": own["piece"].iloc[:1], "slot": own["slot"].iloc[:1] // MERGE, "data": [zlib.compress(total.tobytes(), 1)]})
 
-    parts = docs.select("text").mapInArrow(run, "piece int, slot long, data binary")
+    parts = docs.select("text").mapInArrow(lean(run), "piece int, slot long, data binary")
     left = docs.rdd.getNumPartitions()
     while True:  # a tree of sums: no task adds more than MERGE partial pieces
         parts = parts.groupBy("piece", F.floor(F.col("slot") / MERGE)).applyInPandas(add, "piece int, slot long, data binary")
@@ -115,7 +119,7 @@ def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
-    """A row for each document (shard -1: doc_id, n, node, point) and rows of packed prefix entries for the shards of the index.
+    """A row for each document (shard -1: doc_id, mark (a hash of its text), n, node, point) and rows of packed prefix entries for the shards of the index.
 
     node: hash of the set (64 bits, with its size; among a thousand million distinct sets about 0.03 pairs collide); 0 for the empty set.
     """
@@ -130,8 +134,8 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                 node = node_of(h, at)
                 points = np.bincount(row * GROUPS + (h >> np.uint64(64 - 9)).astype(np.int64), minlength=(b - a) * GROUPS).astype("<u4").reshape(-1, GROUPS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * (b - a), pa.int32()), batch.column(0)[a:b], pa.array(n), pa.array(node.view(np.int64)), pa.array([zlib.compress(p.tobytes(), 1) for p in points], pa.binary())],
-                    names=["shard", "doc_id", "n", "node", "data"],
+                    [pa.array([-1] * (b - a), pa.int32()), batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n), pa.array(node.view(np.int64)), pa.array([zlib.compress(p.tobytes(), 1) for p in points], pa.binary())],
+                    names=["shard", "doc_id", "mark", "n", "node", "data"],
                 )
                 prefix = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
                 once = np.zeros(b - a, bool)
@@ -148,15 +152,20 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                     high = h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
                     data.append(pickle.dumps((node[row[own[first]]], np.diff(np.r_[first, len(own)]).astype(np.uint32), high.tobytes()), 5))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.array(np.diff(cut)[used]), pa.nulls(len(used), pa.int64()), pa.array(data, pa.binary())],
-                    names=["shard", "doc_id", "n", "node", "data"],
+                    [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(np.diff(cut)[used]), pa.nulls(len(used), pa.int64()), pa.array(data, pa.binary())],
+                    names=["shard", "doc_id", "mark", "n", "node", "data"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, doc_id long, n long, node long, data binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return own.mapInArrow(lean(run), "shard int, doc_id long, mark long, n long, node long, data binary")
 
 
 def shared_prefixes(entries: DataFrame) -> DataFrame:
-    """(tile, node): prefix shingles (48 bits of their hashes) that at least two nodes have. The number of shards follows the number of entries."""
+    """(tile, node): the nodes of each prefix shingle (48 bits of its hash) that at least two nodes have. The number of shards follows the number of entries.
+
+    A tile is named by a hash of its set of nodes, so that shingles of the same nodes - those of a passage that they share - make one
+    tile, once.
+    """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -170,9 +179,16 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
         x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
         same = x[1:, 0] == x[:-1, 0]
         keep = np.r_[same, False] | np.r_[False, same]
-        return pd.DataFrame({"tile": x[keep, 0].view(np.int64), "node": x[keep, 1].view(np.int64)})
+        x = x[keep]
+        first = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]]) if len(x) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(x)])
+        name = mix64(np.add.reduceat(mix64(x[:, 1]), first) + size.astype(np.uint64)) if len(x) else np.zeros(0, np.uint64)
+        once = np.zeros(len(first), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        rows = np.repeat(once, size)
+        return pd.DataFrame({"tile": np.repeat(name, size)[rows].view(np.int64), "node": x[rows, 1].view(np.int64)})
 
-    return entries.groupBy("shard").applyInPandas(run, "tile long, node long")
+    return entries.groupBy("shard").applyInPandas(lean(run), "tile long, node long").distinct()
 
 
 def unfold(points) -> np.ndarray:
@@ -219,18 +235,17 @@ class CountTree:
             yield query, self.order[node]
 
 
-def tree_pairs(tiles: DataFrame) -> DataFrame:
+def tree_pairs(tiles: DataFrame, points: DataFrame, buckets: int) -> DataFrame:
     """(a, b), a > b: pairs of different components whose bound suffices, from an R-tree for each tile or pair of parts of a large tile.
 
-    ``tiles``: tile, node, component, n, point.
+    ``tiles``: tile, node, component, n; ``points``: node, point - only tiles of several components get theirs.
     """
     counts = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
     parts = F.ceil(F.col("members") / TILE).cast("int")
     own = tiles.join(counts.select("tile", parts.alias("parts")), "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    n_buckets = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = own.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(n_buckets * 4)))
+    own = own.join(points, "node").withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(buckets)))
 
     def run(mine: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
@@ -249,7 +264,7 @@ def tree_pairs(tiles: DataFrame) -> DataFrame:
         found = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return own.select("bucket", "tile", "i", "j", "part", "node", "component", "n", "point").groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    return own.select("bucket", "tile", "i", "j", "part", "node", "component", "n", "point").groupBy("bucket").applyInPandas(lean(run), "a long, b long").distinct()
 
 
 def enough(n_a: Column, n_b: Column) -> Column:
@@ -271,14 +286,14 @@ def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def remake(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of all nodes of ``pairs``, made again from the text of a document of each."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = written(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_d"), F.col("node").alias("_node")), "asked")
-    if asked.count() <= 200_000:  # 16 bytes each
+    if asked.count() <= BROADCAST_NODES:
         asked = F.broadcast(asked)
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("_node", "text")
 
@@ -290,7 +305,7 @@ def remake(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(node_of(h, at).view(np.int64) == batch.column(0)[a:b].to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(keep)), pa.array([h[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.mapInArrow(lean(run), "node long, shingles binary")
 
 
 def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -309,25 +324,21 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): the smallest doc_id that links reach.
 
-    Null and empty texts have no shingles and are linked with nothing; their component is themselves. Rows of equal sets are
-    linked. A null doc_id counts as largest; a component of null doc_ids alone has a null component_id. An empty table gives no rows.
-    """
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, component) of each row of ``docs`` (doc_id, text without nulls): its set's size and a number of its component; 0 for empty sets."""
     counts = sketch(docs)
     order = np.ceil(np.log2(counts + 1)).astype(np.int64)
-    described = written(describe(docs, order, max(1, int(counts.sum()) // 5 // SHARD)), "described")
-    rows = described.where("shard = -1").select("doc_id", "n", "node", F.col("data").alias("point"))
-    tiles = shared_prefixes(described.where("shard >= 0").select("shard", "data"))
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point")), "nodes")
-    tiles = written(tiles.join(nodes.select("node", "n"), "node"), "tiles")
-    links, label = None, None
-    tested = None
+    entries = int(counts.sum()) // 5
+    described = written(describe(docs, order, max(1, entries // SHARD)), "described")
+    own = described.where("shard = -1")
+    rows = written(own.select("doc_id", "mark", "n", "node"), "rows")
+    nodes = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("data").alias("point")), "nodes")
+    tiles = written(shared_prefixes(described.where("shard >= 0").select("shard", "data")).join(nodes.select("node", "n"), "node"), "tiles")
+    drop(described)
+    links, label, tested, passing = None, None, None, []
     for turn in range(3):
         if label is None:
             own = tiles.withColumn("component", F.col("node"))
@@ -340,32 +351,57 @@ def similar(docs: DataFrame) -> DataFrame:
             pairs = own.join(pivot, "tile").where((F.col("component") != F.col("cb")) & enough(F.col("n"), F.col("nb")))
             pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         else:
-            more = own.groupBy("tile").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("tile")  # pairs are tested
-            pairs = tree_pairs(own.join(more, "tile", "left_semi").join(nodes.select("node", "point"), "node"))
+            pairs = tree_pairs(own, nodes.select("node", "point"), max(1, tiles.count() // TREE_ROWS))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(within_bound(pairs, nodes) if turn < 2 else pairs, "pairs")
         found = written(remake(docs, pairs, nodes), "sets")
         linked = written(verify(pairs, found), "verified")
         drop(found)
+        passing += [pairs, linked]
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = linked if links is None else links.unionByName(linked)
         label = written(components(links, 1 if turn == 0 else None), "labels")
-    member = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(member.join(least, "component").select("node", "component_id"), "named")
-    if named.count() <= 100_000:
-        named = F.broadcast(named)
-    out = rows.select("doc_id", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(label, "node", "left").select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.lit(0)).alias("component"))
+    out = written(out, "labelled")
+    drop(rows, nodes, tiles, label, *passing)
+    return out
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): the smallest doc_id that links reach.
+
+    Null and empty texts have no shingles and are linked with nothing; their component are themselves. Rows of equal sets are
+    linked. A null doc_id counts as largest; a component of null doc_ids alone has a null component_id. An empty table gives no
+    rows; very long texts are one set like others; other columns are not read.
+    """
+    rows = labelled(plain(docs))
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    out = rows.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id. Documents without shingles or id stay; of rows with an equal doc_id one stays."""
-    found = similar(docs)
-    gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return with_id.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each component: that with the smallest doc_id (null last; of these that with the least hash of its text).
+
+    Documents without shingles stay, all of them. Rows of equal doc_id and text are one document, of which one row stays; rows of equal
+    doc_id and different texts are documents of their own.
+    """
+    key = lambda doc_id: F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+    rows = labelled(plain(docs)).where("n > 0")
+    rows = rows.select(key(F.col("doc_id")).alias("d"), F.col("mark").alias("m"), "component").distinct()
+    first = rows.groupBy("component").agg(F.min(F.struct("d", "m")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    gone = rows.join(first, "component").where("struct(d, m) <> first").select("d", "m")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = with_row(docs, d=key(F.col("doc_id")), m=F.xxhash64(text), empty=~F.exists(F.split(text, f"[{WORD[2:-2]}]+", 3), lambda w: w != ""))
+    kept = own.join(gone, ["d", "m"], "left_anti")
+    again = kept.where(~F.col("empty")).groupBy("d", "m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d", "m")
+    once = kept.where(~F.col("empty")).join(again, ["d", "m"], "left_semi").dropDuplicates(["d", "m"])
+    return kept.join(again, ["d", "m"], "left_anti").unionByName(once).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from duopanel.llm import components as C
 from duopanel.llm import jaccard_join as J
 
@@ -63,11 +64,31 @@ def test_keep_one_and_empty(spark):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r.doc_id for r in J.keep_one(docs).collect()]
-    want = {i for i, n, c in brute(rows) if i is not None and i == c}
-    assert sorted(i for i in kept if i is not None) == sorted(want)
+    want = {i for i, n, c in brute(rows) if i is not None and (i == c or n == 0)}
+    assert sorted({i for i in kept if i is not None}) == sorted(want)
+    assert kept.count(None) == 1  # the other one is a copy
     assert J.similar(docs.limit(0)).count() == 0
 
 
+def test_keep_one_same_ids(spark):
+    """Rows of one id: different texts are documents of their own, equal ones are one; other columns may have any names."""
+    rows = [(7, "one two three four five six", 1), (7, "completely other words that nobody else has", 2), (7, "one two three four five six", 3), (8, "one two three four five six", 4), (9, None, 5), (9, "", 6), (9, " ", 7), (None, "a b c d e f", 8), (None, "a b c d e f", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component int").withColumn("mark", F.lit("m")).withColumn("d", F.lit(1)).withColumn("empty", F.lit(True))
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [r.component for r in kept.collect()]
+    assert sum(x in got for x in (1, 3)) == 1 and sum(x in got for x in (8, 9)) == 1
+    assert sorted(x for x in got if x not in (1, 3, 8, 9)) == [2, 5, 6, 7]
+    assert J.keep_one(docs.limit(0)).count() == 0
+
+
+def test_regular_words(spark):
+    """Two words whose sums of powers are equal are not linked."""
+    morse = ["".join("ab"[(bin(k).count("1") + x) % 2] for k in range(1024)) for x in (0, 1)]
+    got = J.similar(spark.createDataFrame([(1, morse[0]), (2, morse[1]), (3, morse[1])], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_tree():
     r = np.random.default_rng(1)
     points = r.poisson(3, (500, J.GROUPS))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import blocks, lean, row_schema, utf8, with_row, written
 
 #: Pixels in a row of the image that holds a payload: 64 RGB pixels are 192 bytes.
 WIDTH = 64
@@ -105,64 +105,65 @@ def difference_hash(tile: np.ndarray) -> str:
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
-def encode_column(df: DataFrame, text: str = "text", media: str = "media", form: str = "ppm", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with a media column: the padded UTF-8 bytes of ``text`` as RGB samples of a PPM or BMP image.
+def encode_column(df: DataFrame, text: str = "text", form: str = "ppm") -> DataFrame:
+    """(row, media, n_bytes): each whole row of ``df``, the padded UTF-8 bytes of ``text`` as RGB samples of a PPM or BMP image, and
+    their number before padding.
 
-    Null and empty texts give an image of one row of blanks. Long texts give tall images; nothing is cut.
-    Other columns (``keep``: those only) stay; an existing column named ``media`` is replaced. ``<media>_bytes_in`` is the length before padding.
+    Null and empty texts give an image of one row of blanks; very long texts give tall images; nothing is cut. Repeated rows are
+    encoded each; an empty table gives no rows. Columns of ``df`` may have any names: they stay in ``row``.
     """
     to = {"ppm": to_ppm, "bmp": to_bmp}[form]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in (media, f"{media}_bytes_in")]
 
     def run(batches):
         for batch in batches:
-            data, offs = utf8(batch.column(batch.schema.names.index("_text")))
-            raw = data.tobytes()
-            made = [to(np.frombuffer(pad(raw[a:b], WIDTH * 3), np.uint8).reshape(-1, WIDTH, 3)) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(offs)), pa.array(made, pa.binary())], names=[*kept, f"{media}_bytes_in", media])
+            for a, b in blocks(batch.column(1)):
+                data, offs = utf8(batch.column(1)[a:b])
+                raw = data.tobytes()
+                made = [to(np.frombuffer(pad(raw[x:y], WIDTH * 3), np.uint8).reshape(-1, WIDTH, 3)) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(made, pa.binary()), pa.array(np.diff(offs))], names=["row", "media", "n_bytes"])
 
-    inner = df.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{media}_bytes_in` long", f"`{media}` binary"])
-    return inner.mapInArrow(run, schema)
+    return with_row(df, text=F.col(text)).mapInArrow(lean(run), row_schema(df, "media binary, n_bytes long"))
 
 
 def decode_column(df: DataFrame, media: str = "media") -> DataFrame:
-    """Per row of a media column: samples read back, area-resized tile as NPY bytes, difference hash.
-
-    Adds payload (binary), tile (binary, an NPY file of float64) and dhash (string); a null image gives nulls.
-    """
-    kept = [c for c in df.columns if c not in ("payload", "tile", "dhash")]
-    where = kept.index(media)
+    """(row, payload, tile, dhash): each whole row of ``df``, the samples of its image, its area-resized tile as the bytes of an NPY
+    file (float32) and its difference hash; a null image gives nulls."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for value in batch.column(where):
-                if not value.is_valid:
-                    out.append((None, None, None))
-                    continue
-                pixels = decode(value.as_py())
-                tile = area_resize(pixels, TILE)
-                out.append((pixels.tobytes(), npy(tile), difference_hash(tile)))
-            payload, tile, dhash = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(tile, pa.binary()), pa.array(dhash, pa.string())], names=[*kept, "payload", "tile", "dhash"])
+            for a, b in blocks(batch.column(1)):
+                out = []
+                for value in batch.column(1)[a:b].to_pylist():
+                    if value is None:
+                        out.append((None, None, None))
+                        continue
+                    pixels = decode(value)
+                    tile = area_resize(pixels, TILE)
+                    out.append((pixels.tobytes(), npy(tile.astype("<f4")), difference_hash(tile)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.string())))], names=["row", "payload", "tile", "dhash"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), "payload binary, tile binary, dhash string"])
-    return df.select(*kept).mapInArrow(run, schema)
+    return with_row(df, media=F.col(media)).mapInArrow(lean(run), row_schema(df, "payload binary, tile binary, dhash string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: digests of the stored image and of what is read back from it, for every document."""
+    """op6: digests of the stored image and of what is read back from it, for every document.
+
+    The images are written as a media column in the shared folder; they are read again from there, and their tiles are written as a
+    column of NPY files, from which the feature comes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decode_column(encode_column(docs, keep=["doc_id"]))
-    size = F.octet_length("payload")
-    return found.select(
-        "doc_id",
-        F.col("media_bytes_in").alias("n_bytes"),
-        size.cast("long").alias("payload_bytes"),
+    stored = encode_column(docs).select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "media")
+    found = decode_column(written(stored, "media", "zstd"))
+    tiles = found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("row.n_bytes").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -16, 16)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.col("dhash"), F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16)).alias("feature"),
+        F.octet_length("row.media").cast("long").alias("media_bytes"),
+        F.sha2("row.media", 256).alias("media_sha256"),
+        "dhash",
+        "tile",
     )
+    tiles = written(tiles, "tiles", "zstd")
+    return tiles.select(*tiles.columns[:-2], F.concat(F.col("dhash"), F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16)).alias("feature"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, with_row, written
 
 #: A rate table of up to so many sources is broadcast (about 100 bytes each); a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -53,24 +53,20 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, size: str, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs`` (doc_id, source, ``size``, more columns) with source_size, target, rate and copies.
+    """(row, size, source_size, target, rate, copies): each whole row of ``docs`` (doc_id, source, ``size``, more columns of any names) and how often it is taken.
 
     rate = target / source_size; a document is taken floor(rate) times, and once more if a number that
     depends on its doc_id alone lies below the fraction: reruns and lost executors give the same copies.
     Rows with equal doc_id share that number. A null doc_id is a key of its own. A source without words
-    has target 0 and is not taken.
+    has target 0 and is not taken. An empty table gives no rows.
     """
-    rates = written(source_targets(docs.select("source", F.col(size).alias("size")), max_repeats), "rates").withColumnRenamed("source", "_source")
+    rates = written(source_targets(docs.select("source", F.col(size).alias("size")), max_repeats), "rates").drop("weight")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
-    extra = (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source", "weight")
-        .withColumn("rate", rate)
-        .withColumn("copies", F.floor("rate") + extra)
-    )
+    extra = (uniform(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    own = with_row(docs, size=F.col(size)).join(rates, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
+    return own.withColumn("rate", rate).withColumn("copies", F.floor("rate") + extra)
 
 
 def mix(docs: DataFrame, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
@@ -78,16 +74,16 @@ def mix(docs: DataFrame, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
 
     Null text has size 0; an empty table gives an empty mixture; extra columns stay as they are.
     """
-    sized = docs.select("*", n_words().alias("_size"))
-    kept = with_copies(sized.select("doc_id", "source", "_size", F.struct(*[docs[c] for c in docs.columns]).alias("_row")), "_size", max_repeats, seed)
-    return kept.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    sized = docs.select("doc_id", "source", n_words().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    kept = with_copies(sized, "size", max_repeats, seed).where("copies > 0").select("row.whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return kept.select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: size, target and words taken of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = written(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
-    return with_copies(sizes, "size").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return with_copies(sizes, "size").select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""

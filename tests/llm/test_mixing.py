@@ -46,3 +46,13 @@ def test_empty_and_repeated(spark):
     twice = spark.createDataFrame([(1, "a b", None), (1, "a b", None)], "doc_id long, text string, source string")
     assert mixing.mix(twice).count() == 2
     assert written(twice, "t").count() == 2
+
+
+def test_null_ids_and_clashes(spark):
+    rows = [(None, "a b c", "s", 5, 6, 7, "w"), (None, None, "t", 5, 6, 7, "w"), (1, "a " * 50_000, "s", 5, 6, 7, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int, target int, row int, weight string")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert all((r.rate, r.target, r.row, r.weight) == (5, 6, 7, "w") for r in out.collect())
+    found = {r.row.text: r.copies for r in mixing.with_copies(docs.withColumn("n", mixing.n_words()), "n").collect()}
+    assert found[None] == 0 and set(found) == {x[1] for x in rows}

@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index (operator 4).
 
 Archives: one gzip member for each record, one file for each writing task. Index: lines sorted by reversed-host
-URL key in deflated blocks of some thousand lines; directory: the first key of each block and its place. A lookup
-searches the directory by bisection, reads one block, searches in it, and reads the record's range of the archive.
+URL key in deflated blocks of some thousand lines; directory: the first and last key of each block and its place, itself in
+deflated pages of PAGE blocks, so that what tasks hold in memory is one row for each page: two million captures. A lookup
+searches the pages by bisection, then the page, reads one block, searches in it, and reads the record's range of the archive.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt, filesystem, new_dir, written
+from .common import attempt, filesystem, lean, new_dir, written
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
 #: Lines of an index block.
 BLOCK_LINES = 2000
-#: Directory rows (about 100 bytes each) that are sent to all tasks; a larger index is joined by shuffle instead.
-BROADCAST_BLOCKS = 200_000
+#: Blocks of a page of the directory.
+PAGE = 1000
+#: Stands for a null page_id in joins.
+NULL_PAGE = -(2**63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 LINE = "key string, page_id long, file string, offset long, length long"
@@ -90,17 +93,17 @@ def with_roles(pages: DataFrame) -> DataFrame:
     """``pages`` with payload_digest, record_type and refers_to.
 
     Of equal payloads of at least LEAST_REVISIT bytes those with the largest page_id are responses (repeated rows:
-    each of them; a null page_id counts as the smallest), the others revisit it. Only groups of several page_ids
-    are joined back, one row each; a group that holds many pages is split by adaptive execution.
+    each of them; a null page_id counts as the smallest), the others revisit it. Roles come from digests and page_ids alone; html is
+    shuffled, if at all, by page and digest, so that pages of one hot payload go to many tasks.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
-    large = F.octet_length("html") >= LEAST_REVISIT
-    groups = own.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisit = large & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return own.join(groups, "payload_digest", "left").select(
-        "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"), "payload_digest"
-    )
+    keyed = own.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    groups = keyed.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n")
+    revisits = keyed.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("last"))).distinct()
+    revisits = revisits.select(F.coalesce("page_id", F.lit(NULL_PAGE)).alias("key"), "payload_digest", F.col("last").alias("refers_to"))
+    joined = own.withColumn("key", F.coalesce("page_id", F.lit(NULL_PAGE))).join(revisits, ["key", "payload_digest"], "left")
+    return joined.select("page_id", "url", "html", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to", "payload_digest")
 
 
 def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -122,11 +125,11 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
         if out:
             out.close()
 
-    return written(with_roles(pages).mapInArrow(run, LINE), "captures")
+    return written(with_roles(pages).mapInArrow(lean(run), LINE), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort the captures by key into deflated blocks; the directory: first, last (keys), file, offset, length."""
+    """Sort the captures by key into deflated blocks and their directory into deflated pages; a row for each page: first, last (keys), file, offset, length."""
 
     def run(batches):
         fs, base = filesystem(folder)
@@ -136,67 +139,86 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         first = next(rows, None)
         if first is None:
             return
-        found = []
+        entries, found = [], []
+
+        def put(out, text):
+            nonlocal at
+            data = zlib.compress(text.encode())
+            out.write(data)
+            at += len(data)
+            return at - len(data), len(data)
+
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             while first is not None:
                 block = [first, *islice(rows, BLOCK_LINES - 1)]
-                text = "\n".join(f"{k} {json.dumps({'page_id': p, 'filename': f, 'offset': o, 'length': n})}" for k, p, f, o, n in block)
-                data = zlib.compress(text.encode())
-                out.write(data)
-                found.append((block[0][0], block[-1][0], name, at, len(data)))
-                at += len(data)
+                place = put(out, "\n".join(f"{k} {json.dumps({'page_id': p, 'filename': f, 'offset': o, 'length': n})}" for k, p, f, o, n in block))
+                entries.append((block[0][0], block[-1][0], *place))
                 first = next(rows, None)
+                if len(entries) == PAGE or first is None:
+                    found.append((entries[0][0], entries[-1][1], name, *put(out, json.dumps(entries))))
+                    entries = []
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["first", "last", "file", "offset", "length"])
 
     n = max(1, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = captures.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return written(ordered.mapInArrow(run, "first string, last string, file string, offset long, length long"), "directory")
+    return written(ordered.mapInArrow(lean(run), "first string, last string, file string, offset long, length long"), "directory")
 
 
-def read_block(fs, path: str, offset: int, length: int) -> list[tuple[str, dict]]:
+def read_part(fs, path: str, offset: int, length: int) -> str:
     with fs.open_input_file(path) as file:
-        text = zlib.decompress(file.read_at(length, offset)).decode()
+        return zlib.decompress(file.read_at(length, offset)).decode()
+
+
+def read_block(fs, path: str, offset: int, length: int) -> list[tuple[str, dict]]:
     out = []
-    for line in text.split("\n"):
+    for line in read_part(fs, path, offset, length).split("\n"):
         url, page, rest = line.split(" ", 2)
         out.append((f"{url} {page}", json.loads(rest)))
     return out
 
 
-def look_up(keys: DataFrame, captures: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
-    """All captures (LINE) of distinct keys (column key): bisection in the directory, then in one block or more.
+def overlapping(parts: list[tuple], key: str):
+    """Numbers of the sorted parts (first, last, ...) that may hold ``key``, by bisection."""
+    k = bisect.bisect_left(parts, key, key=lambda x: x[1])
+    while k < len(parts) and parts[k][0] <= key:
+        yield k
+        k += 1
+
+
+def look_up(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """All captures (LINE) of distinct keys (column key): bisection in the pages, in a page, and in a block, or in more where a key goes on.
 
-    Keys come sorted, so that a task reads each block once. A directory of more than BROADCAST_BLOCKS rows is not
-    sent to the tasks: the keys are joined with the table of captures instead, to the same result.
+    Keys come sorted, so that a task reads each page and block once.
     """
     spark = keys.sparkSession
-    if directory.count() > BROADCAST_BLOCKS:
-        return captures.join(keys, "key", "left_semi").select("key", "page_id", "file", "offset", "length")
     table = spark.sparkContext.broadcast([tuple(r) for r in directory.orderBy("first", "last", "file", "offset").collect()])
 
     def run(batches):
-        blocks = table.value
-        lasts = [b[1] for b in blocks]
+        pages = table.value
         fs, base = filesystem(folder)
-        held: tuple[int, list] = (-1, [])
+        page: tuple[int, list] = (-1, [])
+        block: tuple[tuple, list] = ((), [])
         for batch in batches:
             out = []
             for key in batch.column(0).to_pylist():
-                k = bisect.bisect_left(lasts, key)
-                while k < len(blocks) and blocks[k][0] <= key:
-                    if held[0] != k:
-                        held = (k, read_block(fs, f"{base}/{blocks[k][2]}", *blocks[k][3:]))
-                    lines = held[1]
-                    at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                    while at < len(lines) and lines[at][0] == key:
-                        x = lines[at][1]
-                        out.append((key, x["page_id"], x["filename"], x["offset"], x["length"]))
-                        at += 1
-                    k += 1
+                for p in overlapping(pages, key):
+                    file = pages[p][2]
+                    if page[0] != p:
+                        page = (p, json.loads(read_part(fs, f"{base}/{file}", *pages[p][3:])))
+                    for b in overlapping(page[1], key):
+                        place = (file, *page[1][b][2:])
+                        if block[0] != place:
+                            block = (place, read_block(fs, f"{base}/{file}", *place[1:]))
+                        lines = block[1]
+                        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                        while at < len(lines) and lines[at][0] == key:
+                            x = lines[at][1]
+                            out.append((key, x["page_id"], x["filename"], x["offset"], x["length"]))
+                            at += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, LINE)
+    return keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(lean(run), LINE)
 
 
 def read_records(lines: DataFrame, folder: str) -> DataFrame:
@@ -221,7 +243,7 @@ def read_records(lines: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return lines.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, FOUND)
+    return lines.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(lean(run), FOUND)
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -237,13 +259,14 @@ def keys_of(pages: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: write every page, look every page up in the index, read its record back.
 
-    Null html is an empty payload; null urls and page_ids are stored and found as such; repeated rows give a record each.
+    Null html is an empty payload; null urls and page_ids are stored and found as such; repeated rows give a record each; very long
+    html is one record. An empty table gives no rows; other columns, of any names, are not read.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = new_dir(spark, "warc")
     captures = write_archives(pages, f"{folder}/archives")
     directory = write_index(captures, f"{folder}/index")
-    lines = written(look_up(keys_of(pages), captures, directory, f"{folder}/index"), "lines")
+    lines = written(look_up(keys_of(pages), directory, f"{folder}/index"), "lines")
     return read_records(lines, f"{folder}/archives")
 
 

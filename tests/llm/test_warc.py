@@ -14,6 +14,7 @@ PAGES = [
     (9, "http://www.A.org/x?y", "<p>" + "same " * 300),
     (None, "http://c.d/", "<p>" + "same " * 300),
     (-7, "http://10.0.0.1:8080", "ü\r\n\r\n" * 400),
+    (11, "http://long.org/", "long " * 400_000),
 ]
 
 
@@ -30,9 +31,9 @@ def want(rows):
 def test_query(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(W, "BLOCK_LINES", 3)
     key = lambda r: tuple(map(str, r))
-    spark.createDataFrame([(*r, 1) for r in PAGES], "page_id long, url string, html string, key int").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(*r, 1, "l") for r in PAGES], "page_id long, url string, html string, key int, last string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(map(tuple, W.query(spark, str(tmp_path)).collect()), key=key) == sorted(want(PAGES), key=key)
-    monkeypatch.setattr(W, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(W, "PAGE", 2)
     assert sorted(map(tuple, W.query(spark, str(tmp_path)).collect()), key=key) == sorted(want(PAGES), key=key)
 
 
@@ -48,7 +49,7 @@ def test_keys_and_lookup(spark, tmp_path):
     captures = W.write_archives(pages, str(tmp_path / "a"))
     directory = W.write_index(captures, str(tmp_path / "i"))
     asked = spark.createDataFrame([(W.line_key("http://h3.org/3", 3),), (W.line_key("http://none/", 3),)], "key string")
-    got = W.look_up(asked, captures, directory, str(tmp_path / "i")).collect()
+    got = W.look_up(asked, directory, str(tmp_path / "i")).collect()
     assert [r.page_id for r in got] == [3]
     r = got[0]
     data = (tmp_path / "a" / r.file).read_bytes()[r.offset : r.offset + r.length]

@@ -17,9 +17,7 @@ from duopanel.llm.tokens import vocabulary
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold of operator 2, fitted on the labelled ones among them."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select("*", F.col("text").alias("_scored")), model, docs.columns, "_scored")
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

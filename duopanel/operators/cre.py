@@ -1,24 +1,36 @@
 """Group correlated random effects: between- and within-class moments of event studies.
 
-Everything is a grouped aggregate but one solve of as many unknowns as there are firm classes.
+Everything is a grouped aggregate joined back but one solve of as many unknowns as there are firm classes, whose number is checked.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Firm classes that the driver may solve for; pairs of classes are then a few million rows at most.
+CLASSES = 2000
+
+
+def sides(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of movers, and the cross-section rows of stayers."""
+    still = events.where("m = 0 and cs = 1") if "cs" in events.columns else events.where("m = 0")
+    return events.where("m > 0"), still
+
 
 def between(events: DataFrame) -> DataFrame:
-    """(g, a): class effects from the movers' income changes, the last class 0."""
-    moves = events.where("m > 0")
-    cells = moves.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y2") - F.col("y1")).alias("d")).toPandas()
-    classes = sorted(r["g"] for r in events.select(F.explode(F.array("g1", "g2")).alias("g")).distinct().collect())
+    """(g, a): class effects from the movers' income changes by least squares, the last class 0."""
+    moves, _ = sides(events)
+    cells = moves.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y2") - F.col("y1")).alias("d"))
+    found = events.select(F.explode(F.array("g1", "g2")).alias("g")).distinct().limit(CLASSES + 1).collect()
+    if len(found) > CLASSES:
+        raise ValueError(f"more than {CLASSES} firm classes")
+    classes = sorted(r["g"] for r in found)
     at = {g: k for k, g in enumerate(classes)}
     lhs, rhs = np.zeros((len(classes), len(classes))), np.zeros(len(classes))
-    for g1, g2, n, d in cells.itertuples(index=False):
+    for g1, g2, n, d in cells.toPandas().itertuples(index=False):
         a, b = at[g1], at[g2]
         if a != b:
             lhs[[a, b], [a, b]] += n
@@ -33,40 +45,91 @@ def between(events: DataFrame) -> DataFrame:
 
 
 def demeaned(events: DataFrame, effects: DataFrame) -> DataFrame:
-    """``events`` with mx (mean worker effect of the cell) and y1n, y2n, net of class effects and mx."""
+    """Movers' rows and stayers' cross-section rows with a1, a2, mx (mean worker effect of their pair of classes, or class) and y1n, y2n, net of both."""
     a1 = F.broadcast(effects.select(F.col("g").alias("g1"), F.col("a").alias("a1")))
     a2 = F.broadcast(effects.select(F.col("g").alias("g2"), F.col("a").alias("a2")))
-    own = events.join(a1, "g1").join(a2, "g2")
+    moves, still = sides(events)
+    own = moves.unionByName(still).join(a1, "g1").join(a2, "g2")
     raw = F.when(F.col("m") > 0, (F.col("y1") - F.col("a1") + F.col("y2") - F.col("a2")) / 2).otherwise(F.col("y1") - F.col("a1"))
-    cell = Window.partitionBy("m", "g1", "g2")
-    own = own.withColumn("mx", F.avg(raw).over(cell))
+    own = own.withColumn("mover", (F.col("m") > 0).cast("int"))
+    cells = own.groupBy("mover", "g1", "g2").agg(F.avg(raw).alias("mx"))
+    own = own.join(cells, ["mover", "g1", "g2"])
     return own.withColumn("y1n", F.col("y1") - F.col("a1") - F.col("mx")).withColumn("y2n", F.col("y2") - F.col("a2") - F.col("mx"))
 
 
+def _sums(rows: DataFrame, keys: list[str], names: str) -> DataFrame:
+    """Sums of y1n and y2n and number of rows of each group, as <names>1, <names>2, <names>n."""
+    return rows.groupBy(*keys).agg(F.sum("y1n").alias(f"{names}1"), F.sum("y2n").alias(f"{names}2"), F.count(F.lit(1)).alias(f"{names}n"))
+
+
 def within(net: DataFrame) -> DataFrame:
-    """One row: second moments within classes, and the variance parameters that follow from them.
+    """One row: the sixteen second moments within classes, each with its number of rows (<moment>_count).
 
-    Leave-own-cell-out means of a firm's leavers and joiners come from sums over firm and over firm and class, joined back.
+    A stayer's firm needs movers who leave and movers who join it. A mover's row is held against the other movers of its firm
+    but those who go to (or come from) the same class.
     """
-    moves = net.where("m > 0").select("j1", "j2", "g1", "g2", "y1n", "y2n")
-    out_all = moves.groupBy("j1").agg(F.sum("y1n").alias("o1"), F.sum("y2n").alias("o2"), F.count(F.lit(1)).alias("no"))
-    out_cell = moves.groupBy("j1", "g2").agg(F.sum("y1n").alias("c1"), F.sum("y2n").alias("c2"), F.count(F.lit(1)).alias("nc"))
-    own = moves.join(out_all, "j1").join(out_cell, ["j1", "g2"]).where("no > nc")
-    other1 = (F.col("o1") - F.col("c1")) / (F.col("no") - F.col("nc"))
-    other2 = (F.col("o2") - F.col("c2")) / (F.col("no") - F.col("nc"))
-    leave = own.agg(F.covar_samp("y1n", other1).alias("y1_y1"), F.covar_samp("y2n", other1).alias("y2_y1"), F.covar_samp("y2n", other2).alias("y2_y2"), F.count(F.lit(1)).alias("n_within"))
-    spread = moves.agg(F.var_samp(F.col("y2n") - F.col("y1n")).alias("dy_dy"), F.count(F.lit(1)).alias("n_movers"))
-    still = net.where("m = 0").groupBy("j1").agg(F.avg("y1n").alias("s"), F.count(F.lit(1)).alias("ns"))
-    mixed = still.join(out_all, "j1").agg(F.covar_samp("s", F.col("o1") / F.col("no")).alias("s_y1"), F.sum("ns").alias("n_stayers"))
-    both = leave.crossJoin(spread).crossJoin(mixed)
-    cov_aa = F.col("y2_y1")
-    return both.withColumn("var_psi", F.greatest(F.col("y1_y1") - cov_aa, F.lit(0.0))).withColumn("var_eps", F.greatest(F.lit(0.0), F.col("dy_dy") - 2 * F.col("var_psi")))
+    moves = net.where("mover = 1").select("j1", "j2", "g1", "g2", "y1n", "y2n")
+    still = net.where("mover = 0").select(F.col("j1").alias("j"), "y1n")
+    leave, join = _sums(moves, ["j1"], "o"), _sums(moves, ["j2"], "i")
+    firm = leave.withColumnRenamed("j1", "j").join(join.withColumnRenamed("j2", "j"), "j")
+    own = still.groupBy("j").agg(F.sum("y1n").alias("s"), F.count(F.lit(1)).alias("n"))
+    still = still.join(own, "j").join(firm, "j")
+    n = F.col("n")
+
+    def pair(name: str, x: Column, y: Column, where: Column | None = None) -> list[Column]:
+        x = x if where is None else F.when(where, x)
+        return [F.covar_samp(x, y).alias(name), F.count(x).alias(f"{name}_count")]
+
+    def spread(name: str, x: Column) -> list[Column]:
+        return [F.var_samp(x).alias(name), F.count(x).alias(f"{name}_count")]
+
+    y1, y2 = F.col("y1n"), F.col("y2n")
+    out = still.agg(
+        *pair("y1s_y1s", y1, F.when(n > 1, (F.col("s") - y1) / (n - 1)), n > 1),
+        *spread("y1s_var", y1),
+        *[c for way, k in (("o", 1), ("i", 2)) for side in (1, 2) for c in pair(f"y1s_y{side}m{k}", y1, F.col(f"{way}{side}") / F.col(f"{way}n"))],
+    )
+    rows = moves.join(leave, "j1").join(join, "j2").join(_sums(moves, ["j1", "g2"], "p"), ["j1", "g2"]).join(_sums(moves, ["j2", "g1"], "q"), ["j2", "g1"])
+    cells = [*spread("y1m_var", y1), *spread("y2m_var", y2)]
+    for way, part, k in (("o", "p", 1), ("i", "q", 2)):
+        some = F.col(f"{way}n") > F.col(f"{part}n")
+        other = lambda side: F.when(some, (F.col(f"{way}{side}") - F.col(f"{part}{side}")) / (F.col(f"{way}n") - F.col(f"{part}n")))  # noqa: B023, E731
+        for a, b in ((1, 1), (2, 1), (2, 2)):
+            cells += pair(f"y{a}m{k}_y{b}m{k}", y1 if a == 1 else y2, other(b), some)
+    change = F.col("g1") != F.col("g2")
+    cells += [*spread("dym_dym", F.when(change, y2 - y1)), *pair("y1m_y2m", y1, y2, change)]
+    return out.crossJoin(F.broadcast(rows.agg(*cells)))
+
+
+def parameters(moments: DataFrame) -> DataFrame:
+    """``moments`` with the parameters that follow from them: variance of firm effects and covariances with workers, within classes."""
+    c = F.col
+    steps = [
+        ("cov_Am1Am1", c("y2m1_y2m1")), ("cov_Am1Psi1", c("y2m1_y1m1") - c("cov_Am1Am1")), ("var_psi_m1", c("y1m1_y1m1") - c("cov_Am1Am1") - 2 * c("cov_Am1Psi1")),
+        ("cov_Am2Am2", c("y1m2_y1m2")), ("cov_Am2Psi2", c("y2m2_y1m2") - c("cov_Am2Am2")), ("var_psi_m2", c("y2m2_y2m2") - c("cov_Am2Am2") - 2 * c("cov_Am2Psi2")),
+        ("cov_AsAm1", c("y1s_y2m1") - c("cov_Am1Psi1")), ("cov_AsAm2", c("y1s_y1m2") - c("cov_Am2Psi2")),
+        ("psi_plus_cov1", c("y1s_y1m1") - c("y1s_y2m1")), ("psi_plus_cov2", c("y1s_y2m2") - c("y1s_y1m2")),
+        ("var_psi", (c("var_psi_m1") + c("var_psi_m2")) / 2), ("cov_AsPsi1", c("psi_plus_cov1") + c("psi_plus_cov2") - c("var_psi")),
+        ("cov_AsAs", c("y1s_y1s") - c("var_psi") - 2 * c("cov_AsPsi1")), ("var_eps", F.greatest(F.lit(0.0), c("dym_dym") - 2 * c("var_psi"))),
+    ]
+    for name, value in steps:
+        moments = moments.withColumn(name, value)
+    return moments
 
 
 def totals(events: DataFrame) -> DataFrame:
-    """One row: between-class and within-class variance and covariance."""
-    effects = between(events)
-    net = demeaned(events, effects)
-    cross = net.where("cs = 1") if "cs" in events.columns else net
-    bw = cross.agg(F.var_samp("a1").alias("var_bw"), F.covar_samp("a1", "mx").alias("cov_bw"), F.var_pop("y1").alias("var_y"))
-    return bw.crossJoin(within(net)).withColumn("tot_var", F.col("var_bw") + F.col("var_psi"))
+    """One row: moments, parameters, and the variance of firm effects and their covariance with workers' between classes, within, and in all.
+
+    ``events``: a collapsed cross-section event study with classes (i, j1, j2, y1, y2, g1, g2, m, cs).
+    """
+    net = demeaned(events, between(events))
+    cross = net.where("cs = 1").agg(F.var_samp("a1").alias("var_bw"), F.covar_samp("a1", "mx").alias("cov_bw"), F.var_pop("y1").alias("var_y"))
+    size = net.agg(F.sum(1 - F.col("mover")).alias("ns"), F.sum("mover").alias("mn"))
+    out = parameters(within(net)).crossJoin(F.broadcast(cross)).crossJoin(F.broadcast(size))
+    out = out.withColumn("var_wt", F.col("var_psi")).withColumn("cov_wt", (F.col("ns") * F.col("cov_AsPsi1") + F.col("mn") * F.col("cov_Am1Psi1")) / (F.col("ns") + F.col("mn")))
+    return out.withColumn("tot_var", F.col("var_bw") + F.col("var_wt")).withColumn("tot_cov", F.col("cov_bw") + F.col("cov_wt")).drop("ns", "mn")
+
+
+def firm_classes(events: DataFrame) -> DataFrame:
+    """(j, g): distinct firms and their classes, from both sides of ``events``."""
+    return events.select(F.col("j1").alias("j"), F.col("g1").alias("g")).unionByName(events.select(F.col("j2").alias("j"), F.col("g2").alias("g"))).distinct()

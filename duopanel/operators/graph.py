@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 DRIVER_LINKS = 5_000_000
 
 
-def firm_components(panel: DataFrame, most: int = 200) -> DataFrame:
+def firm_components(panel: DataFrame) -> DataFrame:
     """(j, component): least firm id reached through shared workers.
 
     Labels go from firms to workers and back until none changes; each round is two aggregates on the distinct matches and is
@@ -17,7 +17,7 @@ def firm_components(panel: DataFrame, most: int = 200) -> DataFrame:
     """
     matches = panel.select("i", "j").distinct().persist()
     labels = matches.select("j").distinct().withColumn("component", F.col("j")).checkpoint()
-    for _ in range(most):
+    while True:  # labels only fall
         by_worker = matches.join(labels, "j").groupBy("i").agg(F.min("component").alias("component"))
         moved = matches.join(by_worker, "i").groupBy("j").agg(F.min("component").alias("component"))
         # Jump: a label is itself a firm, whose own label may be less.
@@ -38,11 +38,11 @@ def largest_connected(panel: DataFrame) -> DataFrame:
     return labelled.join(F.broadcast(best), "component", "left_semi").select(panel.columns)
 
 
-def reachable(links: DataFrame, start: DataFrame, most: int = 500) -> DataFrame:
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes (j) that directed ``links`` (j1, j2) reach from ``start`` (j)."""
     seen = start.select("j").distinct().checkpoint()
     size = seen.count()
-    for _ in range(most):
+    while True:  # nodes are only added
         seen = seen.unionByName(links.join(seen.withColumnRenamed("j", "j1"), "j1").select(F.col("j2").alias("j"))).distinct().checkpoint()
         grown = seen.count()
         if grown == size:
@@ -60,6 +60,20 @@ def strongly_connected(events: DataFrame) -> DataFrame:
     return reachable(links, start).join(reachable(back, start), "j", "left_semi")
 
 
+def shared_movers(panel: DataFrame) -> DataFrame:
+    """(j, k, n): pairs of firms j < k and the number of workers that both have had. A worker gives as many rows as it has pairs of firms."""
+    own = panel.select("i", "j").distinct()
+    other = own.withColumnRenamed("j", "k")
+    return own.join(other, "i").where("j < k").groupBy("j", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def neighbours(panel: DataFrame, firm) -> DataFrame:
+    """(j): firms two steps away in the graph of workers and firms: those that share a worker with ``firm``."""
+    own = panel.select("i", "j").distinct()
+    workers = own.where(F.col("j") == F.lit(firm)).select("i")
+    return own.join(workers, "i", "left_semi").where(F.col("j") != F.lit(firm)).select("j").distinct()
+
+
 def leave_match_out(panel: DataFrame) -> DataFrame:
     """Largest set that stays connected when any one match is left out: no match is a bridge of the worker-firm graph.
 

@@ -75,24 +75,50 @@ def between_firm_variance(panel: DataFrame) -> DataFrame:
     return panel.agg(F.var_pop("y").alias("var_y")).crossJoin(between)
 
 
-def borovickova_shimer(panel: DataFrame) -> DataFrame:
-    """One row: mean of y, var(lambda), var(mu), cov, corr of worker and firm types (unweighted moments).
+def sorting_moments(panel: DataFrame, weighted: bool = False, alternative: bool = False) -> DataFrame:
+    """One row: mean of y, variances of worker and firm types, their covariance and correlation (Borovickova and Shimer's moments).
 
-    The mean of products over pairs within a group is ((sum y)^2 - sum y^2) over their number: no pair is made. Workers and
-    firms need two observations each.
+    The mean of products over pairs within a group is ((sum x)^2 - sum x^2) over their number, or, weighted, over the
+    same expression of the roots of the weights: no pair is made. Sums are aggregated by worker and by firm and joined back, so that a
+    firm with very many rows is split by adaptive execution. ``alternative`` takes plain means of wy and of w and their ratios.
+    Workers and firms need two observations each.
     """
-    by_i, by_j = Window.partitionBy("i"), Window.partitionBy("j")
-    own = panel.select("i", "j", "y")
-    for name, w in (("i", by_i), ("j", by_j)):
-        own = own.withColumn(f"n_{name}", F.count(F.lit(1)).over(w)).withColumn(f"s_{name}", F.sum("y").over(w)).withColumn(f"q_{name}", F.sum(F.col("y") * F.col("y")).over(w))
-    mean = own.agg(F.avg("y").alias("mean_y"))
-    pairs = lambda k: (F.col(f"s_{k}") ** 2 - F.col(f"q_{k}")) / (F.col(f"n_{k}") * (F.col(f"n_{k}") - 1))
-    others = lambda k: (F.col(f"s_{k}") - F.col("y")) / (F.col(f"n_{k}") - 1)
-    sums = own.agg(F.avg(pairs("i")).alias("ll"), F.avg(pairs("j")).alias("mm"), F.avg(others("i") * others("j")).alias("lm"))
-    out = sums.crossJoin(mean)
-    square = F.col("mean_y") ** 2
-    out = out.select("mean_y", (F.col("ll") - square).alias("var_lambda"), (F.col("mm") - square).alias("var_mu"), (F.col("lm") - square).alias("cov"))
-    return out.withColumn("corr", F.col("cov") / F.sqrt(F.col("var_lambda") * F.col("var_mu")))
+    w = F.col("w").cast("double") if weighted else F.lit(1.0)
+    own = panel.select("i", "j", "y", w.alias("w"))
+    x, r = F.col("w") * F.col("y"), F.sqrt("w")
+    sums = lambda k: own.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}"), F.sum("w").alias(f"w_{k}"), F.sum(x).alias(f"s_{k}"), F.sum(x * F.col("y")).alias(f"q_{k}"), F.sum(r * F.col("y")).alias(f"t_{k}"), F.sum(r).alias(f"r_{k}"), F.sum(x * x).alias(f"a_{k}"), F.sum(F.col("w") * F.col("w")).alias(f"b_{k}"))
+    c = F.col
+    groups = []
+    for k in ("i", "j"):
+        if alternative:
+            lam, weight = c(f"s_{k}") / c(f"n_{k}"), c(f"w_{k}") / c(f"n_{k}")
+            n = c(f"n_{k}") * (c(f"n_{k}") - 1)
+            squares, norm = (c(f"s_{k}") ** 2 - c(f"a_{k}")) / n, (c(f"w_{k}") ** 2 - c(f"b_{k}")) / n
+            # Each group weighs its summed weights.
+            g = sums(k).agg((F.sum(c(f"w_{k}") * lam) / F.sum(c(f"w_{k}") * weight)).alias(f"mean_{k}"), (F.sum(c(f"w_{k}") * squares) / F.sum(c(f"w_{k}") * norm)).alias(f"sq_{k}"))
+        else:
+            squares = (c(f"t_{k}") ** 2 - c(f"q_{k}")) / (c(f"r_{k}") ** 2 - c(f"w_{k}"))
+            g = sums(k).agg((F.sum(f"s_{k}") / F.sum(f"w_{k}")).alias(f"mean_{k}"), (F.sum(c(f"w_{k}") * squares) / F.sum(f"w_{k}")).alias(f"sq_{k}"))
+        groups.append(g)
+    rows = own.join(sums("i").select("i", "n_i", "w_i", "s_i"), "i").join(sums("j").select("j", "n_j", "w_j", "s_j"), "j")
+    rest = lambda k: (c(f"s_{k}") - x) / ((c(f"n_{k}") - 1) if alternative else (c(f"w_{k}") - c("w")))
+    norm = lambda k: (c(f"w_{k}") - c("w")) / (c(f"n_{k}") - 1)
+    below = F.sum(c("w") * norm("i") * norm("j")) if alternative else F.sum("w")
+    out = rows.agg((F.sum(c("w") * rest("i") * rest("j")) / below).alias("lm")).crossJoin(groups[0]).crossJoin(groups[1])
+    out = out.select(
+        ((c("mean_i") + c("mean_j")) / 2).alias("mean_y"), (c("sq_i") - c("mean_i") ** 2).alias("var_lambda"), (c("sq_j") - c("mean_j") ** 2).alias("var_mu"), (c("lm") - c("mean_i") * c("mean_j")).alias("cov")
+    )
+    return out.withColumn("corr", c("cov") / F.sqrt(c("var_lambda") * c("var_mu")))
+
+
+def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson's correlation of two columns and the number of rows with both."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("corr"), F.count(F.lit(1)).alias("n"))
+
+
+def percentile_bands(draws: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:
+    """Exact percentiles of ``value`` over replicates, for each of ``keys`` (linear between neighbours)."""
+    return draws.groupBy(*keys).agg(*[F.percentile(value, float(q)).alias(f"p{str(q).replace('.', '_')}") for q in at])
 
 
 def quantile_classes(panel: DataFrame, n: int, column: str = "y") -> DataFrame:
@@ -108,3 +134,22 @@ def firm_cdf(panel: DataFrame, levels: list[float]) -> DataFrame:
     wide = panel.groupBy("j").agg(*cells)
     stacked = ", ".join(f"{k}, c{k}" for k in range(len(levels)))
     return wide.selectExpr("j", f"stack({len(levels)}, {stacked}) as (level, share)")
+
+
+def firm_moments(panel: DataFrame) -> DataFrame:
+    """(j, mean, var, max, min) of y: features by which firms are clustered. A firm of one row has variance 0."""
+    return panel.groupBy("j").agg(F.avg("y").alias("mean"), F.coalesce(F.var_samp("y"), F.lit(0.0)).alias("var"), F.max("y").alias("max"), F.min("y").alias("min"), F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def kmeans_classes(features: DataFrame, columns: list[str], n: int, weight: str | None = None, seed: int = 1) -> DataFrame:
+    """(j, g): firms grouped by k-means over ``columns``; classes are numbered by the first column's mean, lowest first."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    own = VectorAssembler(inputCols=columns, outputCol="features").transform(features)
+    kind = KMeans(k=n, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=100, tol=1e-8)
+    found = (kind.setWeightCol(weight) if weight else kind).fit(own).transform(own)
+    order = found.groupBy("cluster").agg(F.avg(columns[0]).alias("m"))
+    ranks = {r["cluster"]: k for k, r in enumerate(sorted(order.collect(), key=lambda r: r["m"]))}  # n rows
+    number = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    return found.select("j", number[F.col("cluster")].cast("long").alias("g"))

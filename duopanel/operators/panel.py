@@ -39,14 +39,16 @@ def spells(panel: DataFrame, out: str = "spell") -> DataFrame:
 
 
 def drop_returns(panel: DataFrame, how: str | bool = False) -> DataFrame:
-    """Returns to a firm after another: ``returns`` drops those rows, ``returners`` the workers, ``keep_first_returns`` and
-    ``keep_last_returns`` keep one spell of each match, False keeps all."""
+    """Returns to a firm after another: ``returns`` drops all rows of matches that the worker has returned to, ``returners`` the
+    workers, ``keep_first_returns`` and ``keep_last_returns`` keep one spell of each match, False keeps all."""
     if not how:
         return panel
     own = spells(panel, "_spell")
     match = Window.partitionBy("i", "j")
     own = own.withColumn("_first", F.min("_spell").over(match)).withColumn("_last", F.max("_spell").over(match))
-    if how in ("returns", "keep_first_returns"):
+    if how == "returns":
+        kept = own.where("_first = _last")
+    elif how == "keep_first_returns":
         kept = own.where("_spell = _first")
     elif how == "keep_last_returns":
         kept = own.where("_spell = _last")
@@ -174,16 +176,15 @@ def drop_ids(panel: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return panel.join(ids.select(column).distinct(), column, "left_anti")
 
 
-def fixpoint(panel: DataFrame, step, most: int = 100) -> DataFrame:
-    """Apply ``step`` until it drops no more rows. Lineage is cut each time by checkpoint()."""
+def fixpoint(panel: DataFrame, step) -> DataFrame:
+    """Apply ``step`` until it drops no more rows: it ends, as rows only go. Lineage is cut each time by checkpoint()."""
     rows = panel.count()
-    for _ in range(most):
+    while True:
         panel = step(panel).checkpoint()
         left = panel.count()
         if left == rows:
-            break
+            return panel
         rows = left
-    return panel
 
 
 def min_movers(panel: DataFrame, least: int) -> DataFrame:
@@ -211,8 +212,10 @@ def min_joint_obs(panel: DataFrame, least_i: int = 2, least_j: int = 2) -> DataF
     """Workers and firms with enough observations each, to the fixpoint."""
 
     def step(p: DataFrame) -> DataFrame:
-        own = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("j"))).where(F.col("_n") >= least_j).drop("_n")
-        return own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("i"))).where(F.col("_n") >= least_i).drop("_n")
+        own = p
+        for column, least in (("j", least_j), ("i", least_i)):  # counts joined back: a firm of very many rows is not one task
+            own = keep_ids(own, own.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least), column)
+        return own
 
     return fixpoint(panel, step)
 
@@ -225,3 +228,16 @@ def clean(panel: DataFrame, i_t_how: str = "max", returns: str | bool = False) -
 def round_to(column: Column, digits: int = 6) -> Column:
     """Rounded, and without a negative zero."""
     return F.round(column, digits) + F.lit(0.0)
+
+
+def match_row(panel: DataFrame, out: str = "k") -> DataFrame:
+    """Number of each row within its match, in order of time, from 1 (of a match of two rows: which one it is)."""
+    return panel.withColumn(out, F.row_number().over(Window.partitionBy("i", "j").orderBy("t")))
+
+
+def workers_by_income(panel: DataFrame) -> DataFrame:
+    """(i, mean_y, rank): workers in order of mean outcome, the smaller id first among equals; ranks from ranges, not from one ordered window."""
+    own = panel.groupBy("i").agg(F.avg("y").alias("mean_y")).repartitionByRange("mean_y", "i").withColumn("_p", F.spark_partition_id()).persist()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return own.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("mean_y", "i"))).join(base, "_p").select("i", "mean_y", (F.col("_k") + F.col("_o")).cast("long").alias("rank"))

@@ -29,3 +29,88 @@ def akm_panel(spark: SparkSession, n_workers: int, n_periods: int = 5, firm_size
     rows = rows.withColumn("spell", spell).withColumn("j", F.floor(rank * n_firms).cast("long"))
     rows = rows.withColumn("psi", normal(seed + 30, F.col("j")))
     return rows.select("i", "j", "t", (F.col("alpha") + F.col("psi") + noise * normal(seed + 40, i, F.col("t"))).alias("y"), "alpha", "psi")
+
+
+def pick(seed: int, shares: list[Column], *keys: Column) -> Column:
+    """A number 0, 1, ... drawn with the given shares, by inverse cumulation."""
+    u, low, out = uniform(seed, *keys), F.lit(0.0), F.lit(len(shares) - 1)
+    bounds = []
+    for x in shares:
+        low = low + x
+        bounds.append(low)
+    for k in range(len(shares) - 2, -1, -1):
+        out = F.when(u < bounds[k], k).otherwise(out)
+    return out
+
+
+def _table(values, *at: Column) -> Column:
+    """values[at[0], at[1], ...] of a small array as a column."""
+    flat = F.lit(0)
+    for n, x in zip(values.shape, at, strict=True):
+        flat = flat * n + x
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values.reshape(-1)]), (flat + 1).cast("int"))
+
+
+def blm_panel(spark: SparkSession, model, pk0, movers: int = 100, stayers: int = 100, firms: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Movers (``movers`` for each pair of classes) and stayers (``stayers`` for each class) of a static mixture ``model``.
+
+    Columns i, j1, j2, g1, g2, l, y1, y2, m. A class has ``firms`` firms, two at least; movers always change their firm.
+    """
+    if firms < 2:
+        raise ValueError("two firms a class at least")
+    n_types, n_classes = model.a1.shape
+    i = F.col("i")
+
+    def finished(rows: DataFrame, shares, still: bool) -> DataFrame:
+        rows = rows.withColumn("l", pick(seed, shares, i))
+        first, second = F.floor(uniform(seed + 1, i) * firms), F.floor(uniform(seed + 2, i) * (firms - 1))
+        j1 = F.col("g1") * firms + first
+        j2 = j1 if still else F.col("g2") * firms + F.when((F.col("g1") == F.col("g2")) & (second >= first), second + 1).otherwise(second)
+        l, g1, g2 = F.col("l"), F.col("g1"), F.col("g2")
+        y1 = _table(model.a1, l, g1) + _table(model.s1, l, g1) * normal(seed + 10, i)
+        y2 = _table(model.a2, l, g2) + _table(model.s2, l, g2) * normal(seed + 20, i)
+        return rows.select("i", j1.cast("long").alias("j1"), j2.cast("long").alias("j2"), "g1", "g2", "l", y1.alias("y1"), y2.alias("y2"), F.lit(0 if still else 1).alias("m"))
+
+    moving = spark.range(n_classes * n_classes * movers).withColumnRenamed("id", "i")
+    moving = moving.withColumn("g1", F.floor(i / (movers * n_classes)).cast("int")).withColumn("g2", (F.floor(i / movers) % n_classes).cast("int"))
+    first = n_classes * n_classes * movers
+    staying = spark.range(first, first + n_classes * stayers).withColumnRenamed("id", "i")
+    staying = staying.withColumn("g1", F.floor((i - first) / stayers).cast("int")).withColumn("g2", F.col("g1"))
+    jdata = finished(moving, [_table(model.pk[:, :, k], F.col("g1"), F.col("g2")) for k in range(n_types)], False)
+    return jdata, finished(staying, [_table(pk0[:, k], F.col("g1")) for k in range(n_types)], True)
+
+
+def dynamic_panel(spark: SparkSession, a: dict, s: dict, pk, rho: dict, movers: int = 100, seed: int = 1) -> DataFrame:
+    """Movers over four periods, who move between the second and the third: i, g1, g2, l, y1..y4.
+
+    ``a`` and ``s`` hold arrays (types, classes) under 12, 2ma, 3ma, 43 and (classes,) under 2mb, 3mb; ``rho`` has R12, R32m, R43. The next
+    class acts on the second period (endogeneity), the last one on the third (state dependence).
+    """
+    n_types, n_classes = a["12"].shape
+    i, l, g1, g2 = (F.col(c) for c in ("i", "l", "g1", "g2"))
+    rows = spark.range(n_classes * n_classes * movers).withColumnRenamed("id", "i")
+    rows = rows.withColumn("g1", F.floor(i / (movers * n_classes)).cast("int")).withColumn("g2", (F.floor(i / movers) % n_classes).cast("int"))
+    rows = rows.withColumn("l", pick(seed, [_table(pk[:, :, k], g1, g2) for k in range(n_types)], i))
+    noise = lambda p, g, k: _table(s[p], l, g) * normal(seed + k, i)
+    own2, own3 = _table(a["2ma"], l, g1), _table(a["3ma"], l, g2)
+    rows = rows.withColumn("y2", own2 + _table(a["2mb"], g2) + noise("2ma", g1, 10))
+    rows = rows.withColumn("y1", _table(a["12"], l, g1) + rho["R12"] * (F.col("y2") - own2) + noise("12", g1, 20))
+    rows = rows.withColumn("y3", own3 + _table(a["3mb"], g1) + rho["R32m"] * (F.col("y2") - own2 - _table(a["2mb"], g2)) + noise("3ma", g2, 30))
+    rows = rows.withColumn("y4", _table(a["43"], l, g2) + rho["R43"] * (F.col("y3") - own3) + noise("43", g2, 40))
+    return rows.select("i", "g1", "g2", "l", "y1", "y2", "y3", "y4")
+
+
+def sorting_panel(spark: SparkSession, n_workers: int, periods: int = 4, firm_size: int = 10, sd_lambda: float = 1.25, sd_mu: float = 0.75, rho: float = 0.25, noise: float = 1.0, seed: int = 1) -> DataFrame:
+    """(i, j, t, y, lambda_i, mu_j): workers and firms of the sorting model, matched by a rank that leans on the worker's own type by ``rho``.
+
+    Firm effects follow from the firm's rank, so that no table is sorted; every worker has ``periods`` observations.
+    """
+    n_firms = max(2, n_workers * periods // firm_size)
+    i, t = F.col("i"), F.col("t")
+    rows = spark.range(n_workers).withColumnRenamed("id", "i").withColumn("z", normal(seed, i)).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(periods))))
+    score = rho * F.col("z") + (1 - rho**2) ** 0.5 * normal(seed + 10, i, t)
+    rank = 1 / (1 + F.exp(-1.702 * score))  # close to the normal distribution function
+    rows = rows.withColumn("j", F.least(F.floor(rank * n_firms), F.lit(n_firms - 1)).cast("long"))
+    level = (F.col("j") + 0.5) / n_firms
+    rows = rows.withColumn("lambda_i", sd_lambda * F.col("z")).withColumn("mu_j", sd_mu * F.log(level / (1 - level)) / 1.702)
+    return rows.select("i", "j", "t", (F.col("lambda_i") + F.col("mu_j") + noise * normal(seed + 20, i, t)).alias("y"), "lambda_i", "mu_j")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blm, controls, cre, diagnostics, fe, graph, moments, panel, resampling, sorkin
+from ..operators import blm, constraints, controls, cre, diagnostics, fe, graph, moments, panel, resampling, simulate, sorkin
+from ..sources import read_panel, write_result
 
 R = panel.round_to
 
@@ -108,6 +109,7 @@ def _returns(how, where):
         return rounded(panel.drop_returns(one(s, d, p4), how))
 
 
+_returns("returns", "fl WHERE f = l")
 _returns("keep_first_returns", "fl WHERE spell = f")
 _returns("keep_last_returns", "fl WHERE spell = l")
 _returns("returners", "(SELECT *, max(CASE WHEN f <> l THEN 1 ELSE 0 END) OVER (PARTITION BY i) AS e FROM fl) WHERE e = 0")
@@ -250,13 +252,116 @@ def _(s, d):
     return rounded(moments.firm_cdf(one(s, d), [9.0, 10.0, 11.0]))
 
 
+def _sorting(name: str, weighted: bool, alternative: bool):
+    w = "CAST(l_quantity AS DOUBLE)" if weighted else "1.0::DOUBLE"
+    group = "count(*) OVER {k} AS n{k}, sum(w) OVER {k} AS w{k}, sum(w * y) OVER {k} AS s{k}, sum(w * y * y) OVER {k} AS q{k}, sum(sqrt(w) * y) OVER {k} AS t{k}, sum(sqrt(w)) OVER {k} AS r{k}, sum(w * y * w * y) OVER {k} AS a{k}, sum(w * w) OVER {k} AS b{k}"
+    part = []
+    for k in ("i", "j"):
+        if alternative:
+            # A group's summed weight, dealt over its rows.
+            part.append(f"sum(w{k} / n{k} * s{k} / n{k}) / sum(w{k} / n{k} * w{k} / n{k}) AS m{k}, sum(w{k} / n{k} * (s{k} ** 2 - a{k}) / (n{k} * (n{k} - 1))) / sum(w{k} / n{k} * (w{k} ** 2 - b{k}) / (n{k} * (n{k} - 1))) AS v{k}")
+        else:
+            part.append(f"sum(w * y) / sum(w) AS m{k}, sum(w{k} / n{k} * (t{k} ** 2 - q{k}) / (r{k} ** 2 - w{k})) / sum(w) AS v{k}")
+    if alternative:
+        cov = "sum(w * (si - w * y) / (ni - 1) * (sj - w * y) / (nj - 1)) / sum(w * (wi - w) / (ni - 1) * (wj - w) / (nj - 1))"
+    else:
+        cov = "sum(w * (si - w * y) / (wi - w) * (sj - w * y) / (wj - w)) / sum(w)"
+
+    @query(
+        name,
+        f"WITH q AS (SELECT l_partkey AS i, l_suppkey AS j, ln(l_extendedprice) AS y, {w} AS w FROM lineitem), x AS (SELECT i, j, y, w, {group.format(k='i')}, {group.format(k='j')} FROM q WINDOW i AS (PARTITION BY i), j AS (PARTITION BY j)), z AS (SELECT {', '.join(part)}, {cov} AS lm FROM x)"
+        f" SELECT {rnd('(mi + mj) / 2', 5)} AS mean_y, {rnd('vi - mi ** 2', 5)} AS var_lambda, {rnd('vj - mj ** 2', 5)} AS var_mu, {rnd('lm - mi * mj', 5)} AS cov FROM z",
+    )
+    def _(s, d):
+        x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.log("l_extendedprice").alias("y"), F.col("l_quantity").alias("w"))
+        return rounded(moments.sorting_moments(x, weighted, alternative).drop("corr"), 5)
+
+
+_sorting("borovickova_shimer", False, False)
+_sorting("borovickova_shimer_weighted", True, False)
+_sorting("borovickova_shimer_alternative", False, True)
+_sorting("borovickova_shimer_weighted_alternative", True, True)
+
+
+@query("correlation", f"SELECT {rnd('corr(l_quantity, l_extendedprice)')} AS corr, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
+def _(s, d):
+    return rounded(moments.correlation(s.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", "l_extendedprice"))
+
+
+@query("percentile_bands", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.025), 4) + 0.0 AS p0_025, round(quantile_cont(l_extendedprice, 0.5), 4) + 0.0 AS p0_5, round(quantile_cont(l_extendedprice, 0.975), 4) + 0.0 AS p0_975 FROM lineitem GROUP BY 1")
+def _(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return rounded(moments.percentile_bands(x, ["flag"], "l_extendedprice"), 4)
+
+
+@query("firm_moments", f"WITH {P1}, {ONE} SELECT j, {rnd('avg(y)')} AS mean, {rnd('coalesce(var_samp(y), 0)')} AS var, {rnd('max(y)')} AS max, {rnd('min(y)')} AS min, CAST(count(*) AS DOUBLE) AS weight FROM d GROUP BY j")
+def _(s, d):
+    return rounded(moments.firm_moments(one(s, d)))
+
+
+@query("firm_kmeans")
+def _(s, d):
+    found = moments.kmeans_classes(moments.firm_moments(one(s, d)), ["mean", "var"], 4, "weight")
+    return found.groupBy("g").agg(F.count(F.lit(1)).alias("n_firms"))
+
+
 @query(
-    "borovickova_shimer",
-    f"WITH {P3}, x AS (SELECT y, count(*) OVER i AS ni, sum(y) OVER i AS si, sum(y * y) OVER i AS qi, count(*) OVER j AS nj, sum(y) OVER j AS sj, sum(y * y) OVER j AS qj FROM p WINDOW i AS (PARTITION BY i), j AS (PARTITION BY j)), a AS (SELECT avg(y) AS m, avg((si * si - qi) / (ni * (ni - 1))) AS ll, avg((sj * sj - qj) / (nj * (nj - 1))) AS mm, avg((si - y) / (ni - 1) * (sj - y) / (nj - 1)) AS lm FROM x)"
-    f" SELECT {rnd('m', 5)} AS mean_y, {rnd('ll - m * m', 5)} AS var_lambda, {rnd('mm - m * m', 5)} AS var_mu, {rnd('lm - m * m', 5)} AS cov FROM a",
+    "mover_quantiles",
+    f"WITH {P1}, {ONE}, f AS (SELECT *, CASE WHEN min(j) OVER (PARTITION BY i) <> max(j) OVER (PARTITION BY i) THEN i END AS mi FROM d), g0 AS (SELECT CAST(count(DISTINCT mi) AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS w FROM f GROUP BY j), g AS (SELECT v, sum(w) AS w FROM g0 GROUP BY v), c AS (SELECT v, (sum(w) OVER (ORDER BY v) - w / 2) / sum(w) OVER () AS c FROM g), n AS (SELECT v, c, lead(v) OVER (ORDER BY v) AS v2, lead(c) OVER (ORDER BY v) AS c2, row_number() OVER (ORDER BY v) AS k FROM c), q AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS q)"
+    f" SELECT q, {rnd('CASE WHEN q <= c OR c2 IS NULL THEN v ELSE v + (q - c) / (c2 - c) * (v2 - v) END')} AS value FROM n JOIN q ON (k = 1 AND q <= c) OR (q > c AND (c2 IS NULL OR q <= c2))",
 )
 def _(s, d):
-    return rounded(moments.borovickova_shimer(p3(s, d)).drop("corr"), 5)
+    f = moments.firm_stats(one(s, d)).select(F.col("n_movers").cast("double").alias("v"), F.col("n_obs").cast("double").alias("w"))
+    return rounded(moments.weighted_quantiles(f, "v", "w", [k / 10 for k in range(11)]))
+
+
+@query("match_rows", f"WITH {P3} SELECT i, j, t, row_number() OVER (PARTITION BY i, j ORDER BY t) AS k FROM p")
+def _(s, d):
+    return panel.match_row(p3(s, d)).select("i", "j", "t", F.col("k").cast("long").alias("k"))
+
+
+@query("workers_by_income", f"WITH q AS (SELECT l_partkey AS i, l_quantity AS y FROM lineitem), m AS (SELECT i, avg(y) AS m FROM q GROUP BY i) SELECT i, {rnd('m')} AS mean_y, row_number() OVER (ORDER BY m, i) AS rank FROM m")
+def _(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("i"), F.col("l_quantity").alias("y"))
+    return rounded(panel.workers_by_income(x))
+
+
+@query("drop_small_firms", f"WITH {P1} SELECT i, j, t FROM p WHERE j NOT IN (SELECT j FROM p GROUP BY j HAVING count(*) <= (SELECT count(*) / count(DISTINCT j) FROM p))")
+def _(s, d):
+    x = p1(s, d)
+    mean = x.agg((F.count(F.lit(1)) / F.countDistinct("j")).alias("mean"))
+    small = x.groupBy("j").count().crossJoin(F.broadcast(mean)).where("count <= mean")
+    return panel.drop_ids(x, small, "j").select("i", "j", "t")
+
+
+@query("original_ids", f"WITH {P1} SELECT i, j, t FROM p")
+def _(s, d):
+    x = p1(s, d)
+    for c in ("i", "j"):
+        x = panel.original_ids(*panel.contiguous_ids(x, c), c)
+    return x.select("i", "j", "t")
+
+
+def _scan(kind: str):
+    @query(f"scan_{kind}", f"WITH {P1} SELECT i, j, t, {rnd('y')} AS y FROM p")
+    def _(s, d):
+        path = _new_folder(s, kind)
+        x = p1(s, d)
+        if kind == "json":
+            write_result(x, path)
+        else:
+            x.write.option("header", True).format(kind).save(path)
+        return rounded(read_panel(s, path, kind, {"i": "i", "j": "j", "t": "t", "y": "y"}, schema="i long, j long, t long, y double"))
+
+
+for _kind in ("csv", "json", "parquet"):
+    _scan(_kind)
+
+
+@query("scan_sql", "SELECT s_suppkey AS j, count(*) AS n FROM supplier GROUP BY 1")
+def _(s, d):
+    s.read.parquet(f"{d}/supplier.parquet").createOrReplaceTempView("duopanel_supplier")
+    return read_panel(s, "", "sql", query="SELECT s_suppkey AS j, count(*) AS n FROM duopanel_supplier GROUP BY 1")
 
 
 # Graph
@@ -267,7 +372,22 @@ def _(s, d):
     return graph.firm_components(p1(s, d))
 
 
-@query("strongly_connected_firms")
+@query("shared_movers", f"WITH {P4}, m AS (SELECT DISTINCT i, j FROM p) SELECT a.j AS j, b.j AS k, count(*) AS n FROM m a JOIN m b ON a.i = b.i AND a.j < b.j GROUP BY 1, 2")
+def _(s, d):
+    return graph.shared_movers(p4(s, d))
+
+
+@query("neighbours", f"WITH {P1}, m AS (SELECT DISTINCT i, j FROM p), f AS (SELECT min(j) AS j FROM m) SELECT DISTINCT j FROM m WHERE i IN (SELECT i FROM m WHERE j = (SELECT j FROM f)) AND j <> (SELECT j FROM f)")
+def _(s, d):
+    x = p1(s, d)
+    return graph.neighbours(x, x.agg(F.min("j")).first()[0])
+
+
+@query(
+    "strongly_connected_firms",
+    f"WITH RECURSIVE {P4}, {ONE}, {EVENTS}, l AS (SELECT DISTINCT j1, j2 FROM es WHERE j1 <> j2), n AS (SELECT j, count(*) AS c FROM (SELECT j1 AS j FROM es WHERE j1 <> j2 UNION ALL SELECT j2 FROM es WHERE j1 <> j2) GROUP BY j), s AS (SELECT j FROM n ORDER BY c DESC, j LIMIT 1),"
+    " f(j) AS (SELECT j FROM s UNION SELECT l.j2 FROM f JOIN l ON l.j1 = f.j), b(j) AS (SELECT j FROM s UNION SELECT l.j1 FROM b JOIN l ON l.j2 = b.j) SELECT j FROM f WHERE j IN (SELECT j FROM b)",
+)
 def _(s, d):
     return graph.strongly_connected(panel.event_study(one(s, d, p4)))
 
@@ -329,10 +449,15 @@ def _(s, d):
 
 
 @query("fe_clustered_errors")
+def _(s, d):
+    return rounded(controls.clustered_errors(with_controls(s, d), "quantity", ["flag"], ["quantity"]), 6)
+
+
+@query("fe_covariate_moments")
 def _(s, d):
     x = with_controls(s, d)
     solved = controls.solve(x, ["flag"], ["quantity"])
-    return rounded(controls.clustered_errors(x, controls.attach(x, solved, ["flag"], ["quantity"]), "quantity"), 6)
+    return rounded(controls.covariate_moments(x, solved, ["flag"], ["quantity"], ["flag"], ["quantity"]), 8)
 
 
 @query("fe_attrition")
@@ -343,7 +468,7 @@ def _(s, d):
 @query(
     "class_transitions",
     f"WITH {P1}, {ONE}, {CLASSES}, x AS (SELECT g AS g1, lead(g) OVER w AS g2, lead(g, 2) OVER w AS g3, lead(g, 3) OVER w AS g4, y AS y1, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3, lead(y, 3) OVER w AS y4 FROM dg WINDOW w AS (PARTITION BY i ORDER BY t))"
-    f" SELECT g2 AS from_g, g3 AS to_g, count(*) AS n, {', '.join(f'{rnd(f"avg(y{k})")} AS y{k}' for k in range(1, 5))} FROM x WHERE g1 = g2 AND g2 <> g3 AND g3 = g4 GROUP BY 1, 2",
+    f" SELECT g2 AS from_g, g3 AS to_g, count(*) AS n, {', '.join(f'{rnd(f"avg(y{k})")} AS y{k}, {rnd(f"stddev_samp(y{k}) / sqrt(count(*))")} AS se{k}' for k in range(1, 5))} FROM x WHERE g1 = g2 AND g2 <> g3 AND g3 = g4 GROUP BY 1, 2",
 )
 def _(s, d):
     return rounded(diagnostics.class_transitions(panel.extended_event_study(classes(s, d), "g")))
@@ -354,29 +479,85 @@ def _(s, d):
     return rounded(fe.corrected(panel.drop_single_stayers(one(s, d))), 5)
 
 
+@query("fe_corrected_drawn")
+def _(s, d):
+    return rounded(fe.corrected(panel.drop_single_stayers(one(s, d)), draws=20), 5)
+
+
 @query("fe_conjugate_gradients", MATCH + f" SELECT j, {rnd('psi', 5)} AS psi_hat FROM s")
 def _(s, d):
     solved = fe.solve(fe.match_table(one(s, d)), dense=0)
     return rounded(s.createDataFrame([(int(j), float(v)) for j, v in zip(solved.firms, solved.psi)], "j long, psi_hat double"), 5)
 
 
-@query("cre_totals")
+_PAIRS = [(a, b, k) for k in (1, 2) for a, b in ((1, 1), (2, 1), (2, 2))]
+_MOVER = [f"covar_samp(CASE WHEN {w}n > {p}n THEN y{a}n END, CASE WHEN {w}n > {p}n THEN ({w}{b} - {p}{b}) / ({w}n - {p}n) END) AS y{a}m{k}_y{b}m{k}, count(*) FILTER ({w}n > {p}n) AS y{a}m{k}_y{b}m{k}_count" for a, b, k in _PAIRS for w, p in [("o", "p") if k == 1 else ("i", "q")]]
+_STAYER = [f"covar_samp(y1n, {w}{b} / {w}n) AS y1s_y{b}m{k}, count(*) AS y1s_y{b}m{k}_count" for w, k in (("o", 1), ("i", 2)) for b in (1, 2)]
+_CRE_NAMES = ["y1s_y1s", "y1s_var", *(f"y1s_y{b}m{k}" for k in (1, 2) for b in (1, 2)), "y1m_var", "y2m_var", *(f"y{a}m{k}_y{b}m{k}" for a, b, k in _PAIRS), "dym_dym", "y1m_y2m"]
+CRE = (
+    f"WITH RECURSIVE {P1}, {ONE}, {CLASSES}, {SPELL.replace('FROM d))', 'FROM dg))').replace('sp AS (SELECT i, j, t, y,', 'sp AS (SELECT i, j, t, y, g,')},"
+    " c AS (SELECT i, j, any_value(g) AS g, avg(y) AS y, min(t) AS t FROM sp GROUP BY i, j, spell),"
+    " f AS (SELECT *, CASE WHEN min(j) OVER (PARTITION BY i) <> max(j) OVER (PARTITION BY i) THEN 1 ELSE 0 END AS m FROM c),"
+    " e0 AS (SELECT i, m, t AS t1, j AS j1, g AS g1, y AS y1, lead(j) OVER w AS j2, lead(g) OVER w AS g2, lead(y) OVER w AS y2 FROM f WINDOW w AS (PARTITION BY i ORDER BY t)),"
+    " e AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY t1, j1, j2) AS rk FROM (SELECT i, m, t1, j1, g1, y1, CASE WHEN m = 0 THEN j1 ELSE j2 END AS j2, CASE WHEN m = 0 THEN g1 ELSE g2 END AS g2, CASE WHEN m = 0 THEN y1 ELSE y2 END AS y2 FROM e0 WHERE m = 0 OR j2 IS NOT NULL)),"
+    " nb AS (SELECT g1, g2, CAST(count(*) AS DOUBLE) AS n, sum(y2 - y1) AS s FROM e WHERE m = 1 AND g1 <> g2 GROUP BY 1, 2),"
+    " sym AS (SELECT a, b, sum(n) AS n FROM (SELECT g1 AS a, g2 AS b, n FROM nb UNION ALL SELECT g2, g1, n FROM nb) GROUP BY a, b),"
+    " r AS (SELECT g, sum(v) AS r FROM (SELECT g2 AS g, s AS v FROM nb UNION ALL SELECT g1, -s FROM nb) GROUP BY g),"
+    " nn AS (SELECT a, sum(n) AS n FROM sym GROUP BY a),"
+    " it(k, g, x) AS (SELECT 0, a, 0.0::DOUBLE FROM nn UNION ALL SELECT any_value(it.k) + 1, sym.a, (any_value(r.r) + sum(sym.n * it.x)) / any_value(nn.n) FROM sym JOIN it ON it.g = sym.b JOIN r ON r.g = sym.a JOIN nn ON nn.a = sym.a WHERE it.k < 80 GROUP BY sym.a),"
+    " ef AS (SELECT g, x - (SELECT x FROM it WHERE k = 80 ORDER BY g DESC LIMIT 1) AS a FROM it WHERE k = 80),"
+    " net0 AS (SELECT e.*, u.a AS a1, v.a AS a2 FROM e JOIN ef u ON u.g = g1 JOIN ef v ON v.g = g2 WHERE m = 1 OR rk = 1),"
+    " net1 AS (SELECT *, avg(CASE WHEN m = 1 THEN (y1 - a1 + y2 - a2) / 2 ELSE y1 - a1 END) OVER (PARTITION BY m, g1, g2) AS mx FROM net0),"
+    " net AS (SELECT *, y1 - a1 - mx AS y1n, y2 - a2 - mx AS y2n FROM net1),"
+    " lo AS (SELECT j1 AS j, sum(y1n) AS o1, sum(y2n) AS o2, count(*) AS o_n FROM net WHERE m = 1 GROUP BY 1),"
+    " ji AS (SELECT j2 AS j, sum(y1n) AS i1, sum(y2n) AS i2, count(*) AS i_n FROM net WHERE m = 1 GROUP BY 1),"
+    " lp AS (SELECT j1, g2, sum(y1n) AS p1, sum(y2n) AS p2, count(*) AS p_n FROM net WHERE m = 1 GROUP BY 1, 2),"
+    " lq AS (SELECT j2, g1, sum(y1n) AS q1, sum(y2n) AS q2, count(*) AS q_n FROM net WHERE m = 1 GROUP BY 1, 2),"
+    " st AS (SELECT y1n, CASE WHEN n > 1 THEN y1n END AS x, CASE WHEN n > 1 THEN (s - y1n) / (n - 1) END AS rest, o1, o2, o_n AS on, i1, i2, i_n AS in FROM (SELECT j1, y1n, count(*) OVER (PARTITION BY j1) AS n, sum(y1n) OVER (PARTITION BY j1) AS s FROM net WHERE m = 0) z JOIN lo ON lo.j = z.j1 JOIN ji ON ji.j = z.j1),"
+    " mv AS (SELECT n.*, o1, o2, o_n AS on, i1, i2, i_n AS in, p1, p2, p_n AS pn, q1, q2, q_n AS qn FROM net n JOIN lo ON lo.j = n.j1 JOIN ji ON ji.j = n.j2 JOIN lp ON lp.j1 = n.j1 AND lp.g2 = n.g2 JOIN lq ON lq.j2 = n.j2 AND lq.g1 = n.g1 WHERE m = 1),"
+    f" ms AS (SELECT covar_samp(x, rest) AS y1s_y1s, count(x) AS y1s_y1s_count, var_samp(y1n) AS y1s_var, count(*) AS y1s_var_count, {', '.join(_STAYER)} FROM st),"
+    f" mm AS (SELECT var_samp(y1n) AS y1m_var, count(*) AS y1m_var_count, var_samp(y2n) AS y2m_var, count(*) AS y2m_var_count, {', '.join(_MOVER)}, var_samp(y2n - y1n) FILTER (g1 <> g2) AS dym_dym, count(*) FILTER (g1 <> g2) AS dym_dym_count, covar_samp(y1n, y2n) FILTER (g1 <> g2) AS y1m_y2m, count(*) FILTER (g1 <> g2) AS y1m_y2m_count FROM mv)"
+).replace(" AS on", ' AS "on"').replace(" AS in,", ' AS "in",').replace(" AS in FROM", ' AS "in" FROM').replace("WHEN on >", 'WHEN "on" >').replace("WHEN in >", 'WHEN "in" >').replace("/ (on -", '/ ("on" -').replace("/ (in -", '/ ("in" -').replace("FILTER (on >", 'FILTER ("on" >').replace("FILTER (in >", 'FILTER ("in" >').replace("/ on)", '/ "on")').replace("/ in)", '/ "in")')
+
+
+def class_events(s: SparkSession, d: str) -> DataFrame:
+    """Collapsed cross-section event study of P1 with firm classes."""
+    return panel.cross_section(panel.event_study(panel.collapse(classes(s, d), "spell")))
+
+
+@query("cre_moments", CRE + f" SELECT {', '.join(f'{rnd(c, 5)} AS {c}, CAST({c}_count AS BIGINT) AS {c}_count' for c in _CRE_NAMES)} FROM ms, mm")
+def _(s, d):
+    e = class_events(s, d)
+    return rounded(cre.within(cre.demeaned(e, cre.between(e))), 5)
+
+
+@query(
+    "cre_totals",
+    CRE + ", q1 AS (SELECT *, (y1m1_y1m1 - 2 * y2m1_y1m1 + y2m1_y2m1) AS v1, (y2m2_y2m2 - 2 * y2m2_y1m2 + y1m2_y1m2) AS v2, y2m1_y1m1 - y2m1_y2m1 AS mp FROM ms, mm), q2 AS (SELECT *, (v1 + v2) / 2 AS var_psi FROM q1),"
+    " q3 AS (SELECT *, (y1s_y1m1 - y1s_y2m1) + (y1s_y2m2 - y1s_y1m2) - var_psi AS sp1 FROM q2), b AS (SELECT var_samp(a1) AS var_bw, covar_samp(a1, mx) AS cov_bw, var_pop(y1) AS var_y FROM net WHERE rk = 1), z AS (SELECT CAST(count(*) FILTER (m = 0) AS DOUBLE) AS ns, CAST(count(*) FILTER (m = 1) AS DOUBLE) AS mn FROM net)"
+    f" SELECT {rnd('var_bw', 5)} AS var_bw, {rnd('cov_bw', 5)} AS cov_bw, {rnd('var_y', 5)} AS var_y, {rnd('var_psi', 5)} AS var_wt, {rnd('(ns * sp1 + mn * mp) / (ns + mn)', 5)} AS cov_wt, {rnd('var_bw + var_psi', 5)} AS tot_var, {rnd('cov_bw + (ns * sp1 + mn * mp) / (ns + mn)', 5)} AS tot_cov, {rnd('y1s_y1s - var_psi - 2 * sp1', 5)} AS \"cov_AsAs\", {rnd('greatest(0, dym_dym - 2 * var_psi)', 5)} AS var_eps FROM q3, b, z".replace('\\"', '"'),
+)
 def _(s, d):
-    return rounded(cre.totals(panel.cross_section(panel.event_study(classes(s, d)))), 5)
+    return rounded(cre.totals(class_events(s, d)), 5).select("var_bw", "cov_bw", "var_y", "var_wt", "cov_wt", "tot_var", "tot_cov", "cov_AsAs", "var_eps")
 
 
-FLOWS = f"WITH RECURSIVE {P4}, {ONE}, {EVENTS}, f2 AS (SELECT j1, j2, CAST(count(*) AS DOUBLE) AS n FROM es WHERE j1 <> j2 GROUP BY 1, 2), x AS (SELECT j1 AS j, sum(n) AS s FROM f2 GROUP BY 1), it(k, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM x UNION ALL SELECT any_value(it.k) + 1, f2.j2, sum(n * v) / any_value(x.s) FROM it JOIN f2 ON f2.j1 = it.j JOIN x ON x.j = f2.j2 WHERE it.k < 40 GROUP BY f2.j2)"
+@query("firm_class_pairs", f"WITH {P1}, {ONE}, {CLASSES} SELECT DISTINCT j, g FROM dg")
+def _(s, d):
+    return cre.firm_classes(class_events(s, d))
 
 
-@query("sorkin_values", FLOWS + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 40))', 4)} AS v_ee FROM it WHERE k = 40")
+FLOWS = f"WITH RECURSIVE {P4}, {ONE}, {EVENTS}, f2 AS (SELECT j1, j2, CAST(count(*) AS DOUBLE) AS n FROM es WHERE j1 <> j2 GROUP BY 1, 2), x AS (SELECT j1 AS j, sum(n) AS s FROM f2 GROUP BY 1), it(k, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM x UNION ALL SELECT any_value(it.k) + 1, f2.j2, sum(n * v) / any_value(x.s) FROM it JOIN f2 ON f2.j1 = it.j JOIN x ON x.j = f2.j2 WHERE it.k < 60 GROUP BY f2.j2)"
+
+
+@query("sorkin_values", FLOWS + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 60))', 4)} AS v_ee FROM it WHERE k = 60")
 def _(s, d):
-    return rounded(sorkin.values(panel.event_study(one(s, d, p4)), tolerance=1e-12, most=40), 4)
+    return rounded(sorkin.values(panel.event_study(one(s, d, p4)), tolerance=1e-9), 4)
 
 
-@query("sorkin_values_distributed", FLOWS.replace("it.k < 40", "it.k < 5") + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 5))', 4)} AS v_ee FROM it WHERE k = 5")
+@query("sorkin_values_distributed", FLOWS + f" SELECT j, {rnd('ln(v / (SELECT sum(v) FROM it WHERE k = 60))', 4)} AS v_ee FROM it WHERE k = 60")
 def _(s, d):
     e = panel.event_study(one(s, d, p4)).where("j1 <> j2").groupBy("j1", "j2").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return rounded(sorkin.iterate(e, 5).select("j", F.log("v").alias("v_ee")), 4)
+    return rounded(sorkin.iterate(e, 1e-7).select("j", F.log("v").alias("v_ee")), 4)
 
 
 _A = ["9.0", "10.0", "11.0"]
@@ -394,26 +575,67 @@ def _(s, d):
     return x.select(F.col("g1").cast("long").alias("g1"), F.col("g2").cast("long").alias("g2"), "n", R(F.col("loglik"), 3).alias("loglik"), *[R(F.col(f"q{k}"), 4).alias(f"q{k}") for k in range(3)])
 
 
+def _movers(s: SparkSession, d: str) -> DataFrame:
+    e = panel.event_study(classes(s, d)).where("m = 1")
+    return e.select("i", "t1", "j1", "j2", "y1", "y2", F.col("g1").cast("int").alias("g1"), F.col("g2").cast("int").alias("g2"))
+
+
 @query("blm_fit")
 def _(s, d):
-    e = panel.event_study(classes(s, d)).where("m = 1")
-    model, path = blm.fit(e, blm.start(3, 4, 10.0, 1.0), most=10)
-    rows = [(k, g, float(model.a1[k, g]), float(model.a2[k, g]), float(model.s1[k, g])) for k in range(3) for g in range(4)]
-    return rounded(s.createDataFrame(rows, "type int, class int, a1 double, a2 double, s1 double"))
+    model, _ = blm.fit(_movers(s, d), blm.start(2, 4, 10.0, 1.0), tolerance=1e-5)
+    return rounded(blm.profile(s, model))
+
+
+@query("blm_fit_linear_additive")
+def _(s, d):
+    model, _ = blm.fit(_movers(s, d), blm.start(2, 4, 10.0, 1.0), tolerance=1e-5, constraints=[constraints.linear_additive()])
+    return rounded(blm.profile(s, model))
+
+
+@query("blm_stayers")
+def _(s, d):
+    x = panel.event_study(classes(s, d)).where("m = 0").select(F.col("g1").cast("int").alias("g1"), "y1")
+    shares, _ = blm.fit_stayers(x, blm.start(2, 4, 10.0, 1.0), tolerance=1e-5)
+    return rounded(s.createDataFrame([(g, l, float(shares[g, l])) for g in range(4) for l in range(2)], "class int, type int, share double"), 4)
+
+
+@query("blm_simulated")
+def _(s, d):
+    e = blm.simulate(_movers(s, d), blm.start(3, 4, 10.0, 1.0), ["i", "t1"])
+    return rounded(e.groupBy("g1", "g2", "l").agg(F.count(F.lit(1)).alias("n"), F.avg("y1").alias("y1"), F.avg("y2").alias("y2")))
+
+
+@query("blm_decomposition")
+def _(s, d):
+    return rounded(blm.decomposition(_movers(s, d), blm.start(3, 4, 10.0, 1.0), ["i", "t1"]), 5)
 
 
 # Fixpoints
 
 
 def _checkpoints(s: SparkSession) -> None:
-    """Checkpoints need a folder; an own one only where the session has none."""
+    """Checkpoints need a folder; an own one only where the session has none, and only on one machine."""
     import tempfile
 
     if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duopanel-"))
 
 
-@query("min_joint_obs")
+def _new_folder(s: SparkSession, name: str) -> str:
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/duopanel/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "min_joint_obs",
+    f"WITH {P1}, {ONE}, "
+    + ", ".join(f"f{k} AS (SELECT * FROM {'d' if k == 0 else f'w{k - 1}'} WHERE j IN (SELECT j FROM {'d' if k == 0 else f'w{k - 1}'} GROUP BY j HAVING count(*) >= 3)), w{k} AS (SELECT * FROM f{k} WHERE i IN (SELECT i FROM f{k} GROUP BY i HAVING count(*) >= 2))" for k in range(4))
+    + " SELECT i, j, t FROM w3",
+)
 def _(s, d):
     return panel.min_joint_obs(one(s, d), 2, 3).select("i", "j", "t")
 
@@ -423,6 +645,11 @@ def _(s, d):
     return panel.min_movers(one(s, d, p4), 2).select("i", "j", "t")
 
 
+@query("min_moves", f"WITH {P4}, {ONE} SELECT i, j, t FROM d")
+def _(s, d):
+    return panel.min_moves(one(s, d, p4), 2).select("i", "j", "t")
+
+
 def queries() -> dict:
     def prepared(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ NATIVE = ("csv", "json", "parquet", "orc")
 
 
 def read_panel(spark: SparkSession, path: str, kind: str = "csv", names: dict[str, str] | None = None, schema: str | None = None, query: str | None = None) -> DataFrame:
-    """A panel from csv, json, parquet or orc files, from ``sql`` (a query or table of the session), or, for small files only, from Stata or Excel.
+    """A panel from csv, json, parquet or orc files or from ``sql`` (a query or table of the session).
 
     ``names`` maps i, j, t, y, w, g to the source's columns; only those columns are read.
     """
@@ -18,11 +18,6 @@ def read_panel(spark: SparkSession, path: str, kind: str = "csv", names: dict[st
         df = reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
     elif kind == "sql":
         df = spark.sql(query or f"SELECT * FROM {path}")
-    elif kind in ("dta", "stata", "excel", "xlsx", "ftr", "feather"):
-        import pandas as pd
-
-        read = {"dta": pd.read_stata, "stata": pd.read_stata, "ftr": pd.read_feather, "feather": pd.read_feather}.get(kind, pd.read_excel)
-        df = spark.createDataFrame(read(path))
     else:
         raise ValueError(kind)
     kinds = {"i": "long", "j": "long", "t": "long", "y": "double", "w": "double", "g": "int"}

@@ -49,11 +49,12 @@ def demeaned(events: DataFrame, effects: DataFrame) -> DataFrame:
     a1 = F.broadcast(effects.select(F.col("g").alias("g1"), F.col("a").alias("a1")))
     a2 = F.broadcast(effects.select(F.col("g").alias("g2"), F.col("a").alias("a2")))
     moves, still = sides(events)
-    own = moves.unionByName(still).join(a1, "g1").join(a2, "g2")
+    names = [c for c in ("cs", "m", "j1", "j2", "g1", "g2", "y1", "y2") if c in events.columns]
+    own = moves.unionByName(still).select(*names).join(a1, "g1").join(a2, "g2")
     raw = F.when(F.col("m") > 0, (F.col("y1") - F.col("a1") + F.col("y2") - F.col("a2")) / 2).otherwise(F.col("y1") - F.col("a1"))
     own = own.withColumn("mover", (F.col("m") > 0).cast("int"))
     cells = own.groupBy("mover", "g1", "g2").agg(F.avg(raw).alias("mx"))
-    own = own.join(cells, ["mover", "g1", "g2"])
+    own = own.join(cells, ["mover", "g1", "g2"]).persist()  # read by each moment
     return own.withColumn("y1n", F.col("y1") - F.col("a1") - F.col("mx")).withColumn("y2n", F.col("y2") - F.col("a2") - F.col("mx"))
 
 
@@ -122,6 +123,7 @@ def totals(events: DataFrame) -> DataFrame:
 
     ``events``: a collapsed cross-section event study with classes (i, j1, j2, y1, y2, g1, g2, m, cs).
     """
+    events = events.select("m", "cs", "j1", "j2", "g1", "g2", "y1", "y2").persist()
     net = demeaned(events, between(events))
     cross = net.where("cs = 1").agg(F.var_samp("a1").alias("var_bw"), F.covar_samp("a1", "mx").alias("cov_bw"), F.var_pop("y1").alias("var_y"))
     size = net.agg(F.sum(1 - F.col("mover")).alias("ns"), F.sum("mover").alias("mn"))

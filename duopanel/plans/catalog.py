@@ -386,7 +386,7 @@ def _(s, d):
 @query(
     "strongly_connected_firms",
     f"WITH RECURSIVE {P4}, {ONE}, {EVENTS}, l AS (SELECT DISTINCT j1, j2 FROM es WHERE j1 <> j2), n AS (SELECT j, count(*) AS c FROM (SELECT j1 AS j FROM es WHERE j1 <> j2 UNION ALL SELECT j2 FROM es WHERE j1 <> j2) GROUP BY j), s AS (SELECT j FROM n ORDER BY c DESC, j LIMIT 1),"
-    " f(j) AS (SELECT j FROM s UNION SELECT l.j2 FROM f JOIN l ON l.j1 = f.j), b(j) AS (SELECT j FROM s UNION SELECT l.j1 FROM b JOIN l ON l.j2 = b.j) SELECT j FROM f WHERE j IN (SELECT j FROM b)",
+    " fw(j) AS (SELECT j FROM s UNION SELECT l.j2 FROM fw JOIN l ON l.j1 = fw.j), bw(j) AS (SELECT j FROM s UNION SELECT l.j1 FROM bw JOIN l ON l.j2 = bw.j) SELECT j FROM fw WHERE j IN (SELECT j FROM bw)",
 )
 def _(s, d):
     return graph.strongly_connected(panel.event_study(one(s, d, p4)))

@@ -124,7 +124,7 @@ def test_mixture_recovers_and_never_falls(spark):
     x = spark.range(6000).select(F.pmod(i, F.lit(2)).cast("int").alias("g1"), F.pmod(F.floor(i / 2), F.lit(2)).cast("int").alias("g2"), kind.alias("l"), i)
     mean = F.when(F.col("l") == 1, 2.0).otherwise(-1.0)
     x = x.withColumn("y1", mean + 0.5 * F.col("g1") + 0.4 * simulate.normal(7, F.col("id"))).withColumn("y2", mean + 0.5 * F.col("g2") + 0.4 * simulate.normal(9, F.col("id")))
-    model, path = blm.fit(x, blm.start(2, 2, 0.0, 1.5), most=40)
+    model, path = blm.fit(x, blm.start(2, 2, 0.0, 1.5), tolerance=1e-4)
     assert all(b >= a - 1e-6 for a, b in zip(path, path[1:]))
     assert np.allclose(model.a1, [[-1, -0.5], [2, 2.5]], atol=0.1)
     assert np.allclose(model.pk[:, :, 1], 0.4, atol=0.06)

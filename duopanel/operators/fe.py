@@ -172,6 +172,26 @@ def solve_iterative(matches: DataFrame, tolerance: float = 1e-10) -> Solved:
     return Solved(blocks.ids, x, blocks.weights)
 
 
+def zigzag(panel: DataFrame, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
+    """(j, psi_hat) by alternating means: workers' of y less firm effects, firms' of y less worker effects, the least firm id 0.
+
+    Rounds go on until no effect moves by more than ``tolerance``; raises after ``most``. Two grouped aggregates a round over the matches.
+    """
+    matches = match_table(panel).persist()
+    psi = matches.groupBy("j").agg(F.lit(0.0).alias("psi_hat")).checkpoint()
+    for _ in range(most):
+        alpha = matches.join(psi, "j").groupBy("i").agg((F.sum(F.col("wy") - F.col("w") * F.col("psi_hat")) / F.sum("w")).alias("alpha"))
+        new = matches.join(alpha, "i").groupBy("j").agg((F.sum(F.col("wy") - F.col("w") * F.col("alpha")) / F.sum("w")).alias("new"))
+        base = new.agg(F.min_by("new", "j").alias("base"))
+        moved = new.crossJoin(F.broadcast(base)).join(psi, "j").select("j", (F.col("new") - F.col("base")).alias("psi_hat"), F.col("psi_hat").alias("was")).checkpoint()
+        change = moved.agg(F.max(F.abs(F.col("psi_hat") - F.col("was")))).first()[0]
+        psi = moved.select("j", "psi_hat")
+        if change is None or change <= tolerance:
+            matches.unpersist()
+            return psi
+    raise ArithmeticError(f"no convergence in {most} rounds: the panel may not be connected")
+
+
 def attach_effects(panel: DataFrame, solved: Solved) -> DataFrame:
     """``panel`` with psi_hat, alpha_hat and residual e."""
     spark = panel.sparkSession

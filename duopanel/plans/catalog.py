@@ -6,10 +6,10 @@ P4 nations as firms; P5 customers by ship date; P6 events. Doubles are rounded o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, cre, diagnostics, fe, graph, moments, panel, resampling, simulate, sorkin
+from ..operators import blm, constraints, controls, cre, diagnostics, dynamic, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -610,6 +610,67 @@ def _(s, d):
     return rounded(blm.decomposition(_movers(s, d), blm.start(3, 4, 10.0, 1.0), ["i", "t1"]), 5)
 
 
+# Four periods, interacted effects, alternating means
+
+
+def _four(s: SparkSession, d: str, moving: bool) -> DataFrame:
+    """Workers' first four periods with the classes of the second and third: those who change firm between these, or keep it."""
+    x = classes(s, d).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("t"))).where("k <= 4")
+    wide = x.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, 5) for c in ("y", "j", "g")])
+    kept = wide.where("n = 4 and " + ("j2 <> j3" if moving else "j2 = j3"))
+    return kept.select("i", F.col("g2").cast("int").alias("g1"), F.col("g3").cast("int").alias("g2"), *dynamic.Y)
+
+
+_C = ["(y1 - 0.5 * y2 - {h})", "(y2 - {a})", "(y3 - 0.5 * y2 - {h})", "(y4 - 0.5 * y3 - {h})"]
+_LD = [f"(ln(0.5) - 2 * ln(2 * pi()) - ({' + '.join(c.format(a=a, h=a / 2) + ' ** 2' for c in _C)}) / 2)" for a in (9.5, 10.5)]
+
+
+@query(
+    "dynamic_e_step",
+    f"WITH {P1}, {ONE}, {CLASSES}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY t) AS k FROM dg), w AS (SELECT i, {', '.join(f'max({c}) FILTER (k = {k}) AS {c}{k}' for k in range(1, 5) for c in 'yjg')} FROM k WHERE k <= 4 GROUP BY i HAVING count(*) = 4),"
+    f" l AS (SELECT *, exp({_LD[0]}) AS e0, exp({_LD[1]}) AS e1 FROM w WHERE j2 <> j3)"
+    f" SELECT g2 AS g1, g3 AS g2, count(*) AS n, {', '.join(f'{rnd(f"sum(e{k} / (e0 + e1))", 4)} AS q{k}, {rnd(f"sum(e{k} / (e0 + e1) * y2 * y3)", 2)} AS m{k}' for k in range(2))} FROM l GROUP BY g2, g3",
+)
+def _(s, d):
+    rows, model = _four(s, d, True), dynamic.start(2, 4, 10.0, 1.0)
+    got = dynamic.moments_table(rows, model)
+    n = rows.groupBy(F.col("g1").cast("long").alias("g1"), F.col("g2").cast("long").alias("g2")).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(got), ["g1", "g2"]).select("g1", "g2", "n", *[R(F.col(f"{c}{k}"), digits).alias(f"{c}{k}") for k in range(2) for c, digits in (("q", 4), ("m", 2))])
+
+
+@query("dynamic_fit")
+def _(s, d):
+    model, _ = dynamic.fit(_four(s, d, True), dynamic.start(2, 4, 10.0, 1.0), tolerance=1e-5)
+    rows = [(p, l, g, float(model.a[p][l, g]), float(model.s[p][l, g])) for p in ("12", "2ma", "3ma", "43") for l in range(2) for g in range(4)]
+    return rounded(s.createDataFrame(rows, "period string, type int, class int, a double, s double"), 4)
+
+
+@query("dynamic_stayers")
+def _(s, d):
+    still, _ = dynamic.fit_stayers(_four(s, d, False), dynamic.start(2, 4, 10.0, 1.0), tolerance=1e-5)
+    return rounded(s.createDataFrame([(g, l, float(still.pk[g, l]), float(still.a2[l, g]), float(still.a3[l, g])) for g in range(4) for l in range(2)], "class int, type int, share double, a2 double, a3 double"), 4)
+
+
+@query("interacted_slopes")
+def _(s, d):
+    e = _movers(s, d).select(F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2")
+    out = [interacted.slopes(e, m).assign(method=m) for m in ("linear", "liml", "iv")]
+    return rounded(s.createDataFrame([(m, int(j), float(a), float(b)) for x in out for j, a, b, m in x.itertuples(index=False)], "method string, class int, a double, b double"), 4)
+
+
+@query("interacted_alpha", f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS} SELECT g1 AS j1, g2 AS j2, count(*) AS n, {rnd('avg((y1 + y2) / 2)')} AS alpha FROM es GROUP BY g1, g2")
+def _(s, d):
+    import pandas as pd
+
+    e = panel.event_study(classes(s, d)).select(F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2")
+    return rounded(interacted.mean_alpha(e, pd.DataFrame({"j": range(4), "a": 0.0, "b": 1.0})))
+
+
+@query("fe_zigzag", MATCH + f" SELECT j, {rnd('psi', 5)} AS psi_hat FROM s")
+def _(s, d):
+    return rounded(fe.zigzag(one(s, d)), 5)
+
+
 # Fixpoints
 
 

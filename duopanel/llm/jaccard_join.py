@@ -31,7 +31,7 @@ GROUPS = 512
 SKETCH = 1 << 20
 PIECES = 16
 #: Bytes of text that are hashed together (about 40 times as many in working arrays).
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Partial pieces of the sketch that one task adds up.
 MERGE = 256
 #: Prefix entries (8 bytes) that one shard holds, about.
@@ -212,7 +212,7 @@ class CountTree:
             level = (np.maximum.reduceat(level[0], first, axis=0), np.minimum.reduceat(level[1], first))
             self.levels.append(level)
 
-    def search(self, sizes: np.ndarray, points: np.ndarray, together: int = 10_000):
+    def search(self, sizes: np.ndarray, points: np.ndarray, together: int = 4_000):
         """Yields arrays (query, point) whose bound suffices."""
         for a in range(0, len(sizes), max(1, together // FANOUT)):
             q = np.arange(a, min(len(sizes), a + max(1, together // FANOUT)))

@@ -24,6 +24,8 @@ from .tokens import memory, vocabulary
 CAPACITY = 1024
 #: Pieces that one window partition ranks, about: a class of many pieces is split into as many buckets as it needs.
 BUCKET = 50_000
+#: Bytes of text that are tokenized together (about 50 times as many in working arrays).
+BLOCK = 1 << 20
 
 
 def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
@@ -35,7 +37,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAP
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK):
                 ids, at = memory(path).encode(batch.column(1)[a:b])
                 n = np.diff(at) + 1
                 own = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")

@@ -36,7 +36,7 @@ BATCH = 1 << 16
 #: Bytes of text whose runs are dealt out together.
 CHUNK = 2 << 20
 #: Window starts that are hashed together (about 60 bytes of working arrays each).
-WINDOW = 1 << 19
+WINDOW = 1 << 18
 LAST = np.int64(2**63 - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: One number for each byte.
@@ -255,12 +255,12 @@ class Family:
 def held(sums: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """How often each run's text holds its anchor."""
     out = np.zeros(len(at), np.int64)
-    for a in range(0, len(at), 10_000):
-        n = size[a : a + 10_000] - GRAM + 1
+    for a in range(0, len(at), 2_000):
+        n = size[a : a + 2_000] - GRAM + 1
         run = np.repeat(np.arange(len(n)), n)
-        p = ragged(at[a : a + 10_000], n)
+        p = ragged(at[a : a + 2_000], n)
         hash_ = mix64((sums[p + GRAM] - sums[p]) * powers(len(sums))[p])
-        out[a : a + len(n)] = np.bincount(run[hash_ == anchor[a : a + 10_000][run]], minlength=len(n))
+        out[a : a + len(n)] = np.bincount(run[hash_ == anchor[a : a + 2_000][run]], minlength=len(n))
     return out
 
 
@@ -269,6 +269,7 @@ def search_shard(parts: list[bytes], length: int) -> pd.DataFrame:
     loaded = [unpack(p) for p in parts]
     doc, mark, start, n, anchor = (np.concatenate([x[k] for x in loaded]) for k in range(5))
     text = np.concatenate([x[5] for x in loaded])
+    del loaded
     size = n + length - 1
     at = np.cumsum(size) - size
     order = np.lexsort((start, mark, doc))

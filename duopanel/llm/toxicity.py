@@ -20,6 +20,8 @@ from .common import LOWER, blocks, lean, mix64, row_schema, span_hashes, utf8, w
 #: third as many more. The model holds what these texts hold, whatever the size of the corpus.
 ROWS_PER_CLASS = 4000
 THRESHOLD = 0.3
+#: Bytes of text that are scored together (about 60 times as many in working arrays).
+BLOCK = 1 << 20
 #: Contexts taken from each word's continuation count, in each class, and given to the shared counts; a word met
 #: once or twice then says next to nothing.
 DISCOUNT = 1.5
@@ -58,7 +60,7 @@ def bigrams(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(0)):
+            for a, b in blocks(batch.column(0), BLOCK):
                 codes, first = word_codes(batch.column(0)[a:b])
                 toxic = np.repeat(batch.column(1)[a:b].to_numpy(), np.diff(first))
                 h = before(codes, first)
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2) -> Model:
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(0)):
+            for a, b in blocks(batch.column(0), BLOCK):
                 e, n = shared.value.evidence(batch.column(0)[a:b])
                 yield pa.RecordBatch.from_arrays([*(pa.array(e[:, k]) for k in range(3)), pa.array(n), batch.column(1)[a:b]], names=["e0", "e1", "e2", "n", "toxic"])
 
@@ -228,7 +230,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(shared.value.score(batch.column(1)[a:b]), pa.float64())], names=["row", "score"])
 
     return with_row(docs, text=F.col(text)).mapInArrow(lean(run), row_schema(docs, "score double"))

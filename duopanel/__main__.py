@@ -1,7 +1,7 @@
 """Command line: ``python -m duopanel --config run.json``.
 
-The configuration names the panel (``path``, ``kind``, ``names``), the cleaning (``returns``, ``collapse``: spell or match, ``set``: connected
-or leave_match_out), what to estimate (``fe``, ``cre`` with the number of ``classes``) and the folder of the results (``out``).
+The configuration names the panel (``path``, ``kind``, ``names``), the cleaning (``returns``, ``collapse``: spell or match, ``set``: connected,
+leave_match_out, leave_spell_out or leave_observation_out), what to estimate (``fe``, ``cre`` with the number of ``classes``) and the folder of the results (``out``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators import cre, fe, graph, moments, panel
 from .sources import read_panel, write_result
 
-SETS = {"connected": graph.largest_connected, "leave_match_out": graph.leave_match_out}
+SETS = {"connected": graph.largest_connected, "leave_match_out": graph.leave_match_out, "leave_spell_out": lambda p: graph.leave_out(p, "spell"), "leave_observation_out": lambda p: graph.leave_out(p, "observation")}
 
 
 def run(spark: SparkSession, config: dict) -> dict[str, DataFrame]:

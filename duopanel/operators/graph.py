@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Firm links that the driver may hold for the bridge search (16 bytes each); beyond, it refuses.
-DRIVER_LINKS = 5_000_000
-
 
 def firm_components(panel: DataFrame) -> DataFrame:
     """(j, component): least firm id reached through shared workers.
@@ -74,62 +71,85 @@ def neighbours(panel: DataFrame, firm) -> DataFrame:
     return own.join(workers, "i", "left_semi").where(F.col("j") != F.lit(firm)).select("j").distinct()
 
 
-def leave_match_out(panel: DataFrame) -> DataFrame:
-    """Largest set that stays connected when any one match is left out: no match is a bridge of the worker-firm graph.
+def spanning_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, parent, depth): breadth-first trees of the undirected ``edges`` (a, b) from ``roots`` (node); as many rounds as the graph is deep."""
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).persist()
+    reached = roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).checkpoint()
+    depth, front = 0, reached
+    while True:  # nodes are only added
+        depth += 1
+        near = both.join(front.select(F.col("node").alias("x")), "x").groupBy("y").agg(F.min("x").alias("parent"))
+        front = near.withColumnRenamed("y", "node").join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front).checkpoint()
+    both.unpersist()
+    return reached
 
-    Distinct matches of movers are gathered on the driver (a checked number); bridges go, the largest component stays, and so on
-    until none is left. Stayers of the firms that remain stay.
+
+def bridges(links: DataFrame) -> DataFrame:
+    """(i, j) of ``links`` (i, j, distinct) that no cycle of the worker-firm graph holds.
+
+    Each link outside a spanning forest gets two 64-bit hashes. Summed by exclusive or over the nodes of a subtree, links within it
+    cancel out, so that nothing is left (but for a chance of 2 ** -128) exactly where only the tree's own link leads out of it.
     """
-    from collections import Counter
+    edges = links.select("i", "j", F.concat(F.lit("i"), F.col("i").cast("string")).alias("a"), F.concat(F.lit("j"), F.col("j").cast("string")).alias("b")).checkpoint()
+    roots = firm_components(links).select(F.concat(F.lit("j"), F.col("component").cast("string")).alias("node")).distinct()
+    forest = spanning_forest(edges, roots)
+    tree = forest.where("parent is not null").select(
+        F.when(F.col("node").startswith("i"), F.col("node")).otherwise(F.col("parent")).alias("a"), F.when(F.col("node").startswith("i"), F.col("parent")).otherwise(F.col("node")).alias("b")
+    )
+    rest = edges.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(1)).alias("h"), F.xxhash64("a", "b", F.lit(2)).alias("g"))
+    ends = rest.select(F.explode(F.array("a", "b")).alias("node"), "h", "g").groupBy("node").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    own = forest.join(ends, "node", "left").fillna(0, ["h", "g"]).checkpoint()
+    deepest = own.agg(F.max("depth")).first()[0] or 0
+    below, cut = None, []
+    for depth in range(deepest, 0, -1):  # from the leaves up
+        level = own.where(F.col("depth") == depth).select("node", "parent", "h", "g")
+        if below is not None:
+            level = level.join(below, "node", "left").fillna(0, ["h2", "g2"])
+            level = level.select("node", "parent", F.col("h").bitwiseXOR(F.col("h2")).alias("h"), F.col("g").bitwiseXOR(F.col("g2")).alias("g"))
+        level = level.checkpoint()
+        below = level.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("h").alias("h2"), F.bit_xor("g").alias("g2"))
+        cut.append(level.where("h = 0 and g = 0").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")))
+    found = edges.select("a", "b").limit(0)
+    for part in cut:
+        found = found.unionByName(part)
+    return edges.join(found, ["a", "b"], "left_semi").select("i", "j")
+
+
+def most_links(links: DataFrame) -> DataFrame:
+    """The ``links`` (i, j) of the component with most of them (ties: least firm id)."""
+    labelled = links.join(firm_components(links), "j")
+    best = labelled.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    return labelled.join(F.broadcast(best), "component", "left_semi").select(links.columns)
 
-    pairs = panel.select("i", "j").distinct()
+
+def leave_out(panel: DataFrame, unit: str = "match") -> DataFrame:
+    """Largest set whose firms stay connected when any one match, spell or observation (``unit``) is left out.
+
+    A match of one unit must not be a bridge of the worker-firm graph of movers; one of several units may. Bridges go and the
+    largest component stays, with the stayers of its firms. Everything runs in Spark, in as many rounds as the graph is deep.
+    """
+    if unit == "match":
+        units = F.lit(1)
+    elif unit == "observation":
+        units = F.count(F.lit(1))
+    elif unit == "spell":
+        begins = F.coalesce(F.lag("j").over(Window.partitionBy("i").orderBy("t", "j")) != F.col("j"), F.lit(True))
+        units = F.sum("_begins")
+    else:
+        raise ValueError(f"unknown unit {unit}")
+    counted = panel.withColumn("_begins", begins.cast("int")) if unit == "spell" else panel
+    pairs = counted.groupBy("i", "j").agg(units.alias("units"))
     moving = pairs.groupBy("i").count().where("count > 1").select("i")
-    links = pairs.join(moving, "i", "left_semi")
-    n = links.count()
-    if n > DRIVER_LINKS:
-        raise ValueError(f"{n} matches of movers exceed DRIVER_LINKS = {DRIVER_LINKS}")
-    edges = [(("i", r["i"]), ("j", r["j"])) for r in links.toLocalIterator()]
-    while True:
-        around: dict = {}
-        for k, (a, b) in enumerate(edges):
-            around.setdefault(a, []).append((b, k))
-            around.setdefault(b, []).append((a, k))
-        order, low, cut, label = {}, {}, set(), {}
-        for root in around:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            label[root] = root
-            stack = [(root, -1, iter(around[root]))]
-            while stack:
-                node, via, rest = stack[-1]
-                for other, k in rest:
-                    if k == via:
-                        continue
-                    if other in order:
-                        low[node] = min(low[node], order[other])
-                        continue
-                    order[other] = low[other] = len(order)
-                    label[other] = root
-                    stack.append((other, k, iter(around[other])))
-                    break
-                else:
-                    stack.pop()
-                    if stack:
-                        above = stack[-1][0]
-                        low[above] = min(low[above], low[node])
-                        if low[node] > order[above]:
-                            cut.add(via)
-        size = Counter(label[b] for _, b in edges)
-        best = max(size, key=lambda r: (size[r], str(r)), default=None)
-        kept = [e for k, e in enumerate(edges) if k not in cut and label[e[1]] == best]
-        degree = Counter(e[0] for e in kept)
-        kept = [e for e in kept if degree[e[0]] > 1]
-        if len(kept) == len(edges):
-            break
-        edges = kept
-    spark = panel.sparkSession
-    good = spark.createDataFrame([(a[1], b[1]) for a, b in edges] or [(None, None)], panel.select("i", "j").schema)
-    firms = good.select("j").distinct()
-    still = panel.join(moving, "i", "left_anti").join(firms, "j", "left_semi")
+    links = most_links(pairs.join(moving, "i", "left_semi")).checkpoint()
+    gone = bridges(links.select("i", "j")).join(links.where("units = 1"), ["i", "j"], "left_semi")
+    good = most_links(links.select("i", "j").join(gone, ["i", "j"], "left_anti")).checkpoint()
+    still = panel.join(moving, "i", "left_anti").join(good.select("j").distinct(), "j", "left_semi")
     return panel.join(good, ["i", "j"], "left_semi").select(panel.columns).unionByName(still.select(panel.columns))
+
+
+def leave_match_out(panel: DataFrame) -> DataFrame:
+    """Largest set that stays connected when any one match is left out."""
+    return leave_out(panel, "match")

@@ -397,6 +397,16 @@ def _(s, d):
     return moments.panel_counts(graph.leave_match_out(one(s, d)))
 
 
+@query("leave_spell_out_set")
+def _(s, d):
+    return moments.panel_counts(graph.leave_out(one(s, d), "spell"))
+
+
+@query("leave_observation_out_set")
+def _(s, d):
+    return moments.panel_counts(graph.leave_out(one(s, d), "observation"))
+
+
 # Estimators
 
 

@@ -2,8 +2,8 @@
 
 A text's tokens are the sum, over its distinct pre-tokens, of frequency times pieces. One pass packs the frequencies of about BLOCK
 bytes of documents into a row: the distinct pre-tokens of the block, and for each document which of them it has and how often.
-The pre-tokens of all blocks are joined to one table, in which each distinct one is split into pieces once; the numbers of pieces go
-back to their blocks as one array each, and a product of frequencies and pieces gives the counts. So a pre-token is shuffled
+The pre-tokens of all blocks are dealt and sorted by themselves, so that equal ones are neighbours and each distinct one is split into pieces once;
+the numbers of pieces go back to their blocks as packed arrays, and a product of frequencies and pieces gives the counts. So a pre-token is shuffled
 once for each block, not once for each document, and ids are never made.
 
 Pre-tokens that are entries of the vocabulary and one piece by themselves (at most as many as it has) need no join: they are counted as
@@ -16,10 +16,10 @@ string of an added token are units of their own, counted as the library encodes
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +36,20 @@ LIMIT = 1024
 WHOLE = " "
 _known: dict[str, Splitter] = {}
 
-PACKED = "block string, doc_id array<long>, n_bytes array<long>, ones array<long>, units array<string>, kinds binary, unit binary, n binary"
+#: Numbers of pieces that a task packs by block at once.
+CHUNK = 1_000_000
+
+PACKED = "block long, doc_id array<long>, n_bytes array<long>, ones array<long>, units array<string>, n_units long, kinds binary, unit binary, n binary"
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte (all low bytes first), deflated."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 class Splitter:
@@ -93,37 +106,70 @@ def pack_block(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list
     text = np.repeat(np.arange(len(size)), np.diff(first))
     at = np.cumsum(count) - count
     unit = np.array(listed, np.int64)[ragged(at[which], count[which])]
-    width = max(1, len(number))
-    key, n = np.unique(np.repeat(text, count[which]) * width + unit, return_counts=True)
-    return size, ones_of, list(number), np.bincount(key // width, minlength=len(size)), key % width, n
+    # Sorted pre-tokens pack better.
+    names = sorted(number)
+    rank = np.zeros(len(names), np.int64)
+    rank[[number[x] for x in names]] = np.arange(len(names))
+    width = max(1, len(names))
+    key, n = np.unique(np.repeat(text, count[which]) * width + rank[unit], return_counts=True)
+    return size, ones_of, names, np.bincount(key // width, minlength=len(size)), key % width, n
 
 
 def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """Packed rows: about BLOCK bytes of documents with the frequencies of their pre-tokens."""
+    """Packed rows: about BLOCK bytes of documents with the frequencies of their pre-tokens. A block is named by its task and its number there."""
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b in blocks(batch.column(1), BLOCK):
                 size, ones, units, kinds, unit, n = pack_block(path, batch.column(1)[a:b])
+                step = np.diff(unit, prepend=0)
+                first = (np.cumsum(kinds) - kinds)[kinds > 0]
+                step[first] = unit[first]  # steps within a document
                 one = lambda x: pa.array([x])
                 long = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [one(uuid.uuid4().hex), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0)[a:b]), pa.array([size], long), pa.array([ones], long), pa.array([units], pa.list_(pa.string())), *[one(x.astype("<i4").tobytes()) for x in (kinds, unit, n)]],
-                    names=["block", "doc_id", "n_bytes", "ones", "units", "kinds", "unit", "n"],
+                    [one(block), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0)[a:b]), pa.array([size], long), pa.array([ones], long), pa.array([units], pa.list_(pa.string())), one(len(units)), one(planes(kinds)), one(planes(step)), one(planes(n))],
+                    names=["block", "doc_id", "n_bytes", "ones", "units", "n_units", "kinds", "unit", "n"],
                 )
+                block += 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(lean(run), PACKED)
 
 
 def piece_counts(units: DataFrame, path: str) -> DataFrame:
-    """(unit, pieces) of the distinct values of ``unit``, each split once."""
+    """Of ``units`` (unit, block, k): rows (block, at, pieces, size) that hold the places k of some units of a block and how many pieces each has.
+
+    Equal units are sorted side by side, and each is split once. There is a row of a unit for each block that has it, whatever its frequency.
+    """
 
     def run(batches):
-        split = splitter(path)
+        split, last, held, size = splitter(path), (None, 0), [], 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split.pieces(x) for x in batch.column(0).to_pylist()], pa.int64())], names=["unit", "pieces"])
-
-    return units.select("unit").distinct().mapInArrow(lean(run), "unit string, pieces long")
+            coded = batch.column(0).dictionary_encode()
+            each = []
+            for x in coded.dictionary.to_pylist():
+                last = last if x == last[0] else (x, split.pieces(x))
+                each.append(last[1])
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.array(each, np.int64)[coded.indices.to_numpy()]))
+            size += len(coded)
+            if size > CHUNK:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        block, k, pieces = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((k, block))
+        block, k, pieces = block[order], k[order], pieces[order]
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        end = np.r_[cut[1:], len(block)].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[cut], pa.int64()), pa.array([planes(k[a:b]) for a, b in zip(cut, end)], pa.binary()), pa.array([planes(pieces[a:b]) for a, b in zip(cut, end)], pa.binary()), pa.array((end - cut)[: len(cut)], pa.int64())], names=["block", "at", "pieces", "size"]
+        )
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "block long, at binary, pieces binary, size long")
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -133,24 +179,27 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     its own. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     packed = written(frequencies(docs, path), "frequencies", "zstd")
-    met = packed.select("block", F.posexplode("units").alias("k", "unit"))
-    pieces = met.join(piece_counts(met, path), "unit").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "pieces"))).alias("found"))
-    pieces = pieces.select("block", F.col("found.pieces").alias("pieces"))
+    met = packed.select(F.posexplode("units").alias("k", "unit"), "block").select("unit", "block", "k")
+    pieces = piece_counts(met, path).groupBy("block").agg(F.collect_list(F.struct("at", "pieces", "size")).alias("found"))
 
     def run(batches):
         for batch in batches:
-            doc, size, ones, found = (batch.column(k) for k in range(4))
-            for k, (kinds, unit, n) in enumerate(zip(*[batch.column(i).to_pylist() for i in (4, 5, 6)])):
-                kinds, unit, n = (np.frombuffer(x, "<i4").astype(np.int64) for x in (kinds, unit, n))
-                each = found.slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                total = np.append(0, np.cumsum(each[unit] * n if len(unit) else unit))
+            doc, size, ones = (batch.column(k) for k in range(3))
+            for k, (found, n_units, kinds, unit, n) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(3, 8)])):
+                each = np.zeros(n_units, np.int64)
+                for x in found or []:
+                    each[numbers(x["at"], x["size"])] = numbers(x["pieces"], x["size"])
+                own = doc.slice(k, 1).flatten()
+                kinds = numbers(kinds, len(own))
                 end = np.cumsum(kinds)
-                more = total[end] - total[end - kinds]
-                yield pa.RecordBatch.from_arrays([doc.slice(k, 1).flatten(), size.slice(k, 1).flatten(), pa.array(ones.slice(k, 1).flatten().to_numpy() + more)], names=["doc_id", "n_bytes", "n_tokens"])
-
-    own = packed.select("block", "doc_id", "n_bytes", "ones", "kinds", "unit", "n").join(pieces, "block", "left")
-    own = own.select("doc_id", "n_bytes", "ones", F.coalesce("pieces", F.array().cast("array<long>")).alias("pieces"), "kinds", "unit", "n")
-    return own.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
+                unit, n = numbers(unit, int(kinds.sum())), numbers(n, int(kinds.sum()))
+                run_up = np.append(0, np.cumsum(unit))
+                unit = run_up[1:] - np.repeat(run_up[end - kinds], kinds)
+                total = np.append(0, np.cumsum(each[unit] * n))
+                yield pa.RecordBatch.from_arrays([own, size.slice(k, 1).flatten(), pa.array(ones.slice(k, 1).flatten().to_numpy() + total[end] - total[end - kinds])], names=["doc_id", "n_bytes", "n_tokens"])
+
+    own = packed.select("block", "doc_id", "n_bytes", "ones", "n_units", "kinds", "unit", "n").join(pieces, "block", "left")
+    return own.select("doc_id", "n_bytes", "ones", "found", "n_units", "kinds", "unit", "n").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

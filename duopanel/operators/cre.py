@@ -1,6 +1,7 @@
 """Group correlated random effects: between- and within-class moments of event studies.
 
-Everything is a grouped aggregate joined back but one solve of as many unknowns as there are firm classes, whose number is checked.
+Everything is a grouped aggregate joined back but one solve of as many unknowns as there are firm classes, whose number is checked, and the posterior, which is
+the system of firms of :mod:`corrections` with a prior on its diagonal.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import corrections
+
 #: Firm classes that the driver may solve for; pairs of classes are then a few million rows at most.
 CLASSES = 2000
 
@@ -135,3 +138,49 @@ def totals(events: DataFrame) -> DataFrame:
 def firm_classes(events: DataFrame) -> DataFrame:
     """(j, g): distinct firms and their classes, from both sides of ``events``."""
     return events.select(F.col("j1").alias("j"), F.col("g1").alias("g")).unionByName(events.select(F.col("j2").alias("j"), F.col("g2").alias("g"))).distinct()
+
+
+def posterior(events: DataFrame, var_psi: float, var_eps: float, effects: DataFrame | None = None, draws: int = 100, seed: int = 1, dense: int | None = None, sparse: int | None = None) -> DataFrame:
+    """One row: posterior variance of firm effects over the cross-section, and its two parts.
+
+    Prior: firms' effects around those of their class, with variance ``var_psi``; data: movers' changes, with error variance ``var_eps``. ``posterior_mean_var`` is the variance of
+    the posterior means over the cross-section rows (one a worker), ``posterior_spread`` the part of their uncertainty: exact where the system is inverted, else from
+    ``draws`` random signs. ``effects``: (g, a) of the classes, by default :func:`between`. Raises where a variance is not above 0.
+    """
+    if not (var_psi > 0 and var_eps > 0):
+        raise ValueError(f"the variances of effects and errors must be above 0: {var_psi}, {var_eps}")
+    effects = between(events) if effects is None else effects
+    moves, still = sides(events)
+    # A move is two rows of one weight: the system of such pairs is that of their differences.
+    pair = F.explode(F.array(F.struct(F.col("j1").alias("j"), F.col("y1").alias("y")), F.struct(F.col("j2").alias("j"), F.col("y2").alias("y"))))
+    moves = moves.select("j1", "j2", "y1", "y2").withColumn("i", F.concat_ws("-", F.lit("m"), F.monotonically_increasing_id()))
+    moving = moves.select("i", pair.alias("x")).select("i", "x.j", "x.y", F.lit(2.0 / var_eps).alias("w"))
+    alone = still.groupBy(F.col("j1").alias("j")).agg(F.avg("y1").alias("y")).select(F.concat_ws("-", F.lit("s"), F.col("j").cast("string")).alias("i"), "j", "y", F.lit(1.0).alias("w"))
+    rows = corrections.Rows(moving.unionByName(alone).checkpoint())
+    system = corrections.System(rows, dense, sparse, ridge=1.0 / var_psi)
+    places = pd.Index(rows.firms)
+    prior, count = np.zeros(rows.size), np.zeros(rows.size)
+    for j, a in firm_classes(events).join(F.broadcast(effects), "g").groupBy("j").agg(F.sum("a").alias("a")).toPandas().itertuples(index=False):
+        prior[places.get_loc(j)] = a
+    for j, n in events.where("cs = 1").groupBy("j1").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False):
+        count[places.get_loc(j)] = n
+
+    def changes(b: corrections.Block, into: np.ndarray) -> None:
+        corrections.gathered(into, b.idx, b.val, (b.w * (b.y - (b.by_worker(b.w * b.y) / b.total)[b.who]))[:, None])
+
+    mean = system.solve((prior / var_psi + rows.by_place(changes, 1, (1,))[:, 0])[:, None])[:, 0]
+    n = count.sum()
+    direct = count @ (mean - count @ mean / n) ** 2 / n
+    if rows.size <= system.dense_size:
+        inverse = system.inverted()
+        spread = (count @ np.diag(inverse) - count @ inverse @ count / n) / (n - 1)
+    else:
+        rng, spread, at = np.random.default_rng(seed), 0.0, 0
+        while at < draws:
+            k = min(system.width(), draws - at)
+            z = 2.0 * rng.integers(0, 2, (rows.size, k)) - 1
+            x = system.solve(z, 1e-8)
+            spread += float((count @ (z * x) - (count @ z) * (count @ x) / n).sum() / (n - 1) / draws)
+            at += k
+    rows.close()
+    return events.sparkSession.createDataFrame([(float(direct + spread), float(direct), float(spread))], "posterior_var double, posterior_mean_var double, posterior_spread double")

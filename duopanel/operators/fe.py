@@ -1,21 +1,23 @@
 """Two-way fixed effects with bias corrections.
 
 The panel is reduced once to matches (i, j, w, wy). Eliminating the workers leaves a Laplacian over firms:
-L = diag(w_j) - K with K_jk = sum_i w_ij w_ik / w_i. Up to DENSE firms it is inverted on the driver (firm-sized data of a checked
-size) and every trace and leverage is exact; beyond, the system is solved by preconditioned conjugate gradients whose
-products are one pass over cached blocks of matches, and traces and leverages come from random signs, all systems at once.
+L = diag(w_j) - K with K_jk = sum_i w_ij w_ik / w_i. Up to DENSE firms it is factored on the driver (firm-sized data of a checked
+size), and inverted only where traces are asked for, which are then exact; larger systems, weighted panels and random signs are
+those of :mod:`corrections`.
 """
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import corrections
+
 #: Firms up to which the inverse is dense: 2000 x 2000 doubles are 32 MB on the driver and in each broadcast.
 DENSE = 2000
 #: Matches in one group of the leverage computation, about.
@@ -40,14 +42,22 @@ def firm_system(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Solved:
-    """Firm ids, effects (first firm 0), and for the dense case the inverse M (row and column of the first firm 0) and K."""
+    """Firm ids, effects (first firm 0), weights, and for the dense case K and, on demand, the inverse M (row and column of the first firm 0)."""
 
     firms: np.ndarray
     psi: np.ndarray
     weights: np.ndarray
-    inverse: np.ndarray | None = None
     k: np.ndarray | None = None
 
+    @cached_property
+    def inverse(self) -> np.ndarray | None:
+        if self.k is None:
+            return None
+        out = np.zeros_like(self.k)
+        half = np.linalg.solve(np.linalg.cholesky((np.diag(self.weights) - self.k)[1:, 1:]), np.eye(len(out) - 1))
+        out[1:, 1:] = half.T @ half
+        return out
+
 
 def solve(matches: DataFrame, dense: int = DENSE) -> Solved:
     """Firm effects of a connected panel, the least firm id normalised to 0."""
@@ -66,110 +76,18 @@ def solve(matches: DataFrame, dense: int = DENSE) -> Solved:
     dense_k = np.zeros((len(ids), len(ids)))
     dense_k[r, c] = dense_k[c, r] = cells["v"]
     w = firms["w"].to_numpy(float)
-    laplacian = np.diag(w) - dense_k
-    inverse = np.zeros_like(laplacian)
-    inverse[1:, 1:] = np.linalg.inv(laplacian[1:, 1:])
-    return Solved(ids, inverse @ firms["b"].to_numpy(float), w, inverse, dense_k)
-
-
-class Blocks:
-    """Matches dealt by worker into packed blocks that stay cached: a product with the firm system, for many right sides, is one job.
-
-    Vectors over firms (a few columns) live on the driver and are broadcast; matches and workers never leave the blocks.
-    """
-
-    def __init__(self, matches: DataFrame):
-        firm = matches.groupBy("j").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("j")
-        self.ids, self.weights = firm["j"].to_numpy(), firm["w"].to_numpy(float)
-        self.spark = matches.sparkSession
-        shared = self.spark.sparkContext.broadcast(self.ids)
-        groups = max(1, int(firm["n"].sum()) // GROUP)
-
-        def pack(own: pd.DataFrame) -> pd.DataFrame:
-            own = own.sort_values(["i", "j"])
-            i = own["i"].to_numpy()
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            return pd.DataFrame({"g": own["_g"].iloc[:1], "data": [pickle.dumps((i, np.searchsorted(shared.value, own["j"]), own["w"].to_numpy(float), first), 5)]})
-
-        dealt = matches.select("i", "j", "w").withColumn("_g", F.pmod(F.xxhash64("i"), F.lit(groups)))
-        self.table = dealt.groupBy("_g").applyInPandas(pack, "g long, data binary").persist()
-
-    def over(self, f, schema: str) -> DataFrame:
-        """``f(block number, i, firm, weight, first match of each worker)`` of every block."""
-
-        def run(batches):
-            for own in batches:
-                for g, data in zip(own["g"], own["data"]):
-                    yield f(g, *pickle.loads(data))
-
-        return self.table.mapInPandas(run, schema)
-
-    def by_firm(self, f, columns: int) -> np.ndarray:
-        """Sums over all matches of the columns that ``f`` gives for each of a block's, for each firm."""
-
-        def own(g, i, j, w, first):
-            values = f(g, i, j, w, first)
-            order = np.argsort(j, kind="stable")
-            cut = np.flatnonzero(np.r_[True, j[order][1:] != j[order][:-1]])
-            return pd.DataFrame(np.add.reduceat(values[order], cut, axis=0), columns=[f"c{k}" for k in range(columns)]).assign(j=j[order][cut])
-
-        found = self.over(own, ", ".join([*(f"c{k} double" for k in range(columns)), "j long"]))
-        got = found.groupBy("j").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(columns)]).toPandas()
-        out = np.zeros((len(self.ids), columns))
-        out[got["j"].to_numpy(int)] = got[[f"c{k}" for k in range(columns)]].to_numpy(float)
-        return out
-
-    def times(self, x: np.ndarray) -> np.ndarray:
-        """The firm system (weights less the workers' means) times the columns of ``x``."""
-        shared = self.spark.sparkContext.broadcast(x)
-
-        def f(g, i, j, w, first):
-            own = shared.value[j]
-            return w[:, None] * (own - worker_means(own, w, first))
-
-        return self.by_firm(f, x.shape[1])
-
-    def solve(self, b: np.ndarray, tolerance: float = 1e-10, most: int = 1000) -> np.ndarray:
-        """Conjugate gradients with a diagonal preconditioner, all columns at once; the first firm is 0. Raises if a column does not converge."""
-        b = b.copy()
-        b[0] = 0
-        diagonal = self.by_firm(lambda g, i, j, w, first: (w * (1 - w / np.repeat(np.add.reduceat(w, first), np.diff(np.r_[first, len(w)]))))[:, None], 1)
-        diagonal = np.maximum(diagonal, 1e-12)
-        x, r = np.zeros_like(b), b.copy()
-        size = np.maximum(np.linalg.norm(b, axis=0), 1e-300)
-        z = r / diagonal
-        p, rz = z.copy(), (r * z).sum(axis=0)
-        for _ in range(most):
-            if np.all(np.linalg.norm(r, axis=0) <= tolerance * size):
-                return x - x[0]
-            q = self.times(p)
-            q[0] = 0
-            step = np.where(rz > 0, rz / np.maximum((p * q).sum(axis=0), 1e-300), 0)
-            x, r = x + step * p, r - step * q
-            z = r / diagonal
-            rz, old = (r * z).sum(axis=0), rz
-            p = z + np.where(old > 0, rz / np.maximum(old, 1e-300), 0) * p
-        raise ArithmeticError(f"no convergence in {most} rounds: the panel may not be connected")
-
-    def close(self) -> None:
-        self.table.unpersist()
-
-
-def worker_means(values: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Weighted mean over its worker's matches, for each match."""
-    size = np.diff(np.r_[first, len(w)])
-    means = np.add.reduceat(w[:, None] * values, first, axis=0) / np.add.reduceat(w, first)[:, None]
-    return np.repeat(means, size, axis=0)
+    psi = np.zeros(len(ids))
+    psi[1:] = np.linalg.solve((np.diag(w) - dense_k)[1:, 1:], firms["b"].to_numpy(float)[1:])
+    return Solved(ids, psi, w, dense_k)
 
 
 def solve_iterative(matches: DataFrame, tolerance: float = 1e-10) -> Solved:
-    """The same system by conjugate gradients over packed blocks."""
-    worker = matches.groupBy("i").agg(F.sum("w").alias("w_i"), F.sum("wy").alias("wy_i"))
-    b = matches.join(worker, "i").groupBy("j").agg(F.sum(F.col("wy") - F.col("w") * F.col("wy_i") / F.col("w_i")).alias("b")).toPandas().sort_values("j")
-    blocks = Blocks(matches)
-    x = blocks.solve(b[["b"]].to_numpy(float), tolerance)[:, 0]
-    blocks.close()
-    return Solved(blocks.ids, x, blocks.weights)
+    """The same system by conjugate gradients over packed blocks of matches."""
+    rows = corrections.Rows(matches.select("i", "j", "w", (F.col("wy") / F.col("w")).alias("y")))
+    psi = corrections.estimate(rows, corrections.System(rows, dense=0), tolerance)
+    weights = rows.by_place(lambda b, into: corrections.gathered(into, b.idx, b.val, b.w[:, None]), 1)[:, 0]
+    rows.close()
+    return Solved(rows.firms, psi, weights)
 
 
 def zigzag(panel: DataFrame, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
@@ -262,108 +180,14 @@ def quadratic_forms(matches: DataFrame, solved: Solved) -> DataFrame:
     return dealt.groupBy("_g").applyInPandas(lambda own: run(own), f"i {kinds['i']}, j {kinds['j']}, leverage double, q_psi double, q_cov double")
 
 
-def drawn_forms(matches: DataFrame, draws: int, seed: int = 1, tolerance: float = 1e-7) -> tuple[DataFrame, float, float]:
-    """As :func:`quadratic_forms`, by random signs: leverage with the factor that corrects its use in a ratio, q_psi and q_cov, and the
-    traces of the homoskedastic correction of var(psi) and cov(psi, alpha).
-
-    Signs of the observations of a match are drawn as their sum, from the seed and the number of the block, so that any pass can
-    draw them again. All systems are solved together: 3 x ``draws`` columns over firms.
-    """
-    blocks = Blocks(matches)
-    n, b = blocks.weights.sum(), draws
-
-    def drawn(g, w, first):
-        """Sums of signs of each match (for the leverages, for the traces) and of each worker, repeated for its matches."""
-        rng = np.random.default_rng([seed, int(g)])
-        count, size = np.round(w).astype(int)[:, None], np.diff(np.r_[first, len(w)])
-        both = [2.0 * rng.binomial(count, 0.5, (len(w), b)) - count for _ in range(2)]
-        return [(x, np.repeat(np.add.reduceat(x, first, axis=0), size, axis=0)) for x in both], np.repeat(np.add.reduceat(w, first), size)[:, None]
-
-    def sides(g, i, j, w, first):
-        ((r, r_i), (z, z_i)), total = drawn(g, w, first)
-        return np.concatenate([r - w[:, None] * r_i / total, z, w[:, None] * z_i / total], axis=1)
-
-    found = blocks.by_firm(sides, 3 * b)
-    mean = found[:, b : 2 * b].sum(axis=0) / n
-    right_psi = (found[:, b : 2 * b] - blocks.weights[:, None] * mean) / np.sqrt(n)
-    right_alpha = -(found[:, 2 * b :] - blocks.weights[:, None] * mean) / np.sqrt(n)
-    x = blocks.solve(np.concatenate([found[:, :b], right_psi, right_alpha], axis=1), tolerance)
-    t_psi = float((right_psi * x[:, b : 2 * b]).sum() / b)
-    shared = blocks.spark.sparkContext.broadcast((blocks.ids, x, mean, n))
-
-    def forms(g, i, j, w, first):
-        ids, x, mean, n = shared.value
-        ((r, r_i), (z, z_i)), total = drawn(g, w, first)
-        own = x[j]
-        net = own - worker_means(own, w, first)
-        q, by_psi = net[:, :b] + r_i / total, net[:, b : 2 * b]
-        alpha = (z_i - total * mean) / np.sqrt(n)
-        by_alpha = net[:, 2 * b :] + alpha / total
-        share = r / np.round(w)[:, None]  # mean sign of the match's observations
-        square, rest = q**2, 1 - 2 * share * q + q**2
-        fourth, rest_fourth = square**2, (1 + square) ** 2 - 4 * share * q * (1 + square) + 4 * square
-        p, m = square.mean(axis=1), rest.mean(axis=1)
-        lever = p / (p + m)
-        left = 1 - lever
-        pp, mm, pm = fourth.mean(axis=1), rest_fourth.mean(axis=1), (square * rest).mean(axis=1)
-        spread = left**2 * pp + lever**2 * mm - 2 * lever * left * pm
-        bias = left * pp - lever * mm + 2 * (left - lever) * pm
-        factor = 1 - (spread / np.maximum(left, 1e-12) + bias) / np.maximum(left, 1e-12) / b
-        alone = np.repeat(np.diff(np.r_[first, len(w)]) == 1, np.diff(np.r_[first, len(w)]))
-        lever, factor = np.where(alone, 1 / total[:, 0], lever), np.where(alone, 1.0, factor)
-        t_cov = np.zeros(len(w))
-        t_cov[first] = (alpha[first] * (-worker_means(own[:, b : 2 * b], w, first)[first])).sum(axis=1) / b
-        return pd.DataFrame({"i": i, "j": ids[j], "leverage": lever, "factor": factor, "q_psi": (by_psi**2).mean(axis=1), "q_cov": (by_psi * by_alpha).mean(axis=1), "t_cov": t_cov})
-
-    kinds = dict(matches.dtypes)
-    out = blocks.over(forms, f"i {kinds['i']}, j {kinds['j']}, leverage double, factor double, q_psi double, q_cov double, t_cov double").persist()
-    return out, t_psi, float(out.agg(F.sum("t_cov")).first()[0])
-
-
 def corrected(panel: DataFrame, draws: int | None = None, stayers: str = "firm_mean", seed: int = 1) -> DataFrame:
-    """One row: plug-in, homoskedastic and heteroskedastic estimates of var(psi), var(alpha), cov(psi, alpha) and var(psi + alpha), for an unweighted panel.
+    """One row: plug-in, homoskedastic and heteroskedastic estimates of var(psi), var(alpha), cov(psi, alpha) and var(psi + alpha).
 
-    Traces and leverages are exact up to DENSE firms and come from ``draws`` random signs if these are given (200 beyond DENSE). Stayers'
-    error variances are the mean of the movers' at their firm, or from their own leverages (``stayers`` = "upper_bound"). The panel must be
-    connected and every leverage below 1, else ValueError: workers with a single observation are left out first.
+    Traces and leverages are exact up to DENSE firms and come from ``draws`` random signs if these are given (200 beyond DENSE). A panel with weights ``w`` (collapsed
+    spells) is corrected for them. Stayers' error variances are the mean of the movers' at their firm, or from their own leverages (``stayers`` = "upper_bound"). The panel must be
+    connected and every leverage below 1, else ValueError: workers with a single observation are left out first. Controls, other forms and
+    more settings: :func:`corrections.corrected`.
     """
-    if "w" in panel.columns:
-        raise ValueError("the corrections are for panels of one row for each observation, without weights")
-    matches = match_table(panel).persist()
-    solved = solve(matches)
-    if solved.inverse is None and draws is None:
-        draws = 200
-    effects = attach_effects(panel, solved).persist()
-    plain = plug_in(effects)
-    w = solved.weights
-    n, nf, p = w.sum(), len(w), w / w.sum()
-    nw = matches.select("i").distinct().count()
-    if draws is None:
-        m, k = solved.inverse, solved.k
-        pmp, tkm = float(p @ m @ p), float((k * m).sum())
-        t_psi, t_cov = float(p @ np.diag(m)) - pmp, -tkm / n + pmp
-        forms = quadratic_forms(matches, solved).withColumn("factor", F.lit(1.0)).persist()
-    else:
-        forms, t_psi, t_cov = drawn_forms(matches, draws, seed)
-    t_sum = (nw + nf - 2) / n  # fitted values have nw + nf - 1 dimensions, one of them the mean
-    most = forms.agg(F.max("leverage")).first()[0]
-    if most >= 1 - 1e-9:
-        raise ValueError(f"a leverage is {most}: keep the leave-one-match-out set and drop workers with a single observation")
-    by_worker = effects.groupBy("i").agg(F.avg("y").alias("mean_y"), (F.min("j") != F.max("j")).alias("mover"))
-    own = effects.join(by_worker, "i").join(forms, ["i", "j"])
-    own = own.withColumn("s", F.when(F.col("mover") | F.lit(stayers == "upper_bound"), (F.col("y") - F.col("mean_y")) * F.col("e") / (1 - F.col("leverage")) * F.col("factor")))
-    firm = own.where("mover").groupBy("j").agg(F.avg("s").alias("s_firm"))
-    own = own.join(firm, "j", "left").withColumn("s", F.coalesce("s", "s_firm", F.lit(0.0)))
-    q_sum = F.col("leverage") / F.lit(n) - F.lit(1 / n**2)
-    he = own.agg(
-        F.avg("s").alias("var_eps_he"), F.sum(F.col("s") * F.col("q_psi")).alias("h_psi"), F.sum(F.col("s") * F.col("q_cov")).alias("h_cov"), F.sum(F.col("s") * q_sum).alias("h_sum"),
-        F.max("leverage").alias("max_leverage"),
-    )
-    both = plain.crossJoin(he).withColumn("var_eps_ho", F.col("var_eps") * F.lit(n / (n - (nw + nf - 1))))
-    both = both.withColumn("h_alpha", F.col("h_sum") - F.col("h_psi") - 2 * F.col("h_cov"))
-    traces = {"var_psi": (t_psi, "h_psi"), "var_alpha": (t_sum - t_psi - 2 * t_cov, "h_alpha"), "cov_psi_alpha": (t_cov, "h_cov"), "var_psi_alpha": (t_sum, "h_sum")}
-    return both.select(
-        "var_y", *traces, "var_eps", "var_eps_ho", "var_eps_he", "max_leverage",
-        *[(F.col(c) - F.col("var_eps_ho") * F.lit(float(t))).alias(f"{c}_ho") for c, (t, _) in traces.items()],
-        *[(F.col(c) - F.col(h)).alias(f"{c}_he") for c, (_, h) in traces.items()],
-    )
+    got = corrections.corrected(panel, draws=draws, trace_draws=draws or 20, stayers=stayers, seed=seed, centre="panel" if "w" in panel.columns else "worker")
+    names = [f.name for f in corrections.STANDARD]
+    return got.select("var_y", *names, "var_eps", "var_eps_ho", "var_eps_he", "max_leverage", *[f"{c}_ho" for c in names], *[f"{c}_he" for c in names])

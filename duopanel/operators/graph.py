@@ -87,35 +87,108 @@ def spanning_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
+class Tree:
+    """A rooted forest (node, parent, depth) with the ancestors 1, 2, 4, ... steps up: sums over subtrees and meeting points take as many rounds as the depth has bits."""
+
+    def __init__(self, forest: DataFrame):
+        self.forest = forest
+        deepest = forest.agg(F.max("depth")).first()[0] or 0
+        self.up = [forest.where("parent is not null").select("node", F.col("parent").alias("up")).checkpoint()]
+        while 2 ** len(self.up) <= deepest:
+            last = self.up[-1]
+            self.up.append(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")).checkpoint())
+
+    def below(self, values: DataFrame, how: dict[str, str]) -> DataFrame:
+        """``values`` (node, columns) gathered over the subtree of each node of ``values``: ``how`` names an aggregate for each column.
+
+        What stands less than 2 ** k steps below is known for every node after round k; the next adds that of the nodes 2 ** k steps below.
+        """
+        own = values
+        for up in self.up:
+            far = own.join(up, "node").select(F.col("up").alias("node"), *how)
+            own = own.unionByName(far).groupBy("node").agg(*[F.expr(f"{f}({c})").alias(c) for c, f in how.items()]).checkpoint()
+        return own
+
+    def meetings(self, edges: DataFrame) -> DataFrame:
+        """``edges`` (a, b between nodes of like or neighbouring depth) with ``top``: the depth of the lowest common ancestor of a and b."""
+        depth = self.forest.select("node", "depth")
+
+        def moved(found: DataFrame, end: str, up: DataFrame, where) -> DataFrame:
+            step = up.select(F.col("node").alias(end), F.col("up").alias("_up"))
+            return found.join(step, end, "left").withColumn(end, F.when(where & F.col("_up").isNotNull(), F.col("_up")).otherwise(F.col(end))).drop("_up")
+
+        own = edges.withColumn("x", F.col("a")).withColumn("y", F.col("b"))
+        for end in ("x", "y"):
+            own = own.join(depth.select(F.col("node").alias(end), F.col("depth").alias(f"d{end}")), end)
+        own = moved(moved(own, "x", self.up[0], F.col("dx") > F.col("dy")), "y", self.up[0], F.col("dy") > F.col("dx")) if self.up else own
+        own = own.withColumn("d", F.least("dx", "dy")).drop("dx", "dy").checkpoint()
+        for up in reversed(self.up):
+            far = own
+            for end in ("x", "y"):
+                far = far.join(up.select(F.col("node").alias(end), F.col("up").alias(f"u{end}")), end, "left")
+            apart = F.col("ux").isNotNull() & F.col("uy").isNotNull() & (F.col("ux") != F.col("uy"))
+            own = far.select("a", "b", "d", F.when(apart, F.col("ux")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("uy")).otherwise(F.col("y")).alias("y")).checkpoint()
+        own = own.join(depth.select(F.col("node").alias("x"), F.col("depth").alias("dx")), "x")
+        return own.select("a", "b", F.when(F.col("x") == F.col("y"), F.col("dx")).otherwise(F.col("dx") - 1).alias("top"))
+
+
+def named(links: DataFrame) -> DataFrame:
+    """``links`` (i, j) with the nodes a and b of the worker-firm graph."""
+    return links.select("i", "j", F.concat(F.lit("i"), F.col("i").cast("string")).alias("a"), F.concat(F.lit("j"), F.col("j").cast("string")).alias("b"))
+
+
+def rooted(links: DataFrame, edges: DataFrame) -> tuple[Tree, DataFrame]:
+    """A forest over ``edges`` (those of ``links``, :func:`named`), and the edges outside it."""
+    roots = firm_components(links).select(F.concat(F.lit("j"), F.col("component").cast("string")).alias("node")).distinct()
+    forest = spanning_forest(edges, roots)
+    worker = F.col("node").startswith("i")
+    tree = forest.where("parent is not null").select(F.when(worker, F.col("node")).otherwise(F.col("parent")).alias("a"), F.when(worker, F.col("parent")).otherwise(F.col("node")).alias("b"))
+    return Tree(forest), edges.join(tree, ["a", "b"], "left_anti").select("a", "b").checkpoint()
+
+
 def bridges(links: DataFrame) -> DataFrame:
     """(i, j) of ``links`` (i, j, distinct) that no cycle of the worker-firm graph holds.
 
     Each link outside a spanning forest gets two 64-bit hashes. Summed by exclusive or over the nodes of a subtree, links within it
     cancel out, so that nothing is left (but for a chance of 2 ** -128) exactly where only the tree's own link leads out of it.
     """
-    edges = links.select("i", "j", F.concat(F.lit("i"), F.col("i").cast("string")).alias("a"), F.concat(F.lit("j"), F.col("j").cast("string")).alias("b")).checkpoint()
-    roots = firm_components(links).select(F.concat(F.lit("j"), F.col("component").cast("string")).alias("node")).distinct()
-    forest = spanning_forest(edges, roots)
-    tree = forest.where("parent is not null").select(
-        F.when(F.col("node").startswith("i"), F.col("node")).otherwise(F.col("parent")).alias("a"), F.when(F.col("node").startswith("i"), F.col("parent")).otherwise(F.col("node")).alias("b")
-    )
-    rest = edges.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(1)).alias("h"), F.xxhash64("a", "b", F.lit(2)).alias("g"))
-    ends = rest.select(F.explode(F.array("a", "b")).alias("node"), "h", "g").groupBy("node").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
-    own = forest.join(ends, "node", "left").fillna(0, ["h", "g"]).checkpoint()
-    deepest = own.agg(F.max("depth")).first()[0] or 0
-    below, cut = None, []
-    for depth in range(deepest, 0, -1):  # from the leaves up
-        level = own.where(F.col("depth") == depth).select("node", "parent", "h", "g")
-        if below is not None:
-            level = level.join(below, "node", "left").fillna(0, ["h2", "g2"])
-            level = level.select("node", "parent", F.col("h").bitwiseXOR(F.col("h2")).alias("h"), F.col("g").bitwiseXOR(F.col("g2")).alias("g"))
-        level = level.checkpoint()
-        below = level.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("h").alias("h2"), F.bit_xor("g").alias("g2"))
-        cut.append(level.where("h = 0 and g = 0").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")))
-    found = edges.select("a", "b").limit(0)
-    for part in cut:
-        found = found.unionByName(part)
-    return edges.join(found, ["a", "b"], "left_semi").select("i", "j")
+    edges = named(links).checkpoint()
+    tree, rest = rooted(links, edges)
+    hashed = rest.select("a", "b", F.xxhash64("a", "b", F.lit(1)).alias("h"), F.xxhash64("a", "b", F.lit(2)).alias("g"))
+    ends = hashed.select(F.explode(F.array("a", "b")).alias("node"), "h", "g").groupBy("node").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    own = tree.forest.select("node").join(ends, "node", "left").fillna(0, ["h", "g"])
+    cut = tree.below(own, {"h": "bit_xor", "g": "bit_xor"}).where("h = 0 and g = 0").join(tree.up[0], "node") if tree.up else own.limit(0).withColumn("up", F.lit(""))
+    return edges.join(cut.select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b")), ["a", "b"], "left_semi").select("i", "j")
+
+
+def blocks(links: DataFrame) -> DataFrame:
+    """(node, block) for every node of the worker-firm graph of ``links`` (i, j, distinct) and every biconnected block it lies in. Nodes are ids after the letter i or j.
+
+    The cycle that a link outside a spanning forest closes puts all tree links on it in one block: the two at its ends, and a link with the one above it
+    where a cycle from below reaches higher still. What is so tied together is a block.
+    """
+    edges = named(links).checkpoint()
+    tree, rest = rooted(links, edges)
+    met = tree.meetings(rest)
+    ends = met.select(F.explode(F.array("a", "b")).alias("node"), "top").groupBy("node").agg(F.min("top").alias("top"))
+    reach = tree.below(tree.forest.select("node").join(ends, "node", "left"), {"top": "min"}) if tree.up else ends
+    parents = tree.forest.where("parent is not null").select("node", "parent", "depth")
+    # A tree link is known by its lower end.
+    lower = met.select("a", "b", "top").join(tree.forest.select(F.col("node").alias("a"), F.col("depth").alias("da")), "a").join(tree.forest.select(F.col("node").alias("b"), F.col("depth").alias("db")), "b")
+    beside = lower.where("top < da and top < db").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    over = reach.join(parents, "node").where("top < depth - 1").select(F.col("node").alias("x"), F.col("parent").alias("y"))
+    tied = beside.unionByName(over).distinct()
+    each = tied.select(F.concat_ws(" ", "x", "y").alias("i"), F.explode(F.array("x", "y")).alias("j"))
+    alone = parents.select(F.concat(F.lit("="), F.col("node")).alias("i"), F.col("node").alias("j"))
+    label = firm_components(each.unionByName(alone)).select(F.col("j").alias("node"), F.col("component").alias("block"))
+    return label.join(parents, "node").select(F.explode(F.array("node", "parent")).alias("node"), "block").distinct()
+
+
+def cut_nodes(links: DataFrame, kind: str) -> DataFrame:
+    """(i) workers or (j) firms (``kind`` "i" or "j") without which other nodes of their component are apart: those in several blocks."""
+    several = blocks(links).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    own = links.select(kind).distinct().withColumn("node", F.concat(F.lit(kind), F.col(kind).cast("string")))
+    return own.join(several, "node", "left_semi").select(kind)
 
 
 def most_links(links: DataFrame) -> DataFrame:
@@ -126,11 +199,13 @@ def most_links(links: DataFrame) -> DataFrame:
 
 
 def leave_out(panel: DataFrame, unit: str = "match") -> DataFrame:
-    """Largest set whose firms stay connected when any one match, spell or observation (``unit``) is left out.
+    """Largest set whose firms stay connected when any one match, spell, observation, worker or firm (``unit``) is left out.
 
-    A match of one unit must not be a bridge of the worker-firm graph of movers; one of several units may. Bridges go and the
+    Workers and firms: see :func:`leave_node_out`. Of the others, a match of one unit must not be a bridge of the worker-firm graph of movers; one of several units may. Bridges go and the
     largest component stays, with the stayers of its firms. Everything runs in Spark, in as many rounds as the graph is deep.
     """
+    if unit in ("worker", "firm"):
+        return leave_node_out(panel, unit)
     if unit == "match":
         units = F.lit(1)
     elif unit == "observation":
@@ -150,6 +225,27 @@ def leave_out(panel: DataFrame, unit: str = "match") -> DataFrame:
     return panel.join(good, ["i", "j"], "left_semi").select(panel.columns).unionByName(still.select(panel.columns))
 
 
+def leave_node_out(panel: DataFrame, unit: str) -> DataFrame:
+    """Largest set whose firms stay connected when any one worker, or firm, is left out.
+
+    In the graph of movers and their firms, workers (firms) without which other firms are apart go, the largest component stays, and so on until none is left.
+    Of the rows, those of the remaining firms stay, but for the workers who went.
+    """
+    kind = "i" if unit == "worker" else "j"
+    links, gone = panel.select("i", "j").distinct().checkpoint(), None
+    while True:  # links only go
+        links = most_links(links.join(links.groupBy("i").count().where("count > 1").select("i"), "i", "left_semi")).checkpoint()
+        cut = cut_nodes(links, kind).checkpoint()
+        if cut.isEmpty():
+            break
+        gone = cut if gone is None else gone.unionByName(cut)
+        links = links.join(cut, kind, "left_anti")
+    kept = panel.join(links.select("j").distinct(), "j", "left_semi")
+    if gone is not None and unit == "worker":
+        kept = kept.join(gone, "i", "left_anti")
+    return kept.select(panel.columns)
+
+
 def leave_match_out(panel: DataFrame) -> DataFrame:
     """Largest set that stays connected when any one match is left out."""
     return leave_out(panel, "match")

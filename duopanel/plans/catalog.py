@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, cre, diagnostics, dynamic, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
+from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -402,6 +402,16 @@ def _(s, d):
     return moments.panel_counts(graph.leave_out(one(s, d), "spell"))
 
 
+@query("leave_worker_out_set")
+def _(s, d):
+    return moments.panel_counts(graph.leave_out(one(s, d), "worker"))
+
+
+@query("leave_firm_out_set")
+def _(s, d):
+    return moments.panel_counts(graph.leave_out(one(s, d), "firm"))
+
+
 @query("leave_observation_out_set")
 def _(s, d):
     return moments.panel_counts(graph.leave_out(one(s, d), "observation"))
@@ -494,6 +504,35 @@ def _(s, d):
     return rounded(fe.corrected(panel.drop_single_stayers(one(s, d)), draws=20), 5)
 
 
+def spells(s: SparkSession, d: str) -> DataFrame:
+    """P1 collapsed to spells with their numbers of observations as weights, and the firm of the spell before; workers of one observation are out."""
+    x = panel.collapse(one(s, d), "spell").select("i", "j", F.col("t1").alias("t"), "y", F.col("w").cast("double").alias("w"))
+    x = panel.drop_single_stayers(x)
+    return x.withColumn("j_prev", F.lag("j").over(Window.partitionBy("i").orderBy("t", "j")))
+
+
+@query("fe_corrected_weighted")
+def _(s, d):
+    return rounded(fe.corrected(spells(s, d)), 5)
+
+
+@query("fe_corrected_weighted_drawn")
+def _(s, d):
+    return rounded(corrections.corrected(spells(s, d), draws=20, deflated=True, dense=0), 5)
+
+
+@query("fe_corrected_controls")
+def _(s, d):
+    forms = (*corrections.STANDARD, corrections.var_covariate("flag", "quantity"), corrections.cov_covariate("quantity", psi=1.0))
+    return rounded(corrections.corrected(panel.drop_single_stayers(with_controls(s, d)), forms, ["flag"], ["quantity"]), 6)
+
+
+@query("fe_corrected_forms")
+def _(s, d):
+    own = corrections.Form("cov_psi_prev_psi", corrections.Effect(psi=1.0, firm="j_prev"), corrections.Effect(psi=1.0))
+    return rounded(corrections.corrected(spells(s, d), (corrections.VAR_PSI, own)), 5)
+
+
 @query("fe_conjugate_gradients", MATCH + f" SELECT j, {rnd('psi', 5)} AS psi_hat FROM s")
 def _(s, d):
     solved = fe.solve(fe.match_table(one(s, d)), dense=0)
@@ -551,6 +590,25 @@ def _(s, d):
     return rounded(cre.totals(class_events(s, d)), 5).select("var_bw", "cov_bw", "var_y", "var_wt", "cov_wt", "tot_var", "tot_cov", "cov_AsAs", "var_eps")
 
 
+@query(
+    "cre_posterior_mean",
+    CRE + ", pr AS (SELECT j, sum(a) AS p FROM (SELECT j1 AS j, g1 AS g FROM e UNION SELECT j2, g2 FROM e) JOIN ef USING (g) GROUP BY j), pd AS (SELECT j1 AS a, j2 AS b, CAST(count(*) AS DOUBLE) AS n, sum(y2 - y1) AS s FROM e WHERE m = 1 AND j1 <> j2 GROUP BY 1, 2),"
+    " ps AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM pd UNION ALL SELECT b, a, n FROM pd) GROUP BY a, b), pn AS (SELECT a, sum(n) AS n FROM ps GROUP BY a), pc AS (SELECT j, sum(v) AS v FROM (SELECT b AS j, s AS v FROM pd UNION ALL SELECT a, -s FROM pd) GROUP BY j),"
+    " px(k, j, x) AS (SELECT 0, a, 0.0::DOUBLE FROM pn UNION ALL SELECT any_value(px.k) + 1, ps.a, (1000 * any_value(pr.p) + any_value(pc.v) + sum(ps.n * px.x)) / (1000 + any_value(pn.n)) FROM ps JOIN px ON px.j = ps.b JOIN pr ON pr.j = ps.a JOIN pc ON pc.j = ps.a JOIN pn ON pn.a = ps.a WHERE px.k < 100 GROUP BY ps.a),"
+    " pf AS (SELECT pr.j, coalesce(px.x, pr.p) AS x FROM pr LEFT JOIN px ON px.j = pr.j AND px.k = 100)"
+    f" SELECT {rnd('var_pop(x)', 7)} AS posterior_mean_var, count(*) AS n FROM net JOIN pf ON pf.j = net.j1 WHERE rk = 1",
+)
+def _(s, d):
+    events = class_events(s, d)
+    n = events.where("cs = 1").count()
+    return rounded(cre.posterior(events, 0.001, 1.0).select("posterior_mean_var", F.lit(n).cast("long").alias("n")), 7)
+
+
+@query("cre_posterior")
+def _(s, d):
+    return rounded(cre.posterior(class_events(s, d), 0.01, 0.5), 6)
+
+
 @query("firm_class_pairs", f"WITH {P1}, {ONE}, {CLASSES} SELECT DISTINCT j, g FROM dg")
 def _(s, d):
     return cre.firm_classes(class_events(s, d))

@@ -66,3 +66,57 @@ def test_leave_out_sets(spark, unit):
 def test_leave_out_of_nothing(spark):
     assert graph.leave_out(spark.createDataFrame([], "i long, j long, t long")).count() == 0
     assert graph.leave_out(spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "i long, j long, t long")).count() == 0
+
+
+def apart(links, node):
+    """Whether firms are apart without ``node``, (kind, id)."""
+    left = {(i, j) for i, j in links if ("i", i) != node and ("j", j) != node}
+    firms = {j for _, j in links} - ({node[1]} if node[0] == "j" else set())
+    if len(firms) < 2:
+        return False
+    of = parts(left)
+    reached = {j for _, j in left}
+    return reached != firms or len({of[x] for x in left}) > 1
+
+
+def movers_of(links):
+    n = Counter(i for i, _ in links)
+    return {(i, j) for i, j in links if n[i] > 1}
+
+
+@pytest.mark.parametrize("seed,kind", [(1, "i"), (2, "j")])
+def test_leave_a_node_out(spark, seed, kind):
+    """Against deleting every worker or firm one by one."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(12), t) for i in range(14) for t in range(rng.choice([1, 2, 2, 3]))]
+    rows += [(100 + k, 50 + (k + d) % 9, d) for k in range(9) for d in range(2)] + [(200, 50, 0), (200, 0, 1), (201, 55, 0), (201, 0, 1)]  # a long cycle, tied by two workers to one firm
+    rows += [(300 + k, 70 + k + d, d) for k in range(7) for d in range(2)] + [(310, 0, 0), (310, 70, 1)]  # a chain
+    links = largest(movers_of({(i, j) for i, j, _ in rows}))
+    gone = set()
+    while True:
+        cut = {x for x in {(kind, b[0] if kind == "i" else b[1]) for b in links} if apart(links, x)}
+        if not cut:
+            break
+        gone |= cut
+        links = largest(movers_of({(i, j) for i, j in links if (kind, i if kind == "i" else j) not in cut}))
+    firms = {j for _, j in links}
+    want = sorted(r for r in rows if r[1] in firms and (kind == "j" or ("i", r[0]) not in gone))
+    got = graph.leave_out(spark.createDataFrame(rows, "i long, j long, t long"), "worker" if kind == "i" else "firm")
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_cut_nodes(spark):
+    rng = random.Random(9)
+    for _ in range(1):
+        links = largest(movers_of({(rng.randrange(25), rng.randrange(22)) for _ in range(48)}))
+        df = spark.createDataFrame(sorted(links), "i long, j long")
+        for kind in "ij":
+            want = {x for x in {b[0] if kind == "i" else b[1] for b in links} if apart(links, (kind, x))}
+            assert {r[0] for r in graph.cut_nodes(df, kind).collect()} == want
+
+
+def test_deep_chain(spark):
+    """A chain of firms: every worker is a bridge; ancestors are doubled, not walked."""
+    links = spark.createDataFrame([(k, k + d) for k in range(40) for d in range(2)], "i long, j long")
+    assert graph.bridges(links).count() == 80
+    assert {r[0] for r in graph.cut_nodes(links, "j").collect()} == set(range(1, 40))

@@ -28,8 +28,8 @@ LEAST, TURNS = 24, 3
 GRAM = 8
 #: The first octave: its periods (below the last) and the words between its boundaries.
 BASE, BASE_STEP = 8, 16
-#: Pairs of a boundary and a period that are compared at once, and bytes of tiles in one batch.
-PAIRS, BATCH = 1 << 20, 8 << 20
+#: Bytes of text searched together, pairs of a boundary and a period compared at once, bytes of tiles in one batch.
+BLOCK, PAIRS, BATCH = 2 << 20, 1 << 18, 2 << 20
 _CODE = np.uint64(0x9E3779B97F4A7C15)
 
 FOUND = "kind int, doc_id long, digest binary, text string, lo long, c long, at long, words binary"
@@ -94,7 +94,7 @@ def search(docs: DataFrame, clean: bool, least: int = LEAST, turns: int = TURNS)
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK):
                 yield from one(batch.column(0)[a:b], batch.column(1)[a:b])
 
     def one(doc_id, texts):
@@ -199,7 +199,9 @@ def runs_of(tiles: DataFrame, least: int = LEAST, turns: int = TURNS) -> DataFra
     def run(batches):
         for batch in batches:
             doc, digest, out = batch.column(0), batch.column(1), []
-            for k, (lo, c, at, data) in enumerate(zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)])):
+            lo_, c_, at_ = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            for k, (lo, c, at) in enumerate(zip(lo_, c_, at_)):
+                data = batch.column(5)[k].as_buffer()
                 hi, step = (BASE, BASE_STEP) if lo < BASE else (2 * lo, 2 * lo)
                 out += [(k, q, x + at, y + at) for q, x, y in solve_tile(np.frombuffer(data, "<i4").tolist(), c - at, lo, hi, step, least, turns)]
             k, q, x, y = np.array(out, np.int64).reshape(-1, 4).T
@@ -240,9 +242,11 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, turns: int = TURNS) -> Da
 
     def finish(batches):
         for batch in batches:
-            data, own = [x.encode() for x in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            text = pa.array([collapse(x, r or []) for x, r in zip(data, own)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), text], names=["doc_id", "runs", "collapsed"])
+            for a, b in blocks(batch.column(1), BLOCK):
+                raw, offs = utf8(batch.column(1)[a:b])
+                raw, own = memoryview(raw), batch.column(2)[a:b]
+                text = [collapse(bytes(raw[x:y]), r or []) for x, y, r in zip(offs[:-1].tolist(), offs[1:].tolist(), own.to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], own, pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "runs", "collapsed"])
 
     texts = found.where("kind = 1").select(*KEY, "text").alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.digest") == F.col("r.digest")), "left")
     with_runs = texts.select("t.doc_id", "t.text", F.coalesce("r.runs", F.array().cast(RUNS)).alias("runs")).mapInArrow(lean(finish), f"doc_id long, runs {RUNS}, collapsed string")
@@ -253,14 +257,19 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, turns: int = TURNS) -> Da
 def planted(doc_id: Column, text: Column) -> Column:
     """The contract's text: for a tenth of the documents, by crc32 of the doc_id, the words from one on repeat with a period."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, w = F.floor(h / 10), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    n = F.size(w)
-    a = F.pmod(g, n).cast("int")
-    m = n - a
-    p = (F.floor(m / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int")
-    again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.floor(m / p).cast("int")))
-    edited = F.array_join(F.concat(F.slice(w, F.lit(1), a), again, F.slice(w, a + 1, F.pmod(m, p))), " ")
-    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), edited).otherwise(text)
+    g = F.floor(h / 10)
+
+    def edited(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        m = n - a
+        p = (F.floor(m / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.floor(m / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), again, F.slice(w, a + 1, F.pmod(m, p))), " ")
+
+    # The words are bound by a lambda, so that they are taken once, and only of the rows that are edited.
+    words_once = F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), edited)
+    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), F.get(words_once, F.lit(0))).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

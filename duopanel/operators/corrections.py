@@ -192,7 +192,10 @@ class Rows:
         self.size, n_firms = len(self.firms) + len(self.names), len(self.firms)
         if self.size > PLACES:
             raise ValueError(f"{self.size} firms and levels of controls: vectors over more than {PLACES} do not fit the driver")
-        groups = max(1, int(counts["n"].sum()) // GROUP)
+        # More blocks than partitions, so that these are of like size; partitions are not merged again.
+        cores, total = self.spark.sparkContext.defaultParallelism, int(counts["n"].sum())
+        groups = max(1, min(4 * cores, total // 2000), total // GROUP)
+        self.parts = min(groups, max(cores, groups // 16))
         base, at = {}, n_firms
         for c in categorical:
             base[c], at = at, at + len(levels[c])
@@ -227,7 +230,7 @@ class Rows:
 
         keep = list(dict.fromkeys(["i", "j", *categorical, *continuous, *more]))
         dealt = panel.select(*keep, F.col("y").cast("double").alias("y"), w.alias("_w"), F.pmod(F.xxhash64("i"), F.lit(groups)).alias("_g"))
-        self.table = dealt.groupBy("_g").applyInPandas(pack, "g long, kind int, data binary, kept binary").persist()
+        self.table = dealt.repartition(self.parts, "_g").groupBy("_g").applyInPandas(pack, "g long, kind int, data binary, kept binary").persist()
         self.with_controls = bool(self.names)
 
     def over(self, f, schema: str, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
@@ -239,12 +242,13 @@ class Rows:
         table = self.table if len(kinds) == 2 else self.table.where(F.col("kind") == kinds[0])
         return table.select("g", "data", "kept").mapInPandas(run, schema)
 
-    def attach(self, kept: DataFrame) -> None:
-        """Blocks hold what ``kept`` (g, kept: a pickled dictionary) has for them from now on."""
+    def attach(self, kept: DataFrame) -> float | None:
+        """Blocks hold what ``kept`` (g, kept: a pickled dictionary, m) has for them from now on; the largest m."""
         old = self.table
-        self.table = old.drop("kept").join(kept, "g", "left").select("g", "kind", "data", "kept").persist()
-        self.table.count()
+        self.table = old.drop("kept").join(kept, "g", "left").select("g", "kind", "data", "kept", "m").repartition(self.parts, "g").persist()
+        most = self.table.agg(F.max("m")).first()[0]
         old.unpersist()
+        return most
 
     def scalars(self, f, kinds: tuple[int, ...] = (0, 1)) -> np.ndarray:
         """Sum of the arrays that ``f`` gives for the blocks."""
@@ -295,17 +299,36 @@ class Rows:
         size = self.size
 
         def run(blocks):
-            key, v = np.zeros(0, np.int64), np.zeros(0)
+            held, n = [(np.zeros(0, np.int64), np.zeros(0))], 0
+
+            def merged():
+                key, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                return key, np.bincount(where, weights=np.concatenate([v for _, v in held]), minlength=len(key))
+
             for b in blocks:
                 for r, c, x in f(b):
-                    key, where = np.unique(np.r_[key, r * size + c], return_inverse=True)
-                    v = np.bincount(where, weights=np.r_[v, x], minlength=len(key))
+                    held.append((r * size + c, x))
+                    n += len(x)
+                    if n > PAIRS:
+                        held, n = [merged()], 0
+            key, v = merged()
             yield pd.DataFrame({"k": key, "v": v})
 
         got = self.over(run, "k long, v double", kinds).groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")
         k = got["k"].to_numpy(np.int64)
         return k // size, k % size, got["v"].to_numpy(float)
 
+    def matrix(self, f, kinds: tuple[int, ...] = (0, 1)) -> np.ndarray:
+        """As :meth:`cells`, dense: for few places."""
+        size = self.size
+
+        def add(b: Block, into: np.ndarray) -> None:
+            flat = into.reshape(-1)
+            for r, c, x in f(b):
+                flat += np.bincount(r * size + c, weights=x, minlength=size * size)
+
+        return self.by_place(add, size, kinds)
+
     def close(self) -> None:
         self.table.unpersist()
 
@@ -373,6 +396,10 @@ class System:
                     x, z = x[use], z[use]
                     yield s.place[x], s.place[z], -b.total[s.who[x]] * mean[x] * mean[z]
 
+            if self.size <= self.dense_size:
+                self.matrix = rows.matrix(f, kinds) + ridge * np.eye(self.size)
+                self.kinds = kinds
+                return
             r, c, v = rows.cells(f, kinds)
             use = (r >= self.from_place) & (c >= self.from_place) & ((v != 0) | (r == c))
             r, c, v = r[use], c[use], v[use]
@@ -393,16 +420,11 @@ class System:
         use = s.place >= 0
         np.add.at(into[:, 0], s.place[use], -(b.total[s.who] * mean**2)[use])
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((self.size, self.size))
-        out[self.cells[0], self.cells[1]] = self.cells[2]
-        return out
-
     def inverted(self) -> np.ndarray:
         """The inverse, with zeros in the row and column of the first firm; a pseudo-inverse where controls depend on each other."""
         if self.inverse is None:
             self.inverse = np.zeros((self.size, self.size))
-            own = self.dense()[self.from_place :, self.from_place :]
+            own = self.matrix[self.from_place :, self.from_place :]
             lower = self._lower(own)
             if lower is None:
                 found = np.linalg.pinv(own, rcond=1e-12, hermitian=True)
@@ -428,7 +450,7 @@ class System:
         b[: self.from_place] = 0
         if self.size <= self.dense_size:
             if self.inverse is None:
-                own = self.dense()[self.from_place :, self.from_place :]
+                own = self.matrix[self.from_place :, self.from_place :]
                 lower = self._lower(own)
                 if lower is not None:
                     out = np.zeros_like(b)
@@ -598,6 +620,16 @@ def trace_rows(rows: Rows, system: System, draws: int, seed: int = 1, deflated:
     return inside + rest / draws
 
 
+LEVERS = "g long, kept binary, m double"
+
+
+def known_levers(b: Block, raw: np.ndarray, forms: np.ndarray | None, counts: bool) -> pd.DataFrame:
+    """Leverages before their weight and the forms of a block's rows; ``counts``: whether its leverages must be below 1."""
+    lever = b.w * raw
+    most = float(np.where(np.isnan(lever), np.inf, lever).max()) if counts else None
+    return pd.DataFrame({"g": [b.g], "kept": [pickle.dumps({"lever": lever, "factor": np.ones(len(lever)), "forms": forms})], "m": [most]})
+
+
 def drawn_leverages(rows: Rows, system: System, draws: int, kinds: tuple[int, ...], seed: int = 1, tolerance: float = 1e-7) -> DataFrame:
     """(g, kept) of the blocks of ``kinds``: leverages by random signs and the factor that corrects their use in a ratio, for the rows of each block.
 
@@ -628,9 +660,9 @@ def drawn_leverages(rows: Rows, system: System, draws: int, kinds: tuple[int, ..
         spread_ = left**2 * pp + lever**2 * mm - 2 * lever * left * pm
         bias = left * pp - lever * mm + 2 * (left - lever) * pm
         factor = 1 - (spread_ / np.maximum(left, 1e-12) + bias) / np.maximum(left, 1e-12) / draws
-        return pd.DataFrame({"g": own["g"].iloc[:1], "kept": [pickle.dumps({"lever": lever, "factor": factor})]})
+        return pd.DataFrame({"g": own["g"].iloc[:1], "kept": [pickle.dumps({"lever": lever, "factor": factor})], "m": [float(lever.max())]})
 
-    return state.groupBy("g").applyInPandas(add, "g long, kept binary")
+    return state.groupBy("g").applyInPandas(add, LEVERS)
 
 
 class Exact:
@@ -642,20 +674,22 @@ class Exact:
         m = system.inverted()
         at_means = m @ means
         middle, traces = [], []
-        for k, form in enumerate(forms):
-            r, c, v = rows.cells(lambda b, form=form: Exact._cells(b, form))
-            matrix = np.zeros_like(m)
-            matrix[r, c] = v
-            matrix = (matrix + matrix.T) / 2
-            # Workers' own parts of the trace.
-            def own(b: Block, form=form, n=n[k]):
+
+        def own(b: Block):
+            """Workers' own parts of the traces."""
+            out = []
+            for k, form in enumerate(forms):
                 w, (left, right) = b.omega(form), form.sides()
                 al, ar = b.side(left)[2], b.side(right)[2]
-                mean = b.by_worker(w * al) * b.by_worker(w * ar) / n**2
-                return [float((w * al * ar / b.total[b.who]).sum() / n - (mean / b.total).sum())]
+                mean = b.by_worker(w * al) * b.by_worker(w * ar) / n[k] ** 2
+                out.append(float((w * al * ar / b.total[b.who]).sum() / n[k] - (mean / b.total).sum()))
+            return out
 
-            alone = rows.scalars(own)[0]
-            traces.append(float((matrix * m).sum() / n[k] - means[:, 2 * k] @ at_means[:, 2 * k + 1] + alone))
+        alone = rows.scalars(own)
+        for k, form in enumerate(forms):
+            matrix = rows.matrix(lambda b, form=form: Exact._cells(b, form))
+            matrix = (matrix + matrix.T) / 2
+            traces.append(float((matrix * m).sum() / n[k] - means[:, 2 * k] @ at_means[:, 2 * k + 1] + alone[k]))
             middle.append(m @ matrix @ m)
         self.traces = np.array(traces)
         self.shared = rows.spark.sparkContext.broadcast((m, middle, at_means))
@@ -781,15 +815,17 @@ def corrected(
 
         known = Exact(rows, system, forms, n, rows.by_place(side_means, 2 * nf))
         traces = known.traces
-        trace_all = rows.scalars(lambda b: [known.of(b)[0].sum()])[0] if rows.weighted else 0.0
-        kept = rows.over(lambda blocks: (pd.DataFrame({"g": [b.g], "kept": [pickle.dumps({"lever": b.w * known.of(b)[0], "factor": np.ones(len(b.w))})]}) for b in blocks), "g long, kept binary", kinds)
+        trace_all = rows.scalars(lambda b: [known.of(b)[0].sum()])[0] if rows.weighted and leverages else 0.0
+        kept = rows.over(lambda blocks: (known_levers(b, *known.of(b), b.g % 2 in kinds) for b in blocks), LEVERS)
     else:
         trace_all = trace_rows(rows, system, trace_draws, seed, deflated, tolerance * 100) if rows.weighted else 0.0
         kept = None if leverages else drawn_leverages(rows, system, draws, kinds, seed, tolerance * 100)
     if leverages:
-        kept = rows.over(lambda blocks: (pd.DataFrame({"g": [b.g], "kept": [pickle.dumps({"lever": b.cols[leverages], "factor": np.ones(len(b.w))})]}) for b in blocks), "g long, kept binary", kinds)
-    rows.attach(kept)
-    var_ho = ee / (inverse_weight - trace_all) if rows.weighted else ee / (count - rank)
+        given = lambda b: known_levers(b, b.cols[leverages] / b.w, known.of(b)[1] if exact else None, b.g % 2 in kinds)
+        kept = rows.over(lambda blocks: (given(b) for b in blocks), LEVERS)
+    most = rows.attach(kept)
+    if most is None or not most < 1 - 1e-9:
+        raise ValueError(f"a leverage is {most}: keep the leave-one-observation-out set and drop workers with a single observation")
 
     def centred(b: Block) -> np.ndarray:
         return b.y - ((b.by_worker(b.w * b.y) / b.total)[b.who] if centre == "worker" else mean_y)
@@ -798,10 +834,6 @@ def corrected(
         """Of rows with leverages of their own."""
         return centred(b) * b.error(held.value) / (1 - b.kept["lever"]) * b.kept["factor"]
 
-    most = rows.over(lambda blocks: (pd.DataFrame({"m": [float(b.kept["lever"].max())]}) for b in blocks if len(b.w)), "m double", kinds).agg(F.max("m")).first()[0]
-    if most is None or not most < 1 - 1e-9:
-        raise ValueError(f"a leverage is {most}: keep the leave-one-observation-out set and drop workers with a single observation")
-
     def by_firm(b: Block, into: np.ndarray) -> None:
         gathered(into, b.idx[:, :1], np.ones((len(b.w), 1)), np.stack([b.w**2 * error_variance(b), b.w], axis=1))
 
@@ -813,7 +845,7 @@ def corrected(
             return error_variance(b)
         if stayers == "firm_mean":
             return firm_mean.value[b.idx[:, 0]] / b.w
-        if rows_weighted or "lever" not in b.kept:
+        if rows_weighted or not b.kept:
             total = b.total[b.who]
             if (total <= 1).any():
                 raise ValueError("a stayer has a single observation: drop these first")
@@ -821,10 +853,15 @@ def corrected(
         return error_variance(b)
 
     rows_weighted = rows.weighted
-    var_he = rows.scalars(lambda b: [(b.w**2 * sigma(b)).sum()])[0] / weight
-    if exact:
-        he = rows.scalars(lambda b: ((b.w**2 * sigma(b))[:, None] * known.of(b)[1]).sum(axis=0))
-    else:
+
+    def errors(b: Block):
+        s = b.w**2 * sigma(b)
+        return np.r_[s.sum(), (b.kept["lever"] / b.w).sum() if exact else 0.0, (s[:, None] * b.kept["forms"]).sum(axis=0) if exact else np.zeros(0)]
+
+    var_he, trace_exact, *he = rows.scalars(errors)
+    var_he /= weight
+    var_ho = ee / (inverse_weight - (trace_exact if exact and not leverages else trace_all)) if rows.weighted else ee / (count - rank)
+    if not exact:
         traces, he = drawn_forms(rows, system, forms, n, sigma, trace_draws, seed, tolerance * 100)
     out = {"var_y": moments[0] / weight, **{f.name: plug_in[k] for k, f in enumerate(forms)}, "var_eps": wwee / weight, "r2": 1 - wee / sum_yy, "var_eps_ho": var_ho, "var_eps_he": var_he, "max_leverage": most}
     out |= {f"{f.name}_ho": plug_in[k] - var_ho * traces[k] for k, f in enumerate(forms)} | {f"{f.name}_he": plug_in[k] - he[k] for k, f in enumerate(forms)}

@@ -30,16 +30,6 @@ def match_table(panel: DataFrame) -> DataFrame:
     return panel.groupBy("i", "j").agg(F.sum(w).cast("double").alias("w"), F.sum(F.col("y") * w).alias("wy"))
 
 
-def firm_system(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K as (j, k, v) with j <= k, and per firm (j, w, b): weights and the sum of w (y - mean of the worker)."""
-    worker = matches.groupBy("i").agg(F.sum("w").alias("w_i"), F.sum("wy").alias("wy_i"))
-    own = matches.join(worker, "i")
-    other = own.select("i", F.col("j").alias("k"), F.col("w").alias("w_k"))
-    k = own.join(other, "i").where("j <= k").groupBy("j", "k").agg(F.sum(F.col("w") * F.col("w_k") / F.col("w_i")).alias("v"))
-    b = own.groupBy("j").agg(F.sum("w").alias("w"), F.sum(F.col("wy") - F.col("w") * F.col("wy_i") / F.col("w_i")).alias("b"))
-    return k, b
-
-
 @dataclass
 class Solved:
     """Firm ids, effects (first firm 0), weights, and for the dense case K and, on demand, the inverse M (row and column of the first firm 0)."""
@@ -59,35 +49,14 @@ class Solved:
         return out
 
 
-def solve(matches: DataFrame, dense: int = DENSE) -> Solved:
-    """Firm effects of a connected panel, the least firm id normalised to 0."""
-    held = matches.storageLevel.useMemory
-    matches = matches if held else matches.persist()
-    if matches.select("j").distinct().count() > dense:
-        out = solve_iterative(matches)
-        return out if held else (matches.unpersist(), out)[1]
-    k, b = firm_system(matches)
-    firms = b.toPandas().sort_values("j")
-    ids = firms["j"].to_numpy()
-    cells = k.toPandas()
-    if not held:
-        matches.unpersist()
-    r, c = np.searchsorted(ids, cells["j"]), np.searchsorted(ids, cells["k"])
-    dense_k = np.zeros((len(ids), len(ids)))
-    dense_k[r, c] = dense_k[c, r] = cells["v"]
-    w = firms["w"].to_numpy(float)
-    psi = np.zeros(len(ids))
-    psi[1:] = np.linalg.solve((np.diag(w) - dense_k)[1:, 1:], firms["b"].to_numpy(float)[1:])
-    return Solved(ids, psi, w, dense_k)
-
-
-def solve_iterative(matches: DataFrame, tolerance: float = 1e-10) -> Solved:
-    """The same system by conjugate gradients over packed blocks of matches."""
+def solve(matches: DataFrame, dense: int = DENSE, tolerance: float = 1e-10) -> Solved:
+    """Firm effects of a connected panel, the least firm id normalised to 0: beyond ``dense`` firms by conjugate gradients."""
     rows = corrections.Rows(matches.select("i", "j", "w", (F.col("wy") / F.col("w")).alias("y")))
-    psi = corrections.estimate(rows, corrections.System(rows, dense=0), tolerance)
+    system = corrections.System(rows, dense=dense)
+    psi = corrections.estimate(rows, system, tolerance)
     weights = rows.by_place(lambda b, into: corrections.gathered(into, b.idx, b.val, b.w[:, None]), 1)[:, 0]
     rows.close()
-    return Solved(rows.firms, psi, weights)
+    return Solved(rows.firms, psi, weights, np.diag(weights) - system.matrix if rows.size <= dense else None)
 
 
 def zigzag(panel: DataFrame, tolerance: float = 1e-9, most: int = 500) -> DataFrame:

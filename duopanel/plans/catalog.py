@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
+from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, experiments, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -485,6 +485,12 @@ def _(s, d):
     return rounded(resampling.attrition(one(s, d), [0.5, 1.0]), 5)
 
 
+@query("attrition_increasing")
+def _(s, d):
+    own = experiments.attrition(one(s, d), experiments.Increasing((0.3, 0.6)), sets=("leave_observation_out",), min_movers=2, classes=4)
+    return rounded(own.select("set", "fraction", "rows", "firms", "fe_var_psi", "fe_var_psi_ho", "fe_var_psi_he", "fe_cov_psi_alpha_he", "cre_tot_var", "cre_tot_cov"), 5)
+
+
 @query(
     "class_transitions",
     f"WITH {P1}, {ONE}, {CLASSES}, x AS (SELECT g AS g1, lead(g) OVER w AS g2, lead(g, 2) OVER w AS g3, lead(g, 3) OVER w AS g4, y AS y1, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3, lead(y, 3) OVER w AS y4 FROM dg WINDOW w AS (PARTITION BY i ORDER BY t))"

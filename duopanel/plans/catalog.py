@@ -775,14 +775,23 @@ def _(s, d):
     return panel.min_joint_obs(one(s, d), 2, 3).select("i", "j", "t")
 
 
-@query("min_movers", f"WITH {P4}, {ONE} SELECT i, j, t FROM d")
+def _rounds(keep: str, n: int = 6) -> str:
+    """``n`` rounds of dropping the firms that are not among ``keep`` (of the rows of table {p})."""
+    return ", ".join(f"r{k + 1} AS (SELECT * FROM r{k} WHERE j IN ({keep.replace('{p}', f'r{k}')}))" for k in range(n))
+
+
+_MOVERS = "SELECT j FROM {p} WHERE i IN (SELECT i FROM {p} GROUP BY i HAVING min(j) <> max(j)) GROUP BY j HAVING count(DISTINCT i) >= 400"
+_MOVES = "SELECT j FROM (SELECT unnest([j, nx]) AS j FROM (SELECT j, lead(j) OVER (PARTITION BY i ORDER BY t) AS nx FROM {p}) WHERE j <> nx) GROUP BY j HAVING count(*) >= 554"
+
+
+@query("min_movers", f"WITH {P1}, {ONE}, r0 AS (SELECT * FROM d), {_rounds(_MOVERS)} SELECT i, j, t FROM r6")
 def _(s, d):
-    return panel.min_movers(one(s, d, p4), 2).select("i", "j", "t")
+    return panel.min_movers(one(s, d), 400).select("i", "j", "t")
 
 
-@query("min_moves", f"WITH {P4}, {ONE} SELECT i, j, t FROM d")
+@query("min_moves", f"WITH {P1}, {ONE}, r0 AS (SELECT * FROM d), {_rounds(_MOVES)} SELECT i, j, t FROM r6")
 def _(s, d):
-    return panel.min_moves(one(s, d, p4), 2).select("i", "j", "t")
+    return panel.min_moves(one(s, d), 554).select("i", "j", "t")
 
 
 def queries() -> dict:

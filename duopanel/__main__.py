@@ -1,7 +1,7 @@
 """Command line: ``python -m duopanel --config run.json``.
 
 The configuration names the panel (``path``, ``kind``, ``names``), the cleaning (``returns``, ``collapse``: spell or match, ``collapse_at_set``: before the set is looked for (the default) or after,
-``set``: connected, or leave_<unit>_out for match, spell, observation, worker or firm), what to estimate (``fe`` with ``draws``, ``categorical`` and ``continuous`` controls, ``stayers``; ``cre`` with the number of
+``set``: connected, strongly_connected, or leave_<unit>_out for match, spell, observation, worker or firm), what to estimate (``fe`` with ``draws``, ``categorical`` and ``continuous`` controls, ``stayers``; ``cre`` with the number of
 ``classes`` and ``posterior``; ``bs``) and the folder of the results (``out``).
 """
 

@@ -17,6 +17,7 @@ from . import corrections, cre, graph, moments, panel, simulate
 CONNECTED = {
     None: lambda p: p,
     "connected": graph.largest_connected,
+    "strongly_connected": graph.largest_strongly_connected,
     **{f"leave_{unit}_out": (lambda p, unit=unit: graph.leave_out(p, unit)) for unit in ("match", "spell", "observation", "worker", "firm")},
 }
 

@@ -57,6 +57,55 @@ def strongly_connected(events: DataFrame) -> DataFrame:
     return reachable(links, start).join(reachable(back, start), "j", "left_semi")
 
 
+def strong_components(links: DataFrame) -> DataFrame:
+    """(j, component) of the directed ``links`` (j1, j2): firms that reach each other share the greatest id among them.
+
+    Firms without a link in or out are components of their own and go first. Then the greatest id that reaches a firm becomes its colour (with jumps to the colour of
+    the colour), and from each firm that has its own colour a search against the links within that colour finds its component, which goes; and so on until no firm is left.
+    """
+    links = links.where("j1 <> j2").select("j1", "j2").distinct().checkpoint()
+    nodes = links.select(F.explode(F.array("j1", "j2")).alias("j")).distinct().checkpoint()
+    found = nodes.withColumn("component", F.col("j")).limit(0)
+    while not nodes.isEmpty():  # every round takes firms away
+        inner = links.select(F.col("j1").alias("j")).intersect(links.select(F.col("j2").alias("j"))).checkpoint()
+        alone = nodes.join(inner, "j", "left_anti").withColumn("component", F.col("j")).checkpoint()
+        if not alone.isEmpty():
+            found = found.unionByName(alone)
+            nodes = inner
+            links = links.join(inner.withColumnRenamed("j", "j1"), "j1", "left_semi").join(inner.withColumnRenamed("j", "j2"), "j2", "left_semi").select("j1", "j2").checkpoint()
+            continue
+        colour = nodes.withColumn("c", F.col("j")).checkpoint()
+        while True:  # colours only rise
+            sent = links.join(colour.withColumnRenamed("j", "j1"), "j1").select(F.col("j2").alias("j"), "c")
+            raised = colour.unionByName(sent).groupBy("j").agg(F.max("c").alias("c"))
+            jump = raised.select(F.col("j").alias("c"), F.col("c").alias("higher"))
+            following = raised.join(jump, "c").select("j", F.col("higher").alias("c")).checkpoint()
+            changed = following.join(colour.withColumnRenamed("c", "was"), "j").where("c <> was").limit(1).count()
+            colour = following
+            if not changed:
+                break
+        ends = links.join(colour.select(F.col("j").alias("j1"), F.col("c").alias("c1")), "j1").join(colour.select(F.col("j").alias("j2"), F.col("c").alias("c2")), "j2")
+        within = ends.where("c1 = c2").select(F.col("j2").alias("j1"), F.col("j1").alias("j2")).checkpoint()  # against the links
+        reached = reachable(within, colour.where("j = c"))
+        members = colour.join(reached, "j", "left_semi").select("j", F.col("c").alias("component")).checkpoint()
+        found = found.unionByName(members)
+        nodes = nodes.join(members, "j", "left_anti").checkpoint()
+        for end in ("j1", "j2"):
+            links = links.join(members.select(F.col("j").alias(end)), end, "left_anti")
+        links = links.select("j1", "j2").checkpoint()
+    return found
+
+
+def largest_strongly_connected(panel: DataFrame) -> DataFrame:
+    """The observations of the strongly connected set of firms, by workers' moves, with most of them (ties: greatest firm id)."""
+    from .panel import event_study
+
+    links = event_study(panel.select("i", "j", "t", "y")).where("j1 <> j2").select("j1", "j2")
+    labelled = panel.join(strong_components(links), "j")
+    best = labelled.groupBy("component").count().orderBy(F.desc("count"), F.desc("component")).limit(1).select("component")
+    return labelled.join(F.broadcast(best), "component", "left_semi").select(panel.columns)
+
+
 def shared_movers(panel: DataFrame) -> DataFrame:
     """(j, k, n): pairs of firms j < k and the number of workers that both have had. A worker gives as many rows as it has pairs of firms."""
     own = panel.select("i", "j").distinct()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import fe
+from . import corrections, fe
 
 #: Firms or classes for which slopes are solved on the driver: matrices of twice as many rows.
 FIRMS = 500
@@ -73,6 +73,80 @@ def slopes(events: DataFrame, method: str = "liml", normalised: int = 0) -> pd.D
     return pd.DataFrame({"j": ids, "a": np.r_[0.0, beta[k:]] / beta[:k], "b": 1 / beta[:k]})
 
 
+def split_pairs(panel: DataFrame, split: str = "income") -> DataFrame:
+    """(j1, j2, n, w1, w2, d1, d2) for pairs of firms j1 < j2 that share two workers or more: mean wages of one part of these workers less those of the other, at either firm.
+
+    The parts are the workers up to the median of their mean wages and those above ("income"), or those who came from j2 to j1 and those who went the other way ("enter_exit"). Medians are
+    merged from partial summaries (exact up to 10,000 shared workers), so that a pair with very many workers is not one task. ``panel``: i, j, t, y, w if there are weights, one row a match.
+    """
+    w = F.col("w").cast("double") if "w" in panel.columns else F.lit(1.0)
+    own = panel.select("i", "j", "t", "y", w.alias("w"))
+    if split == "income":
+        own = own.join(own.groupBy("i").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("level")), "i")
+    elif split == "enter_exit":
+        own = own.withColumn("level", F.lit(None).cast("double"))
+    else:
+        raise ValueError(f"unknown split {split}")
+    left, right = (own.select("i", "level" if k == 1 else F.lit(0).alias("_"), *[F.col(c).alias(f"{c}{k}") for c in ("j", "t", "y", "w")]) for k in (1, 2))
+    pairs = left.join(right.drop("_"), "i").where("j1 < j2")
+    if split == "income":
+        middle = pairs.groupBy("j1", "j2").agg(F.percentile_approx("level", 0.5, 10000).alias("middle"))
+        pairs = pairs.join(middle, ["j1", "j2"]).withColumn("first", F.col("level") <= F.col("middle"))
+    else:
+        pairs = pairs.withColumn("first", F.col("t1") > F.col("t2"))
+    some = lambda c, k: F.sum(F.when(F.col("first") == F.lit(k), c))
+    mean = lambda e, k: some(F.col(f"w{e}") * F.col(f"y{e}"), k) / some(F.col(f"w{e}"), k)
+    found = pairs.groupBy("j1", "j2").agg(F.count(F.lit(1)).alias("n"), F.sum("w1").alias("w1"), F.sum("w2").alias("w2"), *[(mean(e, True) - mean(e, False)).alias(f"d{e}") for e in (1, 2)])
+    return found.where("n >= 2 and d1 is not null and d2 is not null")
+
+
+def fixed_point_slopes(panel: DataFrame, split: str = "income", weight_pairs: bool = True, alternative: bool = False) -> pd.DataFrame:
+    """(j, b): slopes from how far two parts of the workers that firms share lie apart at each of them, the first firm's slope 1.
+
+    At firms j and k these distances are b_j and b_k times the same distance of worker effects, so that the slopes are the vector that the
+    distances, divided by what their columns sum to, leave as it is. ``alternative`` turns the sign of one triangle. ``weight_pairs``: pairs weigh the
+    workers they share. Firms that share no two workers with others are left out. One row a match is needed: drop returns first. Up to corrections.DENSE
+    firms by a singular vector, beyond by conjugate gradients over at most corrections.SPARSE pairs, which are checked.
+    """
+    if panel.groupBy("i", "j").count().where("count > 1").limit(1).count():
+        raise ValueError("a worker has several rows at one firm: collapse to matches and drop returns first")
+    got = split_pairs(panel, split).limit(corrections.SPARSE + 1).toPandas().sort_values(["j1", "j2"])
+    if len(got) > corrections.SPARSE:
+        raise ValueError(f"more than {corrections.SPARSE} pairs of firms share workers: group firms into classes first")
+    if not len(got):
+        raise ValueError("no two firms share two workers whose parts differ")
+    ids = np.unique(np.r_[got["j1"], got["j2"]])
+    a, b = np.searchsorted(ids, got["j1"]), np.searchsorted(ids, got["j2"])
+    w1, w2 = (got["w1"].to_numpy(float), got["w2"].to_numpy(float)) if weight_pairs else (1.0, 1.0)
+    sign = -1.0 if alternative else 1.0
+    r, c, v = np.r_[a, b], np.r_[b, a], np.r_[w1 * got["d1"].to_numpy(), -sign * w2 * got["d2"].to_numpy()]
+    out = -sign * np.bincount(c, weights=v, minlength=len(ids))
+    # (diag(out) - M) b = 0
+    r, c, v = np.r_[r, np.arange(len(ids))], np.r_[c, np.arange(len(ids))], np.r_[-v, out]
+    size = np.sqrt(np.bincount(r, weights=v**2, minlength=len(ids)))
+    v = v / np.maximum(size[r], 1e-300)
+    if len(ids) <= corrections.DENSE:
+        whole = np.zeros((len(ids), len(ids)))
+        np.add.at(whole, (r, c), v)
+        found = np.linalg.svd(whole)[2][-1]
+        return pd.DataFrame({"j": ids, "b": found / found[0]})
+    # The first slope is 1: least squares for the others.
+    times = lambda x: np.bincount(r, weights=v * x[c], minlength=len(ids))
+    back = lambda x: np.bincount(c, weights=v * x[r], minlength=len(ids))
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        y = back(times(np.r_[0.0, x[1:, 0]]))
+        y[0] = 0
+        return y[:, None]
+
+    right = -back(times(np.r_[1.0, np.zeros(len(ids) - 1)]))
+    right[0] = 0
+    diagonal = np.maximum(np.bincount(c, weights=v**2, minlength=len(ids)), 1e-300)[:, None]
+    found = corrections.conjugate_gradients(normal, diagonal, right[:, None], 1e-8, 20_000)[:, 0]
+    found[0] = 1.0
+    return pd.DataFrame({"j": ids, "b": found})
+
+
 def fit(panel: DataFrame, found: pd.DataFrame) -> DataFrame:
     """``panel`` (i, j, y) with a_hat, b_hat, alpha_hat and residual e, slopes given (``j``, ``b``); the last firm's intercept is 0.
 
@@ -80,7 +154,7 @@ def fit(panel: DataFrame, found: pd.DataFrame) -> DataFrame:
     """
     given = panel.sparkSession.createDataFrame(found.loc[found["b"] != 0, ["j", "b"]].rename(columns={"b": "b_hat"}))
     w = F.col("w") if "w" in panel.columns else F.lit(1.0)
-    own = panel.join(F.broadcast(given), "j")
+    own = panel.join(F.broadcast(given) if len(found) <= 100_000 else given, "j")
     scaled = own.select("i", "j", (F.col("y") / F.col("b_hat")).alias("y"), (w * F.col("b_hat") ** 2).alias("w"))
     solved = fe.solve(fe.match_table(scaled))
     solved.psi = solved.psi - solved.psi[-1]
@@ -94,6 +168,7 @@ def fit(panel: DataFrame, found: pd.DataFrame) -> DataFrame:
 def mean_alpha(events: DataFrame, found: pd.DataFrame) -> DataFrame:
     """(j1, j2, n, alpha): mean worker effect of each pair of firms, stayers' being (j, j), from wages (j1, j2, y1, y2) net of ``found``."""
     table = events.sparkSession.createDataFrame(found[["j", "a", "b"]])
-    first, second = (F.broadcast(table.select(F.col("j").alias(f"j{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))) for k in (1, 2))
+    small = F.broadcast if len(found) <= 100_000 else (lambda x: x)
+    first, second = (small(table.select(F.col("j").alias(f"j{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))) for k in (1, 2))
     own = events.join(first, "j1").join(second, "j2")
     return own.groupBy("j1", "j2").agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("y1") - F.col("a1")) / F.col("b1") + (F.col("y2") - F.col("a2")) / F.col("b2")) / 2).alias("alpha"))

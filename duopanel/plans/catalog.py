@@ -732,6 +732,32 @@ def _(s, d):
     return rounded(s.createDataFrame([(m, int(j), float(a), float(b)) for x in out for j, a, b, m in x.itertuples(index=False)], "method string, class int, a double, b double"), 4)
 
 
+def _by_class(s: SparkSession, d: str) -> DataFrame:
+    """P1 with firm classes as firms: a row for each worker and class."""
+    return classes(s, d).groupBy("i", F.col("g").alias("j")).agg(F.min("t").alias("t"), F.avg("y").alias("y"))
+
+
+@query(
+    "interacted_pair_splits",
+    f"WITH {P1}, {ONE}, {CLASSES}, mt AS (SELECT i, g AS j, min(t) AS t, avg(y) AS y FROM dg GROUP BY i, g),"
+    " sp2 AS (SELECT a.j AS j1, b.j AS j2, a.y AS y1, b.y AS y2, a.t > b.t AS first FROM mt a JOIN mt b ON a.i = b.i AND a.j < b.j)"
+    f" SELECT j1, j2, count(*) AS n, {rnd('avg(y1) FILTER (first) - avg(y1) FILTER (NOT first)')} AS d1, {rnd('avg(y2) FILTER (first) - avg(y2) FILTER (NOT first)')} AS d2 FROM sp2 GROUP BY j1, j2",
+)
+def _(s, d):
+    return rounded(interacted.split_pairs(_by_class(s, d), "enter_exit").select("j1", "j2", "n", "d1", "d2"))
+
+
+@query("interacted_fixed_point")
+def _(s, d):
+    found = interacted.fixed_point_slopes(_by_class(s, d))
+    return rounded(s.createDataFrame([(int(j), float(b)) for j, b in found.itertuples(index=False)], "class int, b double"), 4)
+
+
+@query("strongly_connected_observations")
+def _(s, d):
+    return moments.panel_counts(graph.largest_strongly_connected(one(s, d)))
+
+
 @query("interacted_alpha", f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS} SELECT g1 AS j1, g2 AS j2, count(*) AS n, {rnd('avg((y1 + y2) / 2)')} AS alpha FROM es GROUP BY g1, g2")
 def _(s, d):
     import pandas as pd

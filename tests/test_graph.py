@@ -120,3 +120,27 @@ def test_deep_chain(spark):
     links = spark.createDataFrame([(k, k + d) for k in range(40) for d in range(2)], "i long, j long")
     assert graph.bridges(links).count() == 80
     assert {r[0] for r in graph.cut_nodes(links, "j").collect()} == set(range(1, 40))
+
+
+def test_strong_components(spark):
+    rng = random.Random(3)
+    links = {(rng.randrange(20), rng.randrange(20)) for _ in range(34)} | {(30, 31), (31, 32), (32, 30), (32, 33), (40, 41)}
+    nodes = {x for b in links if b[0] != b[1] for x in b}
+
+    def reach(start):
+        seen, todo = set(), [start]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b for a, b in links if a == x]
+        return seen
+
+    of = {x: reach(x) for x in nodes}
+    want = {x: max(y for y in of[x] if x in of[y]) for x in nodes}
+    got = {r.j: r.component for r in graph.strong_components(spark.createDataFrame(sorted(links), "j1 long, j2 long")).collect()}
+    assert got == want
+    rows = [(1, 1, 0), (1, 2, 1), (2, 2, 0), (2, 1, 1), (3, 2, 0), (3, 3, 1), (4, 3, 0), (5, 3, 0)]
+    x = spark.createDataFrame([(*r, 0.0) for r in rows], "i long, j long, t long, y double")
+    assert sorted(r[1] for r in graph.largest_strongly_connected(x).collect()) == [1, 1, 2, 2, 2]
+    assert graph.strong_components(spark.createDataFrame([], "j1 long, j2 long")).count() == 0

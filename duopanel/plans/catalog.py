@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, experiments, fe, graph, interacted, moments, panel, resampling, simulate, sorkin
+from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, experiments, fe, graph, interacted, moments, panel, resampling, rho, simulate, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -725,6 +725,32 @@ def _(s, d):
     return rounded(s.createDataFrame([(g, l, float(still.pk[g, l]), float(still.a2[l, g]), float(still.a3[l, g])) for g in range(4) for l in range(2)], "class int, type int, share double, a2 double, a3 double"), 4)
 
 
+_COV = [(a, b) for a in range(1, 5) for b in range(a, 5)]
+
+
+@query(
+    "stayer_moments",
+    f"WITH {P1}, {ONE}, {CLASSES}, kk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY t) AS k FROM dg), ww AS (SELECT i, {', '.join(f'max({c}) FILTER (k = {k}) AS {c}{k}' for k in range(1, 5) for c in 'yg')} FROM kk WHERE k <= 4 GROUP BY i HAVING count(*) = 4)"
+    f" SELECT g2 AS g1, count(*) AS n, {', '.join(f'{rnd(f"covar_pop(y{a}, y{b})")} AS c{a}{b}' for a, b in _COV)} FROM ww WHERE g1 = g2 AND g2 = g3 AND g3 = g4 GROUP BY g2",
+)
+def _(s, d):
+    found, n, cov = rho.class_moments(_still(s, d))
+    return rounded(s.createDataFrame([(int(g), int(k), *(float(c[a - 1, b - 1]) for a, b in _COV)) for g, k, c in zip(found, n, cov)], "g1 long, n long, " + ", ".join(f"c{a}{b} double" for a, b in _COV)))
+
+
+def _still(s: SparkSession, d: str) -> DataFrame:
+    """Workers' first four periods, of those who keep their class."""
+    x = classes(s, d).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("t"))).where("k <= 4")
+    wide = x.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, 5) for c in ("y", "g")])
+    return wide.where("n = 4 and g1 = g2 and g2 = g3 and g3 = g4").select("g1", *dynamic.Y)
+
+
+@query("dynamic_rho_start")
+def _(s, d):
+    found = rho.rho_start(_still(s, d))
+    return rounded(s.createDataFrame([(k, v) for k, v in found.rho.items()], "slope string, value double"), 2)
+
+
 @query("interacted_slopes")
 def _(s, d):
     e = _movers(s, d).select(F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2")

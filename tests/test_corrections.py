@@ -110,8 +110,9 @@ def test_against_dense(spark, panel, weighted, controls, stayers):
 
 
 @pytest.mark.parametrize("sparse", [None, 0])
-def test_random_signs(spark, panel, sparse):
+def test_random_signs(spark, panel, sparse, monkeypatch):
     """Systems shared and dealt by column, and products over the blocks: the same estimates as the exact ones, up to what signs leave."""
+    monkeypatch.setattr(C, "COLUMNS", 1000)  # in one slice: slices have a test of their own
     df, forms = spark.createDataFrame(panel), forms_of(True)
     exact = C.corrected(df, forms, ["c"], ["x"]).first().asDict()
     got = C.corrected(df, forms, ["c"], ["x"], draws=300, trace_draws=150, dense=0, sparse=sparse).first().asDict()

@@ -123,17 +123,20 @@ def neighbours(panel: DataFrame, firm) -> DataFrame:
 def spanning_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, parent, depth): breadth-first trees of the undirected ``edges`` (a, b) from ``roots`` (node); as many rounds as the graph is deep."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).persist()
-    reached = roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).checkpoint()
-    depth, front = 0, reached
+    front = roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).checkpoint()
+    depth, reached, last = 0, front, front.select("node").limit(0)
     while True:  # nodes are only added
         depth += 1
         near = both.join(front.select(F.col("node").alias("x")), "x").groupBy("y").agg(F.min("x").alias("parent"))
-        front = near.withColumnRenamed("y", "node").join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        seen = last.unionByName(front.select("node"))  # neighbours of a level lie in it, in the one before or in the next
+        last, front = front.select("node"), near.withColumnRenamed("y", "node").join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
-        reached = reached.unionByName(front).checkpoint()
+        reached = reached.unionByName(front)
+        if depth % 16 == 0:
+            reached = reached.checkpoint()
     both.unpersist()
-    return reached
+    return reached.checkpoint()
 
 
 class Tree:

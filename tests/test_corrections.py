@@ -113,11 +113,12 @@ def test_against_dense(spark, panel, weighted, controls, stayers):
 def test_random_signs(spark, panel, sparse, monkeypatch):
     """Systems shared and dealt by column, and products over the blocks: the same estimates as the exact ones, up to what signs leave."""
     monkeypatch.setattr(C, "COLUMNS", 1000)  # in one slice: slices have a test of their own
-    df, forms = spark.createDataFrame(panel), forms_of(True)
+    df, forms = spark.createDataFrame(panel), forms_of(True) if sparse is None else C.STANDARD
     exact = C.corrected(df, forms, ["c"], ["x"]).first().asDict()
-    got = C.corrected(df, forms, ["c"], ["x"], draws=300, trace_draws=150, dense=0, sparse=sparse).first().asDict()
+    # Products over the blocks are a job each: a looser tolerance keeps them few.
+    got = C.corrected(df, forms, ["c"], ["x"], draws=300, trace_draws=150, dense=0, sparse=sparse, tolerance=1e-9 if sparse is None else 1e-6).first().asDict()
     for f in forms:
-        assert np.isclose(got[f.name], exact[f.name], rtol=1e-5, atol=1e-8)
+        assert np.isclose(got[f.name], exact[f.name], rtol=1e-5 if sparse is None else 1e-3, atol=1e-8)
         for way in ("ho", "he"):
             assert abs(got[f"{f.name}_{way}"] - exact[f"{f.name}_{way}"]) < 0.35 * abs(exact[f.name] - exact[f"{f.name}_{way}"]) + 0.02, (f.name, way)
     assert abs(got["var_eps_ho"] - exact["var_eps_ho"]) < 0.1 * exact["var_eps_ho"] and abs(got["var_eps_he"] - exact["var_eps_he"]) < 0.1 * exact["var_eps_he"]
@@ -150,16 +151,16 @@ def test_deflated_trace(spark, panel):
     system = C.System(rows)
     system.inverted()
     exact = Dense(panel).g.sum()
-    plain = np.array([C.trace_rows(rows, system, 30, seed) for seed in range(6)])
-    deflated = np.array([C.trace_rows(rows, system, 10, seed, deflated=True) for seed in range(6)])  # three times as many systems
+    plain = np.array([C.trace_rows(rows, system, 30, seed) for seed in range(3)])
+    deflated = np.array([C.trace_rows(rows, system, 10, seed, deflated=True) for seed in range(3)])  # three times as many systems
     rows.close()
     assert abs(plain.mean() - exact) < 0.1 * exact and abs(deflated.mean() - exact) < 0.1 * exact
     full = C.Rows(spark.createDataFrame(panel[panel["i"] < 12]))
     small = C.System(full)
     small.inverted()
     known = Dense(panel[panel["i"] < 12], controls=False).g.sum()
-    plain = np.array([C.trace_rows(full, small, 60, seed) for seed in range(5)]) - known
-    deflated = np.array([C.trace_rows(full, small, 20, seed, deflated=True) for seed in range(5)]) - known
+    plain = np.array([C.trace_rows(full, small, 60, seed) for seed in range(4)]) - known
+    deflated = np.array([C.trace_rows(full, small, 20, seed, deflated=True) for seed in range(4)]) - known
     full.close()
     assert (deflated**2).mean() < 0.2 * (plain**2).mean()
 

@@ -218,7 +218,7 @@ def cell_counts(events: DataFrame, n_classes: int) -> np.ndarray:
 def connectedness(model: Mixture, counts: np.ndarray, every: bool = False):
     """Second smallest eigenvalue of the normalised Laplacian of each type's moves between classes; the least over types."""
     out = []
-    for k in range(model.a1.shape[0]):
+    for k in range(model.pk.shape[2]):
         a = counts * model.pk[:, :, k]
         a = (a + a.T) / 2
         root = np.sqrt(np.maximum(a.sum(axis=1), 1e-300))

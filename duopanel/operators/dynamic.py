@@ -13,6 +13,7 @@ Rows with a null wage or class take no part.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -21,9 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blm import CELLS, log_density
+from .constraints import Constraint, Infeasible, Programme, quadratic
 
 Y = ["y1", "y2", "y3", "y4"]
 _PAIRS = [(a, b) for a in range(5) for b in range(a, 5)]
+#: The contrasts: a period, and the period whose multiple is taken away.
+_BY = [("y1", "y2"), ("y2", None), ("y3", "y2"), ("y4", "y3")]
+NAMES = ("12", "2ma", "3ma", "43")
+RHOS = ("R12", "R32m", "R43")
 
 
 @dataclass
@@ -52,35 +58,39 @@ def start(n_types: int, n_classes: int, mean: float = 0.0, spread: float = 1.0,
     return Dynamic(a, {p: np.full_like(level, spread) for p in names}, dict.fromkeys(("R12", "R32m", "R43"), rho), np.full((n_classes, n_classes, n_types), 1 / n_types))
 
 
-def weighted_moments(rows: DataFrame, keys: list[str], slopes: list[list[float]], cells: pd.DataFrame, n_types: int) -> tuple[np.ndarray, float]:
-    """Sums of q z z' of each row of ``cells`` and type, (cells, types, 5, 5), and the log-likelihood.
+def weighted_moments(rows: DataFrame, keys: list[str], cells: pd.DataFrame, n_types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of q z z' of each row of ``cells`` and type, (cells, types, 5, 5), and the log-likelihood of each row of ``cells``.
 
-    ``cells`` holds keys, shares p, and means k and deviations s of the four contrasts for each type; it is broadcast, its size checked.
+    ``cells`` holds keys, slopes, shares p, and means k and deviations s of the four contrasts for each type; it is broadcast, its size checked.
+    Rows meet every row of ``cells`` with their keys (several where there are several models). A column w weighs rows.
     """
     if len(cells) * n_types > CELLS:
         raise ValueError(f"more than {CELLS} parameters")
-    own = rows.select(*keys, *Y).join(F.broadcast(rows.sparkSession.createDataFrame(cells.assign(cell=np.arange(len(cells))))), keys)
-    for e, slope in enumerate(slopes):
-        own = own.withColumn(f"c{e}", sum((float(b) * F.col(y) for b, y in zip(slope, Y) if b), F.lit(0.0)))
+    weighted = "w" in rows.columns
+    own = rows.select(*keys, *Y, *(["w"] if weighted else [])).join(F.broadcast(rows.sparkSession.createDataFrame(cells.assign(cell=np.arange(len(cells))))), keys)
+    for e, (y, by) in enumerate(_BY):
+        own = own.withColumn(f"c{e}", F.col(y) - F.col(f"b{e}") * F.col(by) if by else F.col(y))
     own = own.where(" and ".join(f"{y} is not null" for y in Y))
+    w = F.col("w").cast("double") if weighted else F.lit(1.0)
     logs = [F.log(f"p{l}") + sum(log_density(F.col(f"c{e}"), F.col(f"k{e}_{l}"), F.col(f"s{e}_{l}")) for e in range(4)) for l in range(n_types)]
-    own = own.select("cell", *Y, *[x.alias(f"l{l}") for l, x in enumerate(logs)])
+    own = own.select("cell", w.alias("w"), *Y, *[x.alias(f"l{l}") for l, x in enumerate(logs)]).where("w > 0")
     own = own.withColumn("m", F.greatest(*[f"l{l}" for l in range(n_types)]) if n_types > 1 else F.col("l0"))
     own = own.withColumn("loglik", F.col("m") + F.log(sum((F.exp(F.col(f"l{l}") - F.col("m")) for l in range(n_types)), F.lit(0.0))))
-    own = own.select("cell", "loglik", *Y, *[F.exp(F.col(f"l{l}") - F.col("loglik")).alias(f"q{l}") for l in range(n_types)])
+    own = own.select("cell", (F.col("w") * F.col("loglik")).alias("loglik"), *Y, *[(F.col("w") * F.exp(F.col(f"l{l}") - F.col("loglik"))).alias(f"q{l}") for l in range(n_types)])
     z = [F.lit(1.0), *map(F.col, Y)]
     sums = [F.sum(F.col(f"q{l}") * z[a] * z[b]).alias(f"m{l}_{a}{b}") for l in range(n_types) for a, b in _PAIRS]
     got = own.groupBy("cell").agg(F.sum("loglik").alias("loglik"), *sums).toPandas()
-    out = np.zeros((len(cells), n_types, 5, 5))
+    out, loglik = np.zeros((len(cells), n_types, 5, 5)), np.zeros(len(cells))
+    loglik[got["cell"]] = got["loglik"]
     for l in range(n_types):
         for a, b in _PAIRS:
             out[got["cell"], l, a, b] = out[got["cell"], l, b, a] = got[f"m{l}_{a}{b}"]
-    return out, float(got["loglik"].sum())
+    return out, loglik
 
 
-def _cells(keys: dict, p: np.ndarray, means: np.ndarray, sds: np.ndarray) -> pd.DataFrame:
-    """Rows of keys with p (cells, types), means and deviations (4, cells, types)."""
-    own = dict(keys)
+def _cells(keys: dict, p: np.ndarray, means: np.ndarray, sds: np.ndarray, slopes: tuple[float, float, float]) -> pd.DataFrame:
+    """Rows of keys with p (cells, types), means and deviations (4, cells, types), and the slopes of the first, third and fourth contrast."""
+    own = dict(keys) | {f"b{e}": np.full(len(p), float(b)) for e, b in zip((0, 2, 3), slopes)}
     for l in range(p.shape[1]):
         own |= {f"p{l}": p[:, l]} | {f"k{e}_{l}": means[e][:, l] for e in range(4)} | {f"s{e}_{l}": sds[e][:, l] for e in range(4)}
     return pd.DataFrame(own)
@@ -107,8 +117,12 @@ def _vector(mean: np.ndarray, slope: list[float]) -> np.ndarray:
     return np.concatenate([-mean[..., None], np.broadcast_to(np.array(slope, float), (*mean.shape, 4))], axis=-1)
 
 
-def update(moment: np.ndarray, model: Dynamic, g1: np.ndarray, g2: np.ndarray, least: float = 1e-3) -> Dynamic:
-    """Means by least squares over all cells, then deviations, slopes and shares, each given the rest."""
+def update(moment: np.ndarray, model: Dynamic, g1: np.ndarray, g2: np.ndarray, least: float = 1e-3, hold: Collection[str] = (), constraints: Sequence[Constraint] = ()) -> Dynamic:
+    """Means by least squares over all cells, then deviations, slopes and shares, each given the rest.
+
+    ``hold`` names what stays as it is: means, deviations, slopes, shares. ``constraints`` bind the means x[period, type, class] of the
+    four periods 12, 2ma, 3ma, 43, by a quadratic programme; if no means meet them the old ones stay.
+    """
     n_types, n_classes = model.a["12"].shape
     rho, names = dict(model.rho), ["12", "2ma", "3ma", "43"]
     q = moment[:, :, 0, 0]
@@ -137,16 +151,28 @@ def update(moment: np.ndarray, model: Dynamic, g1: np.ndarray, g2: np.ndarray, l
                 np.add.at(total, (x, y), u * v * weight)
     free = np.setdiff1d(np.arange(len(total)), [place["2mb"][0], place["3mb"][0]])
     theta = np.zeros(len(total))
-    theta[free] = np.linalg.lstsq(total[np.ix_(free, free)], right[free], rcond=1e-12)[0]
-    a = {p: theta[x] for p, x in place.items()}
+    if "means" in hold:
+        a = model.a
+    elif constraints:
+        rows = Programme((4, n_types, n_classes), list(constraints)).rows()
+        left = [np.pad(x, ((0, 0), (0, 2 * n_classes)))[:, free] for x in (rows[0], rows[2])]
+        try:
+            theta[free] = quadratic(total[np.ix_(free, free)], right[free], (left[0], rows[1], left[1], rows[3]), np.concatenate([model.a[p].reshape(-1) for p in place])[free])
+            a = {p: theta[x] for p, x in place.items()}
+        except Infeasible:
+            a = model.a
+    else:
+        theta[free] = np.linalg.lstsq(total[np.ix_(free, free)], right[free], rcond=1e-12)[0]
+        a = {p: theta[x] for p, x in place.items()}
 
     means, s = _means(a, rho, g1, g2), {}
-    for e, p in enumerate(names):
+    for e, p in enumerate(names if "deviations" not in hold else ()):
         vector = _vector(means[e], slopes[e])
         up, below = np.zeros((n_classes, n_types)), np.zeros((n_classes, n_types))
         np.add.at(up, sides[p], _form(moment, vector, vector))
         np.add.at(below, sides[p], q)
         s[p] = np.where(below > 1e-12, np.sqrt(np.maximum(up / np.maximum(below, 1e-12), least**2)), model.s[p].T).T
+    s = s or model.s
 
     def slope(p: str, left: np.ndarray, by: np.ndarray) -> float:
         inverse = 1 / s[p][:, sides[p]].T ** 2
@@ -154,21 +180,30 @@ def update(moment: np.ndarray, model: Dynamic, g1: np.ndarray, g2: np.ndarray, l
         return float((inverse * _form(moment, left, by)).sum() / below) if below > 0 else 0.0
 
     at = lambda p: a[p][:, sides[p]].T
-    rho["R12"] = slope("12", _vector(at("12"), [1, 0, 0, 0]), _vector(at("2ma"), [0, 1, 0, 0]))
-    rho["R32m"] = slope("3ma", _vector(at("3ma") + a["3mb"][g1][:, None], [0, 0, 1, 0]), _vector(means[1], [0, 1, 0, 0]))
-    rho["R43"] = slope("43", _vector(at("43"), [0, 0, 0, 1]), _vector(at("3ma"), [0, 0, 1, 0]))
+    if "slopes" not in hold:
+        rho["R12"] = slope("12", _vector(at("12"), [1, 0, 0, 0]), _vector(at("2ma"), [0, 1, 0, 0]))
+        rho["R32m"] = slope("3ma", _vector(at("3ma") + a["3mb"][g1][:, None], [0, 0, 1, 0]), _vector(means[1], [0, 1, 0, 0]))
+        rho["R43"] = slope("43", _vector(at("43"), [0, 0, 0, 1]), _vector(at("3ma"), [0, 0, 1, 0]))
+    if "shares" in hold:
+        return Dynamic(a, s, rho, model.pk)
     rows = q.sum(axis=1, keepdims=True)
     pk = np.where(rows > 0, q / np.maximum(rows, 1e-300), 1 / n_types)
     return Dynamic(a, s, rho, np.maximum(pk, 1e-12).reshape(n_classes, n_classes, n_types))
 
 
-def movers_moments(events: DataFrame, model: Dynamic) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weighted sums of movers (g1, g2, y1..y4) by pair of classes and type, the log-likelihood, and the classes of the pairs."""
-    n_types, n_classes = model.a["12"].shape
+def model_cells(model: Dynamic) -> pd.DataFrame:
+    """The parameters of each pair of classes (g1, g2)."""
+    n_classes = model.a["12"].shape[1]
     g1, g2 = (x.reshape(-1) for x in np.meshgrid(np.arange(n_classes), np.arange(n_classes), indexing="ij"))
     sds = [model.s["12"][:, g1].T, model.s["2ma"][:, g1].T, model.s["3ma"][:, g2].T, model.s["43"][:, g2].T]
-    cells = _cells({"g1": g1, "g2": g2}, model.pk[g1, g2], _means(model.a, model.rho, g1, g2), sds)
-    return *weighted_moments(events, ["g1", "g2"], _slopes(*(model.rho[r] for r in ("R12", "R32m", "R43"))), cells, n_types), g1, g2
+    return _cells({"g1": g1, "g2": g2}, model.pk[g1, g2], _means(model.a, model.rho, g1, g2), sds, tuple(model.rho[r] for r in RHOS))
+
+
+def movers_moments(events: DataFrame, model: Dynamic) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weighted sums of movers (g1, g2, y1..y4, perhaps w) by pair of classes and type, the log-likelihood, and the classes of the pairs."""
+    cells = model_cells(model)
+    moment, loglik = weighted_moments(events, ["g1", "g2"], cells, model.a["12"].shape[0])
+    return moment, float(loglik.sum()), cells["g1"].to_numpy(), cells["g2"].to_numpy()
 
 
 def moments_table(events: DataFrame, model: Dynamic) -> DataFrame:
@@ -188,7 +223,7 @@ def step(events: DataFrame, model: Dynamic) -> tuple[Dynamic, float]:
 
 def fit(events: DataFrame, model: Dynamic, most: int = 1000, tolerance: float = 1e-7) -> tuple[Dynamic, list[float]]:
     """Steps until the mean log-likelihood gains less than ``tolerance``; types sorted by their mean. Raises after ``most`` rounds."""
-    events = events.select("g1", "g2", *Y).persist()
+    events = events.select("g1", "g2", *Y, *[c for c in ("w",) if c in events.columns]).persist()
     n, path = max(1, events.count()), []
     while True:
         new, loglik = step(events, model)
@@ -199,24 +234,42 @@ def fit(events: DataFrame, model: Dynamic, most: int = 1000, tolerance: float =
             raise ArithmeticError(f"no convergence in {most} rounds")
         model = new
     events.unpersist()
-    order = np.argsort(sum(model.a[p] for p in ("12", "2ma", "3ma", "43")).mean(axis=1))
+    return sort_types(model), path
+
+
+def sort_types(model: Dynamic) -> Dynamic:
+    """Worker types in order of their mean over classes and periods."""
+    order = np.argsort(sum(model.a[p] for p in NAMES).mean(axis=1), kind="stable")
     pick = lambda d: {k: v[order] if v.ndim == 2 else v for k, v in d.items()}
-    return Dynamic(pick(model.a), pick(model.s), model.rho, model.pk[:, :, order]), path
+    return Dynamic(pick(model.a), pick(model.s), model.rho, model.pk[:, :, order])
+
+
+def sort_classes(model: Dynamic) -> tuple[Dynamic, np.ndarray]:
+    """Classes in order of their mean over types and periods, and the old number of each; the new first class has no effect on the other period.
+
+    What the first class loses in 2mb and 3mb goes to the means, so that every density stays as it was.
+    """
+    order = np.argsort(sum(model.a[p] for p in NAMES).mean(axis=0), kind="stable")
+    a = {k: v[..., order] for k, v in model.a.items()}
+    second, third = a["2mb"][0], a["3mb"][0]
+    a |= {"2mb": a["2mb"] - second, "3mb": a["3mb"] - third, "2ma": a["2ma"] + second, "3ma": a["3ma"] + third}
+    a |= {"12": a["12"] + model.rho["R12"] * second, "43": a["43"] + model.rho["R43"] * third}
+    return Dynamic(a, {k: v[:, order] for k, v in model.s.items()}, model.rho, model.pk[order][:, order]), order
 
 
 def fit_stayers(stayers: DataFrame, model: Dynamic, most: int = 1000, tolerance: float = 1e-7) -> tuple[Staying, list[float]]:
     """Second and third period, their slope and the shares of types among stayers (g1, y1..y4); first and last period are the movers'."""
     n_types, n_classes = model.a["12"].shape
     g = np.arange(n_classes)
-    rows = stayers.select("g1", *Y).persist()
+    rows = stayers.select("g1", *Y, *[c for c in ("w",) if c in stayers.columns]).persist()
     n, path, rho = max(1, rows.count()), [], model.rho
     now = Staying(model.a["2ma"].copy(), model.a["3ma"].copy(), model.s["2ma"].copy(), model.s["3ma"].copy(), rho["R32m"], np.full((n_classes, n_types), 1 / n_types))
     first, last = (model.a["12"] - rho["R12"] * model.a["2ma"]).T, (model.a["43"] - rho["R43"] * model.a["3ma"]).T
     while True:
         means = np.stack([first, now.a2.T, (now.a3 - now.r32 * now.a2).T, last])
         sds = [model.s["12"].T, now.s2.T, now.s3.T, model.s["43"].T]
-        moment, loglik = weighted_moments(rows, ["g1"], _slopes(rho["R12"], now.r32, rho["R43"]), _cells({"g1": g}, now.pk, means, sds), n_types)
-        path.append(loglik)
+        moment, loglik = weighted_moments(rows, ["g1"], _cells({"g1": g}, now.pk, means, sds, (rho["R12"], now.r32, rho["R43"])), n_types)
+        path.append(float(loglik.sum()))
         if len(path) > 1 and abs(path[-1] - path[-2]) / n < tolerance:
             break
         if len(path) >= most:

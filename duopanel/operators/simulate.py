@@ -86,18 +86,24 @@ def dynamic_panel(spark: SparkSession, a: dict, s: dict, pk, rho: dict, movers:
     ``a`` and ``s`` hold arrays (types, classes) under 12, 2ma, 3ma, 43 and (classes,) under 2mb, 3mb; ``rho`` has R12, R32m, R43. The next
     class acts on the second period (endogeneity), the last one on the third (state dependence).
     """
-    n_types, n_classes = a["12"].shape
-    i, l, g1, g2 = (F.col(c) for c in ("i", "l", "g1", "g2"))
+    n_classes, i = a["12"].shape[1], F.col("i")
     rows = spark.range(n_classes * n_classes * movers).withColumnRenamed("id", "i")
     rows = rows.withColumn("g1", F.floor(i / (movers * n_classes)).cast("int")).withColumn("g2", (F.floor(i / movers) % n_classes).cast("int"))
-    rows = rows.withColumn("l", pick(seed, [_table(pk[:, :, k], g1, g2) for k in range(n_types)], i))
-    noise = lambda p, g, k: _table(s[p], l, g) * normal(seed + k, i)
+    return dynamic_wages(rows, a, s, pk, rho, [i], seed)
+
+
+def dynamic_wages(rows: DataFrame, a: dict, s: dict, pk, rho: dict, keys: list[Column], seed: int = 1) -> DataFrame:
+    """``rows`` (g1, g2, more columns) with a drawn type l and the wages y1..y4 of the four-period mixture; draws are functions of ``keys`` and the seed."""
+    l, g1, g2 = (F.col(c) for c in ("l", "g1", "g2"))
+    kept = [c for c in rows.columns if c not in ("l", "y1", "y2", "y3", "y4")]
+    rows = rows.select(*kept).withColumn("l", pick(seed, [_table(pk[:, :, k], g1, g2) for k in range(pk.shape[2])], *keys))
+    noise = lambda p, g, k: _table(s[p], l, g) * normal(seed + k, *keys)
     own2, own3 = _table(a["2ma"], l, g1), _table(a["3ma"], l, g2)
     rows = rows.withColumn("y2", own2 + _table(a["2mb"], g2) + noise("2ma", g1, 10))
     rows = rows.withColumn("y1", _table(a["12"], l, g1) + rho["R12"] * (F.col("y2") - own2) + noise("12", g1, 20))
     rows = rows.withColumn("y3", own3 + _table(a["3mb"], g1) + rho["R32m"] * (F.col("y2") - own2 - _table(a["2mb"], g2)) + noise("3ma", g2, 30))
     rows = rows.withColumn("y4", _table(a["43"], l, g2) + rho["R43"] * (F.col("y3") - own3) + noise("43", g2, 40))
-    return rows.select("i", "g1", "g2", "l", "y1", "y2", "y3", "y4")
+    return rows.select(*kept, "l", "y1", "y2", "y3", "y4")
 
 
 def sorting_panel(spark: SparkSession, n_workers: int, periods: int = 4, firm_size: int = 10, sd_lambda: float = 1.25, sd_mu: float = 0.75, rho: float = 0.25, noise: float = 1.0, seed: int = 1) -> DataFrame:

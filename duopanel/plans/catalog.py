@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, experiments, fe, graph, interacted, moments, panel, resampling, rho, simulate, sorkin
+from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, dynamic_fits, experiments, fe, graph, interacted, moments, panel, resampling, rho, simulate, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -725,6 +725,32 @@ def _(s, d):
     return rounded(s.createDataFrame([(g, l, float(still.pk[g, l]), float(still.a2[l, g]), float(still.a3[l, g])) for g in range(4) for l in range(2)], "class int, type int, share double, a2 double, a3 double"), 4)
 
 
+@query("dynamic_constrained")
+def _(s, d):
+    bound = [constraints.linear_additive(), constraints.monotonic()]
+    (model, _), = dynamic_fits.fit_many(_four(s, d, True), [dynamic.start(2, 4, 10.0, 1.0)], [[{"constraints": bound}]], tolerance=1e-4)
+    return rounded(dynamic_fits.profile(s, [model]), 3)
+
+
+@query("dynamic_best_start")
+def _(s, d):
+    rows = _four(s, d, True)
+    static = blm.start(2, 4, 10.0, 1.0)
+    _, table = dynamic_fits.fit_best(rows, dynamic_fits.random_starts(4, 2, 4, 10.0, 1.0, dict.fromkeys(dynamic.RHOS, 0.1)), static, n_best=2, tolerance=1e-3)
+    return rounded(s.createDataFrame(table, "start int, loglik double, connectedness double, best boolean"), 2)
+
+
+@query("dynamic_bootstrap")
+def _(s, d):
+    models = dynamic_fits.bootstrap(_four(s, d, True), dynamic.start(2, 4, 10.0, 1.0), ["i"], 4, "standard", tolerance=1e-3)
+    return rounded(dynamic_fits.bands(dynamic_fits.profile(s, models)), 3)
+
+
+@query("dynamic_decomposition")
+def _(s, d):
+    return rounded(dynamic_fits.decomposition(_four(s, d, True), dynamic.start(2, 4, 10.0, 1.0), ["i"]), 5)
+
+
 _COV = [(a, b) for a in range(1, 5) for b in range(a, 5)]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import fe
 from .constraints import Constraint, Infeasible, Programme, linear_additive, stationary_firm_variation
-from .simulate import normal, uniform
+from .simulate import normal, replicated, uniform
 
 #: Parameters of all types, pairs of classes and starts that a broadcast may hold (five doubles each).
 CELLS = 2_000_000
@@ -287,13 +287,46 @@ def decomposition(events: DataFrame, model: Mixture, keys: Sequence[str], draws:
     return out
 
 
-def bootstrap(events: DataFrame, model: Mixture, keys: Sequence[str], draws: int, seed: int = 1, most: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """Parametric bootstrap: (draw, type, class, a1, a2, s1, s2) of models fitted again on wages simulated from ``model``."""
+def fit_replicates(rows: DataFrame, models: list[Mixture], most: int = 1000, tolerance: float = 1e-6) -> list[Mixture]:
+    """Each model fitted to its own ``rows`` (start, g1, g2, y1, y2, perhaps w), all in common passes; types sorted. Rows with a null take no part."""
+    kept = rows.select("start", "g1", "g2", "y1", "y2", (F.col("w").cast("double") if "w" in rows.columns else F.lit(1.0)).alias("w")).dropna().persist()
+    size = {r["start"]: r["n"] for r in kept.groupBy("start").agg(F.sum("w").alias("n")).collect()}
+    n_types, models = models[0].a1.shape[0], list(models)
+    open_, last = [k for k in range(len(models)) if size.get(k)], [-np.inf] * len(models)
+    for _ in range(most):
+        if not open_:
+            break
+        weighted = posteriors(kept.where(F.col("start").isin(open_)), models)
+        weighted = weighted.select("start", "g1", "g2", "y1", "y2", (F.col("w") * F.col("loglik")).alias("loglik"), *[(F.col("w") * F.col(f"q{k}")).alias(f"q{k}") for k in range(n_types)])
+        got = sums(weighted, n_types, ("start", "g1", "g2")).toPandas()
+        for k in list(open_):
+            own = got[got["start"] == k]
+            loglik = float(own["loglik"].sum())
+            if abs(loglik - last[k]) / size[k] < tolerance:
+                open_.remove(k)
+            models[k], last[k] = update(own, models[k]), loglik
+    else:
+        if open_:
+            raise ArithmeticError(f"no convergence in {most} passes")
+    kept.unpersist()
+    return [sort_types(m) for m in models]
+
+
+def bootstrap(events: DataFrame, model: Mixture, keys: Sequence[str], draws: int, seed: int = 1, most: int = 1000, tolerance: float = 1e-6, method: str = "parametric", fraction: float = 1.0) -> DataFrame:
+    """(draw, type, class, a1, a2, s1, s2) of models fitted again to replicates, all in common passes.
+
+    ``parametric``: wages of all rows simulated from ``model``; ``standard``: rows drawn with replacement, as Poisson counts of mean ``fraction``.
+    """
+    if method == "standard":
+        rows = replicated(events, keys, draws, fraction, seed, "start")
+    elif method == "parametric":
+        rows = simulate(events.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))), model, [*keys, "start"], seed)
+    else:
+        raise ValueError(f"no method {method!r}")
     out = None
-    for d in range(draws):
-        found, _ = fit(simulate(events, model, keys, seed + 100 * d), model, most, tolerance)
-        rows = profile(events.sparkSession, found).withColumn("draw", F.lit(d))
-        out = rows if out is None else out.unionByName(rows)
+    for d, found in enumerate(fit_replicates(rows, [model] * draws, most, tolerance)):
+        part = profile(events.sparkSession, found).withColumn("draw", F.lit(d))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

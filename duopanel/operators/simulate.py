@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+from math import exp, sqrt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that one window partition ranks, about.
+BUCKET = 50_000
+#: Ids of which the degrees are looked at together where both sides of a matching come to the same sum.
+EXTRA = 2_000
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """In (0, 1), from a hash of the keys."""
@@ -15,6 +23,24 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * 3.141592653589793 * uniform(seed + 1, *keys))
 
 
+def poisson(mean: float, seed: int, *keys: Column) -> Column:
+    """A Poisson count, from a hash of the keys."""
+    u, cut, p, k, out = uniform(seed, *keys), 0.0, exp(-mean), 0, F.lit(0)
+    while cut < 1 - 1e-15 and k < 30 + 10 * mean:
+        cut += p
+        out = out + (u >= cut).cast("int")
+        k += 1
+        p *= mean / k
+    return out
+
+
+def replicated(rows: DataFrame, keys: Sequence[str], draws: int, fraction: float = 1.0, seed: int = 1, name: str = "rep") -> DataFrame:
+    """``rows`` once for each draw that takes them, with their Poisson count (times their own weight) as w; the mean count is ``fraction``."""
+    own = F.col("w").cast("double") if "w" in rows.columns else F.lit(1.0)
+    drawn = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return drawn.withColumn("w", poisson(fraction, seed, *[F.col(k) for k in keys], F.col(name)).cast("double") * own).where("w > 0")
+
+
 def akm_panel(spark: SparkSession, n_workers: int, n_periods: int = 5, firm_size: int = 10, p_move: float = 0.5, sorting: float = 0.5, noise: float = 1.0, seed: int = 1) -> DataFrame:
     """(i, j, t, y, alpha, psi): workers move with probability ``p_move``; firms are drawn near the worker's own rank by ``sorting``."""
     n_firms = max(2, n_workers // firm_size)
@@ -120,3 +146,66 @@ def sorting_panel(spark: SparkSession, n_workers: int, periods: int = 4, firm_si
     level = (F.col("j") + 0.5) / n_firms
     rows = rows.withColumn("lambda_i", sd_lambda * F.col("z")).withColumn("mu_j", sd_mu * F.log(level / (1 - level)) / 1.702)
     return rows.select("i", "j", "t", (F.col("lambda_i") + F.col("mu_j") + noise * normal(seed + 20, i, t)).alias("y"), "lambda_i", "mu_j")
+
+
+def _slots(rows: DataFrame, value: str, sd: float, size: str | None, total: int, ties: Sequence[str]) -> DataFrame:
+    """``rows`` in order of ``value`` ~ N(0, sd^2) with the place (from 0) of their first slot, of ``size`` slots each.
+
+    Buckets are even steps of the distribution function, so that each holds about as many rows; a window over buckets alone gives their first places.
+    """
+    n = max(1, -(-total // BUCKET))
+    level = 1 / (1 + F.exp(-1.702 * F.col(value) / sd))
+    own = rows.withColumn("_b", F.least(F.floor(level * n), F.lit(n - 1)).cast("int"))
+    step = F.col(size).cast("long") if size else F.lit(1).cast("long")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("_b").agg(F.sum(step).alias("_n"))
+    bases = sums.select("_b", F.coalesce(F.sum("_n").over(before(Window.orderBy("_b"))), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum(step).over(before(Window.partitionBy("_b").orderBy(value, *ties))), F.lit(0))
+    return own.withColumn("_k", within).join(bases, "_b").withColumn("slot", F.col("_base") + F.col("_k")).drop("_b", "_k", "_base")
+
+
+def balanced(spark: SparkSession, n_workers: int, n_firms: int, worker_mean: float, firm_mean: float, seed: int = 1) -> tuple[int, int, int]:
+    """Numbers of workers and firms whose degrees (Poisson, 2 at least) come to the same sum, and the sum.
+
+    The side with the lower sum takes further ids until both agree: the bulk by its mean degree, the rest one by one, ``EXTRA`` degrees at a time.
+    """
+    degree = lambda mean, k: F.greatest(poisson(mean, seed + k, F.col("id")), F.lit(2))
+    sides = [[n_workers, 0, worker_mean, 60], [n_firms, 0, firm_mean, 70]]
+    add = lambda side, low, high: int(spark.range(low, high).agg(F.sum(degree(side[2], side[3]))).first()[0] or 0)
+    for side in sides:
+        side[1] = add(side, 0, side[0])
+    low = min(sides, key=lambda x: x[1])
+    gap = abs(sides[0][1] - sides[1][1])
+    bulk = int(max(0, gap - 10 * sqrt(gap * (low[2] + 1))) / (low[2] + 0.5))
+    low[1] += add(low, low[0], low[0] + bulk)
+    low[0] += bulk
+    queues: list[list[int]] = [[], []]
+    while sides[0][1] != sides[1][1]:
+        k = 0 if sides[0][1] < sides[1][1] else 1
+        side = sides[k]
+        if not queues[k]:
+            queues[k] = [r[0] for r in spark.range(side[0], side[0] + EXTRA).orderBy("id").select(degree(side[2], side[3])).collect()]
+        side[1] += queues[k].pop(0)
+        side[0] += 1
+    return sides[0][0], sides[1][0], sides[0][1]
+
+
+def matched_panel(spark: SparkSession, n_workers: int = 1000, n_firms: int = 300, worker_mean: float = 4.0, firm_mean: float = 15.0, sd_lambda: float = 1.25, sd_mu: float = 0.75, sd_wage: float = 2.5, rho: float = 0.25, seed: int = 1) -> DataFrame:
+    """(i, j, t, y, lambda_i, mu_j) of the sorting model with degrees on both sides: jobs ordered by their draw chi meet firms ordered by their effect.
+
+    Workers and firms have Poisson numbers of jobs, 2 at least; both sides are made to agree. Effects are those of the wage equation.
+    """
+    rest = sd_wage**2 - (sd_lambda**2 + sd_mu**2 - 2 * rho * sd_lambda * sd_mu) / (1 - rho**2)
+    if not -1 < rho < 1 or rest < 0:
+        raise ValueError("the wage's deviation must exceed what the effects explain")
+    workers, firms, total = balanced(spark, n_workers, n_firms, worker_mean, firm_mean, seed)
+    i, j, t = F.col("i"), F.col("j"), F.col("t")
+    degree = lambda mean, k, x: F.greatest(poisson(mean, seed + k, x), F.lit(2))
+    jobs = spark.range(workers).withColumnRenamed("id", "i").withColumn("t", F.explode(F.sequence(F.lit(1), degree(worker_mean, 60, i))))
+    jobs = jobs.withColumn("l", sd_lambda * normal(seed, i)).withColumn("chi", F.col("l") * (rho * sd_mu / sd_lambda) + sd_mu * sqrt(1 - rho**2) * normal(seed + 10, i, t))
+    places = spark.range(firms).withColumnRenamed("id", "j").withColumn("n", degree(firm_mean, 70, j)).withColumn("m", sd_mu * normal(seed + 30, j))
+    places = _slots(places, "m", sd_mu, "n", firms, ["j"]).select("j", "m", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)).alias("slot"))
+    own = _slots(jobs, "chi", sd_mu, None, total, ["i", "t"]).join(places, "slot")
+    a, b = (sd_lambda - rho * sd_mu) / (sd_lambda * (1 - rho**2)), (sd_mu - rho * sd_lambda) / (sd_mu * (1 - rho**2))
+    own = own.withColumn("lambda_i", a * F.col("l")).withColumn("mu_j", b * F.col("m"))
+    return own.select("i", "j", t.cast("long").alias("t"), (F.col("lambda_i") + F.col("mu_j") + sqrt(rest) * normal(seed + 40, i, t)).alias("y"), "lambda_i", "mu_j")

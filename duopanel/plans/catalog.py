@@ -468,6 +468,13 @@ def _(s, d):
     return rounded(s.createDataFrame([(k, float(v)) for k, v in zip(solved.names, solved.gamma)], "control string, gamma double"), 6)
 
 
+@query("fe_coefficient_errors")
+def _(s, d):
+    x = with_controls(s, d)
+    _, names = controls.dummies(x, ["flag"], ["quantity"])
+    return rounded(controls.coefficient_errors(x, names, ["flag"], ["quantity"]), 6)
+
+
 @query("fe_clustered_errors")
 def _(s, d):
     return rounded(controls.clustered_errors(with_controls(s, d), "quantity", ["flag"], ["quantity"]), 6)
@@ -725,6 +732,12 @@ def _(s, d):
     return rounded(s.createDataFrame([(g, l, float(still.pk[g, l]), float(still.a2[l, g]), float(still.a3[l, g])) for g in range(4) for l in range(2)], "class int, type int, share double, a2 double, a3 double"), 4)
 
 
+@query("blm_bootstrap_standard")
+def _(s, d):
+    draws = blm.bootstrap(_movers(s, d), blm.start(2, 4, 10.0, 1.0), ["i", "t1"], 4, tolerance=1e-3, method="standard")
+    return rounded(draws.groupBy("type", "class").agg(F.avg("a1").alias("a1"), F.stddev("a1").alias("sd1"), F.avg("a2").alias("a2"), F.stddev("a2").alias("sd2")), 3)
+
+
 @query("dynamic_constrained")
 def _(s, d):
     bound = [constraints.linear_additive(), constraints.monotonic()]

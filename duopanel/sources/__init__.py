@@ -1,5 +1,5 @@
 """Readers of panels and writers of results."""
 
-from .files import read_panel, write_result
+from .files import read_leverages, read_panel, write_result
 
-__all__ = ["read_panel", "write_result"]
+__all__ = ["read_leverages", "read_panel", "write_result"]

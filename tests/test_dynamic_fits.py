@@ -27,7 +27,7 @@ def test_quadratic_is_least_on_its_constraints():
         constraints.quadratic(np.eye(2), np.zeros(2), (np.array([[1.0, 0], [1, 0]]), np.array([0.0, 1]), np.zeros((0, 2)), np.zeros(0)), np.zeros(2))
 
 
-def movers(spark, n=600, seed=4):
+def movers(spark, n=400, seed=4):
     a, s, pk, rho = truth()
     return simulate.dynamic_panel(spark, a, s, pk, rho, movers=n, seed=seed), dynamic.Dynamic(a, s, rho, pk)
 
@@ -85,7 +85,7 @@ def test_many_starts_in_common_passes(spark):
 def test_replicates(spark):
     rows, model = movers(spark, 400)
     rows = rows.withColumn("extra", rows["i"]).persist()
-    drawn = dynamic_fits.replicated(rows, ["i"], 4, 0.5)
+    drawn = simulate.replicated(rows, ["i"], 4, 0.5)
     got = {r["rep"]: r["n"] for r in drawn.groupBy("rep").agg({"w": "sum"}).toDF("rep", "n").collect()}
     assert sorted(got) == [0, 1, 2, 3] and all(abs(n - 800) < 120 for n in got.values()) and len(set(got.values())) > 1
     for method in ("standard", "parametric"):

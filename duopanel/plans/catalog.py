@@ -797,6 +797,61 @@ def _(s, d):
     return rounded(s.createDataFrame([(m, int(j), float(a), float(b)) for x in out for j, a, b, m in x.itertuples(index=False)], "method string, class int, a double, b double"), 4)
 
 
+_GAP = "CAST(g1 = {k} AS INT) - CAST(g2 = {k} AS INT)"
+_NORMAL = ", ".join(f"CAST(sum(({_GAP.format(k=a)}) * ({_GAP.format(k=b)})) AS DOUBLE) AS n{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)) + ", " + ", ".join(f"sum(({_GAP.format(k=a)}) * (y1 - y2)) AS r{a}" for a in (1, 2, 3))
+
+
+def _determinant(column: int) -> str:
+    """Of the normal equations of three intercepts, with the right side in place of a column."""
+    e = lambda a, b: f"r{a}" if b == column else f"n{a}{b}"
+    return " + ".join(f"({e(1, x)}) * (({e(2, y)}) * ({e(3, z)}) - ({e(2, z)}) * ({e(3, y)}))" for x, y, z in ((1, 2, 3), (2, 3, 1), (3, 1, 2)))
+
+
+@query(
+    "interacted_linear",
+    f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS}, q AS (SELECT {_NORMAL} FROM es WHERE m = 1 AND g1 <> g2)"
+    f" SELECT CAST(0 AS INT) AS class, 0.0::DOUBLE AS a FROM q " + " ".join(f"UNION ALL SELECT CAST({k} AS INT), {rnd(f'({_determinant(k)}) / ({_determinant(0)})', 5)} FROM q" for k in (1, 2, 3)),
+)
+def _(s, d):
+    e = _movers(s, d).select(F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2")
+    out = interacted.slopes(e, "linear")
+    return rounded(s.createDataFrame([(int(j), float(a)) for j, a in zip(out["j"], out["a"])], "class int, a double"), 5)
+
+
+_PRODUCTS = ("-sum(y1) FILTER (d = 1)", "sum(y2) FILTER (d = 2)", "count(*) FILTER (d = 1)", "-count(*) FILTER (d = 2)")
+
+
+@query(
+    "interacted_worker_products",
+    f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS}, mv AS (SELECT * FROM es WHERE m = 1 AND g1 <> g2), lg AS (SELECT i, g1 AS j, 1 AS d, y1, y2 FROM mv UNION ALL SELECT i, g2, 2, y1, y2 FROM mv),"
+    f" x AS (SELECT i, j, {', '.join(f'coalesce({x}, 0) AS x{k}' for k, x in enumerate(_PRODUCTS))} FROM lg GROUP BY i, j), n AS (SELECT i, count(*) + 0.5 AS n FROM mv GROUP BY i)"
+    f" SELECT CAST(a.j AS INT) AS j, CAST(b.j AS INT) AS k, {', '.join(rnd(f'sum(a.x{p} * b.x{q} / n)', 2) + f' AS p{p}{q}' for p in range(4) for q in range(4))} FROM x a JOIN x b USING (i) JOIN n USING (i) GROUP BY a.j, b.j",
+)
+def _(s, d):
+    e = _movers(s, d).select("i", F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2")
+    return rounded(interacted.worker_products(e, tikhonov=0.5), 2)
+
+
+@query("interacted_methods")
+def _(s, d):
+    e = _movers(s, d).select("i", F.col("g1").alias("j1"), F.col("g2").alias("j2"), "y1", "y2").persist()
+    forms = {
+        "kclass": {"method": "kclass"},
+        "hful": {"method": "hful"},
+        "hful_workers": {"method": "hful", "instrument": "worker_ids", "tikhonov": 1.0},
+        "iv_coarse": {"method": "iv", "coarse": 2},
+        "liml_profiled": {"method": "liml", "profiling": True},
+        "iv_by_period": {"method": "iv", "stationary_a": False, "stationary_b": False},
+    }
+    rows = []
+    for name, form in forms.items():
+        out = interacted.slopes(e, **form)
+        a, b = ("a", "b") if "a" in out else ("a1", "b1")
+        rows += [(name, int(j), float(x), float(y)) for j, x, y in zip(out["j"], out[a], out[b])]
+    e.unpersist()
+    return rounded(s.createDataFrame(rows, "form string, class int, a double, b double"), 4)
+
+
 def _by_class(s: SparkSession, d: str) -> DataFrame:
     """P1 with firm classes as firms: a row for each worker and class."""
     return classes(s, d).groupBy("i", F.col("g").alias("j")).agg(F.min("t").alias("t"), F.avg("y").alias("y"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import struct
 
+import xxhash
 from duopanel.llm import fingerprints as P
 
 
@@ -10,6 +12,57 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(*parts):
+    """The hash of a row: texts by their bytes, bins as int (number, 4), values as long (number, 8)."""
+    seed = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else struct.pack("<i" if x[1] == 4 else "<q", x[0])
+        seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return signed(seed)
+
+
+def plain(text):
+    """The fingerprint step by step: least value of each bin, empty bins filled from the bins that they try, digits."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return ""
+    codes = [hashed(w) for w in words]
+    least = {}
+    for k in range(max(len(codes) - 4, 1)):
+        h = hashed(*[(c, 8) for c in codes[k : k + 5]])
+        # Bins in order of the signed number: bin 0 holds the lowest hashes.
+        at = (h >> 56) + 128
+        if h & P.LOW != P.LOW:
+            least[at] = min(least.get(at, h), h)
+    out = []
+    for i in range(256):
+        if i in least:
+            v = least[i]
+        else:
+            x, found = (i * 2654435761 + 12345) % (1 << 32), None
+            for _ in range(P.PROBES):
+                x = (x * 1664525 + 1013904223) % (1 << 32)
+                if found is None and x >> 24 in least:
+                    found = least[x >> 24]
+            if found is None:
+                found = min((hashed((i, 4), (v >> 56, 8)), v) for v in least.values())[1]
+            v = hashed((found, 8), (i, 4))
+        out.append("0123456789abcdef"[v & 15])
+    return "".join(out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (1 - 1 / 16))
+
+
 def jaccard(a, b):
     a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b) if a | b else 1.0
@@ -33,6 +86,8 @@ def test_query(spark, tmp_path, monkeypatch):
         edited = text[: len(text) - half] + nxt[:half]
         x = got[i]
         assert (x.n_chars, x.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (plain(text), plain(edited))
+        assert abs(x.near_edited - plain_likeness(plain(text), plain(edited))) + abs(x.near_next - plain_likeness(plain(text), plain(nxt))) < 1e-12
         far += [abs(x.near_edited - jaccard(text, edited)), abs(x.near_next - jaccard(text, nxt))]
         by_text.setdefault(frozenset(shingles(text)), set()).add(x.fingerprint)
         assert len(x.fingerprint) == (256 if shingles(text) else 0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blm, constraints, controls, corrections, cre, diagnostics, dynamic, dynamic_fits, experiments, fe, graph, interacted, moments, panel, resampling, rho, simulate, sorkin
+from ..operators import blm, blm_controls, constraints, controls, corrections, cre, diagnostics, dynamic, dynamic_fits, experiments, fe, graph, interacted, moments, panel, resampling, rho, simulate, simulate_controls, sorkin
 from ..sources import read_panel, write_result
 
 R = panel.round_to
@@ -661,6 +661,67 @@ def _movers(s: SparkSession, d: str) -> DataFrame:
     return e.select("i", "t1", "j1", "j2", "y1", "y2", F.col("g1").cast("int").alias("g1"), F.col("g2").cast("int").alias("g2"))
 
 
+_CONTROLS = (blm_controls.Control("c", 3, spread=0.5), blm_controls.Control("x", by_type=True))
+
+
+def _controlled(s: SparkSession, d: str) -> DataFrame:
+    """Movers' pairs with a categorical and a continuous control made of their periods."""
+    e = panel.event_study(classes(s, d)).where("m = 1")
+    return e.select("i", "t1", "y1", "y2", *[F.col(c).cast("int").alias(c) for c in ("g1", "g2")], *[((F.col(f"t{t}") - 1) % 3).cast("int").alias(f"c{t}") for t in (1, 2)], *[((F.col(f"t{t}") - 4) / 3).alias(f"x{t}") for t in (1, 2)])
+
+
+_LEVELS, _SPREADS, _STEEP = ((0.0, 0.2, -0.1), (0.0, 0.3, 0.1)), (0.0, 0.5, 1.0), ((0.1, -0.1), (0.2, -0.2))
+
+
+def _controlled_density(kind: int) -> str:
+    out = "ln(0.5)"
+    for t in (0, 1):
+        case = lambda v: f"CASE (t{t + 1} - 1) % 3 WHEN 0 THEN {v[0]} WHEN 1 THEN {v[1]} ELSE {v[2]} END"  # noqa: B023, E731
+        var = f"(1.0 + power({case(_SPREADS)}, 2))"
+        out += f" - 0.5 * ln(2 * pi() * {var}) - power(y{t + 1} - {9.5 + kind} - ({case(_LEVELS[t])}) - {_STEEP[t][kind]} * (t{t + 1} - 4) / 3.0, 2) / (2 * {var})"
+    return out
+
+
+@query(
+    "blm_controls_e_step",
+    f"WITH {P1}, {ONE}, {CLASSES}, {CLASS_EVENTS}, l AS (SELECT g1, g2, {', '.join(f'exp({_controlled_density(k)}) AS e{k}' for k in range(2))} FROM es WHERE m = 1)"
+    f" SELECT g1, g2, count(*) AS n, {rnd('sum(ln(e0 + e1))', 3)} AS loglik, {', '.join(f'{rnd(f"sum(e{k} / (e0 + e1))", 4)} AS q{k}' for k in range(2))} FROM l GROUP BY g1, g2",
+)
+def _(s, d):
+    import numpy as np
+
+    model = blm_controls.start(blm.start(2, 4, 10.0, 1.0), _CONTROLS)
+    model.effects.update(c=np.array(_LEVELS)[:, None, :], x=np.array(_STEEP)[:, :, None])
+    model.spreads["c"] = np.array([_SPREADS, _SPREADS])[:, None, :]
+    x = blm_controls.posteriors(_controlled(s, d), model)
+    return rounded(x.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), R(F.sum("loglik"), 3).alias("loglik"), *[R(F.sum(f"q{k}"), 4).alias(f"q{k}") for k in range(2)]))
+
+
+def _control_table(s: SparkSession, model) -> DataFrame:
+    """Class means and deviations, effects and spreads, a row each."""
+    b = model.base
+    rows = [("class", t, k, g, float(a[k, g]), float(v[k, g])) for t, (a, v) in enumerate(((b.a1, b.s1), (b.a2, b.s2)), 1) for k in range(a.shape[0]) for g in range(a.shape[1])]
+    for c in model.controls:
+        e, v = model.effects[c.name], model.spreads[c.name]
+        rows += [(c.name, t + 1, k, x, float(e[t, k, x]), float(v[t, k, x])) for t in range(2) for k in range(e.shape[1]) for x in range(e.shape[2])]
+    return rounded(s.createDataFrame(rows, "part string, period int, type int, level int, effect double, spread double"), 3)
+
+
+@query("blm_controls_fit")
+def _(s, d):
+    return _control_table(s, blm_controls.fit(_controlled(s, d), blm_controls.start(blm.start(2, 4, 10.0, 1.0), _CONTROLS), tolerance=1e-2)[0])
+
+
+@query("blm_controls_simulated")
+def _(s, d):
+    """Wages of a drawn mixture over all movers' pairs with their own controls, and what a fit from its start finds in them."""
+    steady = simulate_controls.Range(sd=(1.5, 1.5), low=(0.2, 0.2), high=(0.4, 0.4))
+    model, _ = simulate_controls.draw_model(2, 4, _CONTROLS[1:], simulate_controls.Ranges(steady), seed=11)
+    rows = simulate_controls.wages(_controlled(s, d), model, ["i", "t1"], seed=12)
+    found = blm_controls.fit(rows, blm_controls.start(model.base, model.controls), tolerance=1e-4)[0]
+    return _control_table(s, model).withColumnRenamed("effect", "true_effect").drop("spread").join(_control_table(s, found).drop("spread"), ["part", "period", "type", "level"])
+
+
 @query("blm_fit")
 def _(s, d):
     model, _ = blm.fit(_movers(s, d), blm.start(2, 4, 10.0, 1.0), tolerance=1e-5)

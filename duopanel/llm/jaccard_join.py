@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, blocks, drop, lean, mix64, span_hashes, utf8, with_row, words, written
+from .common import LOWER, WORD, blocks, drop, lean, mix64, ragged, span_hashes, utf8, with_row, words, written
 from .components import components
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ BLOCK = 1 << 20
 MERGE = 256
 #: Prefix entries (8 bytes) that one shard holds, about.
 SHARD = 1_000_000
+#: Places of a set that a prefix entry tells apart, rounded down: those of a prefix, the first fifth, fit into a byte.
+PLACES = 1024
 #: Nodes (16 bytes each) whose texts are found by a broadcast; more are joined by shuffle.
 BROADCAST_NODES = 500_000
 #: Rows of tiles that one task of the tree round gets, about.
@@ -118,6 +120,26 @@ def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix64(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * _ODD[0]), np.uint64(0))
 
 
+def six(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, as six bytes."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1)
+
+
+def leads(h: np.ndarray, at: np.ndarray, prefix: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Place in ``h`` of each row's lead: the first shingle of the frequency class that most of its prefix has. Near copies mostly have the same."""
+    row = np.repeat(np.arange(len(prefix)), prefix)
+    kind = order[(h[ragged(at[:-1], prefix)] & np.uint64(SKETCH - 1)).astype(np.int64)]
+    counts = np.bincount(row * 64 + kind, minlength=64 * len(prefix)).reshape(-1, 64)
+    before = np.cumsum(counts, axis=1) - counts
+    return at[:-1] + before[np.arange(len(prefix)), counts.argmax(axis=1)]
+
+
 def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     """A row for each document (shard -1: doc_id, mark (a hash of its text), n, node, point) and rows of packed prefix entries for the shards of the index.
 
@@ -141,6 +163,7 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                 once = np.zeros(b - a, bool)
                 once[np.unique(node, return_index=True)[1]] = True  # a set once in each block
                 pick = np.flatnonzero((np.arange(len(h)) - at[row] < prefix[row]) & once[row])
+                lead = leads(h, at, prefix, shared.value)
                 shard = (mix64(h[pick]) % np.uint64(shards)).astype(np.int64)
                 by = np.argsort(shard, kind="stable")
                 pick, cut = pick[by], np.searchsorted(shard[by], np.arange(shards + 1))
@@ -149,8 +172,9 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                 for x in used:
                     own = pick[cut[x] : cut[x + 1]]
                     first = np.flatnonzero(np.r_[True, row[own][1:] != row[own][:-1]])
-                    high = h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-                    data.append(pickle.dumps((node[row[own[first]]], np.diff(np.r_[first, len(own)]).astype(np.uint32), high.tobytes()), 5))
+                    of = row[own[first]]
+                    place = np.where(own == lead[row[own]], 0, (own - at[row[own]]) * PLACES // n[row[own]]).astype(np.uint8)
+                    data.append(pickle.dumps((node[of], np.diff(np.r_[first, len(own)]).astype(np.uint32), n[of].astype(np.uint32), six(h[lead[of]]), place.tobytes(), six(h[own])), 5))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(np.diff(cut)[used]), pa.nulls(len(used), pa.int64()), pa.array(data, pa.binary())],
                     names=["shard", "doc_id", "mark", "n", "node", "data"],
@@ -160,33 +184,71 @@ def describe(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     return own.mapInArrow(lean(run), "shard int, doc_id long, mark long, n long, node long, data binary")
 
 
+def starts_of(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+
+
+def partnered(first: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """True for rows with a partner in their run (``first``: where runs begin): two sets of ``n`` shingles whose first common one has ``rest`` from it on.
+
+    Their overlap is at most the smaller rest, and a Jaccard index of 0.8 requires 9 x overlap >= 4 x (both sizes): the size of
+    each is at most the reach of the other. Rows in order of size, the two largest reaches up to a place tell whether one is enough.
+    """
+    if not len(n):
+        return np.zeros(0, bool)
+    reach = (9 * rest - 4 * n) // 4
+    run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(n)]))
+    by = np.lexsort((n, run))  # runs stay where they are
+    size, reach = n[by], reach[by]
+    base = run * (max(int(size.max()), int(reach.max())) + 1)
+    largest = np.maximum.accumulate(base + reach)
+    loser = np.minimum(reach, np.r_[0, largest[:-1]] - base)
+    second = np.maximum.accumulate(base + np.maximum(loser, 0))
+    last = np.searchsorted(base + size, base + reach, "right") - 1
+    inside = last >= first[run]
+    best = np.where(size <= reach, second[last], largest[last]) - base  # a row is no partner of its own
+    out = np.zeros(len(n), bool)
+    out[by] = inside & (best >= size)
+    return out
+
+
 def shared_prefixes(entries: DataFrame) -> DataFrame:
     """(tile, node): the nodes of each prefix shingle (48 bits of its hash) that at least two nodes have. The number of shards follows the number of entries.
 
     A tile is named by a hash of its set of nodes, so that shingles of the same nodes - those of a passage that they share - make one
-    tile, once.
+    tile, once in each shard. As shards grow in number with the input, so would these repeats. A tile therefore has only the nodes that
+    have a partner in it (:func:`partnered`), and nodes that all have the same lead are left to the tile of that one. Neither loses a
+    pair: a linked pair stays in the tile of the first shingle that both sets have, or in that of their common lead, where each has
+    place 0 and which is not left to another.
     """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for v in own["data"]:
-            node, n, high = pickle.loads(v)
-            wide = np.zeros((len(high) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(high, np.uint8).reshape(-1, 6)
-            parts.append(np.stack([wide.view("<u8").reshape(-1), np.repeat(node, n)], axis=1))
-        x = np.concatenate(parts)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
-        same = x[1:, 0] == x[:-1, 0]
-        keep = np.r_[same, False] | np.r_[False, same]
-        x = x[keep]
-        first = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]]) if len(x) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(x)])
-        name = mix64(np.add.reduceat(mix64(x[:, 1]), first) + size.astype(np.uint64)) if len(x) else np.zeros(0, np.uint64)
+            node, k, n, lead, place, high = pickle.loads(v)
+            parts.append((from_six(high), np.repeat(node, k), np.frombuffer(place, np.uint8), np.repeat(n, k), np.repeat(from_six(lead), k)))
+        key, node, place, n, lead = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((place, node, key))
+        x, y = key[by], node[by]
+        by = by[np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]]  # of shingles with the same 48 bits the earlier place
+        x = key[by]
+        same = x[1:] == x[:-1]
+        by = by[np.r_[same, False] | np.r_[False, same]]
+        n = n[by].astype(np.int64)
+        by = by[partnered(starts_of(key[by]), n, n + -place[by].astype(np.int64) * n // PLACES)]
+        if not len(by):
+            return pd.DataFrame({"tile": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+        key, node, lead = key[by], node[by], lead[by]
+        first = starts_of(key)
+        size = np.diff(np.r_[first, len(key)])
+        name = mix64(np.add.reduceat(mix64(node), first) + size.astype(np.uint64))
+        least = np.minimum.reduceat(lead, first)
+        stay = np.flatnonzero((least != np.maximum.reduceat(lead, first)) | (least == key[first]))
         once = np.zeros(len(first), bool)
-        once[np.unique(name, return_index=True)[1]] = True
+        once[stay[np.unique(name[stay], return_index=True)[1]]] = True
         rows = np.repeat(once, size)
-        return pd.DataFrame({"tile": np.repeat(name, size)[rows].view(np.int64), "node": x[rows, 1].view(np.int64)})
+        return pd.DataFrame({"tile": np.repeat(name, size)[rows].view(np.int64), "node": node[rows].view(np.int64)})
 
     return entries.groupBy("shard").applyInPandas(lean(run), "tile long, node long").distinct()
 

@@ -89,6 +89,54 @@ def test_regular_words(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2)]
 
 
+def test_rows_of_tiles_and_shards(spark, monkeypatch):
+    """Near copies and passages in texts of other sizes: more shards do not repeat the tiles that no pair needs."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for _ in range(40):
+        own = [word() for _ in range(400)]
+        rows += [own, [*own[:-3], *(word() for _ in range(3))]]
+        passage = [word() for _ in range(100)]
+        rows += [[*(word() for _ in range(r.randrange(100, 200) * k)), *passage] for k in (1, 4)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    order = np.ceil(np.log2(J.sketch(docs) + 1)).astype(np.int64)
+    monkeypatch.setattr(type(docs), "distinct", lambda table: table)
+    few, many = (J.shared_prefixes(J.describe(docs, order, k).where("shard >= 0").select("shard", "data")).collect() for k in (1, 64))
+    assert len(set(few)) == len(few) and set(few) == set(many)
+    assert {x.tile for x in few} and len(many) <= 4 * len(few)
+    monkeypatch.undo()
+    assert {(x.doc_id, x.component_id) for x in J.similar(docs).collect()} == {(k, k - (k % 4 == 1)) for k in range(len(rows))}
+
+
+def test_threshold(spark, monkeypatch):
+    """Sets of exactly 0.8, of equal and of different sizes, and just below: whatever the order of the shingles, the links stay."""
+    monkeypatch.setattr(J, "SHARD", 300)
+    rows = []
+    for m in range(1, 30):
+        w = [f"{m}x{k}" for k in range(10 * m + 5)]
+        rows += [w[: 9 * m + 4], w[m : 10 * m + 4]]  # 8 m of 10 m
+        w = [f"{m}y{k}" for k in range(5 * m + 5)]
+        rows += [w[: 5 * m + 4], w[: 4 * m + 4]]  # 4 m of 5 m
+        w = [f"{m}z{k}" for k in range(5 * m + 5)]
+        rows += [w, w[: 4 * m + 4]]  # 4 m of 5 m + 1
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    assert sorted(map(tuple, J.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+
+
+def test_partnered():
+    r = np.random.default_rng(0)
+    for _ in range(500):
+        sizes = r.integers(1, 9, r.integers(1, 8))
+        first = np.cumsum(sizes) - sizes
+        n = r.integers(1, r.choice([4, 20, 300]), sizes.sum())
+        rest = n - (r.random(len(n)) * (n // 5 + 1)).astype(int)
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        pair = (run[:, None] == run) & ~np.eye(len(n), dtype=bool) & (9 * np.minimum(rest[:, None], rest) >= 4 * (n[:, None] + n))
+        assert (J.partnered(first, n, rest) == pair.any(axis=1)).all()
+    assert not len(J.partnered(*[np.zeros(0, np.int64)] * 3))
+
+
 def test_tree():
     r = np.random.default_rng(1)
     points = r.poisson(3, (500, J.GROUPS))

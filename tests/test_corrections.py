@@ -219,3 +219,40 @@ def test_posterior(spark, panel):
         assert np.isclose(drawn["posterior_mean_var"], np.var(v), rtol=1e-6) and abs(drawn["posterior_spread"] - spread) < 0.1 * spread
     with pytest.raises(ValueError):
         cre.posterior(events, -1.0, 1.0)
+
+
+def test_sums_over_draws_leave_nothing_behind(spark, panel, tmp_path_factory, monkeypatch):
+    """Slices of draws write no table of all rows each, and give the same as sums that wait in the shared folder because their solutions are too large to wait."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    import os
+    import pickle
+
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = lambda: sum(len(names) for _, _, names in os.walk(folder))
+    rows = C.Rows(spark.createDataFrame(panel), ["c"], ["x"])
+    system = C.System(rows, dense=0)
+    monkeypatch.setattr(C, "COLUMNS", 4)
+    whole = {r.g: pickle.loads(r.kept) for r in C.drawn_leverages(rows, system, 12, (1,)).collect()}
+    assert files() == 0
+    monkeypatch.setattr(C, "HELD", 0)
+    parts = {r.g: pickle.loads(r.kept) for r in C.drawn_leverages(rows, system, 12, (1,)).collect()}
+    assert set(whole) == set(parts)
+    for g, kept in whole.items():
+        assert all(np.allclose(kept[k], parts[g][k]) for k in ("lever", "factor"))
+    rows.close()
+
+
+def test_few_rows_for_many_places():
+    """Sums by place: rows without a place, repeated places, more places than rows and fewer, values of one and others."""
+    rng = np.random.default_rng(4)
+    for size in (7, 500):
+        idx, val = rng.integers(-1, size, (60, 2)), rng.normal(size=(60, 2))
+        val[:, 0] = 1
+        val[idx < 0] = 0
+        rows, x = rng.normal(size=(60, 3)), rng.normal(size=(size, 3))
+        dense = np.zeros((60, size + 1))
+        for k in range(2):
+            dense[np.arange(60), idx[:, k]] += val[:, k]
+        into = np.ones((size, 3))
+        C.gathered(into, idx, val, rows)
+        assert np.allclose(into - 1, (dense.T @ rows)[:size]) and np.allclose(C.spread(idx, val, x), dense[:, :size] @ x)

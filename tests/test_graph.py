@@ -144,3 +144,55 @@ def test_strong_components(spark):
     x = spark.createDataFrame([(*r, 0.0) for r in rows], "i long, j long, t long, y double")
     assert sorted(r[1] for r in graph.largest_strongly_connected(x).collect()) == [1, 1, 2, 2, 2]
     assert graph.strong_components(spark.createDataFrame([], "j1 long, j2 long")).count() == 0
+
+
+def test_cores_keep_what_can_be_taken_away():
+    """Any link, worker or firm taken away leaves the firms of a core in the same components as those of all links; cores of parts put together too."""
+    import numpy as np
+
+    rng = random.Random(11)
+
+    def firms_apart(links, n):
+        of = parts({(i, j) for i, j in links} | {(("f", j), j) for j in range(n)})
+        return [of[("f", j), j] for j in range(n)]
+
+    def arrays(links):
+        links = sorted(links)
+        code = {i: k for k, i in enumerate(dict.fromkeys(i for i, _ in links))}
+        return np.array([code[i] for i, _ in links], int), np.array([j for _, j in links], int), links
+
+    for size, n, workers in ((2, 9, 12), (3, 8, 10), (4, 10, 9), (2, 14, 15), (3, 12, 30)) * 4:
+        links = {(i, j) for i in range(workers) for j in rng.sample(range(n), rng.randint(2, size + 1))}
+        half = [{x for x in links if x[0] % 2 == k} for k in (0, 1)]
+        units, pairs = set(), []
+        for own in half:
+            who, j, rows = arrays(own)
+            units |= {x for x, kept in zip(rows, graph.core_of_units(who, j, n)) if kept}
+            pairs += graph.core_of_firms(who, j, n).T.tolist()
+        who, j, rows = arrays(units)
+        units = {x for x, kept in zip(rows, graph.core_of_units(who, j, n)) if kept}
+        again = graph.core_of_firms(np.repeat(np.arange(len(pairs)), 2), np.array([sorted(p) for p in pairs]).ravel(), n).T.tolist()
+        assert len({i for i, _ in units}) <= 2 * (n - 1) and len(again) <= 2 * (n - 1)
+        tied = {(("p", k), j) for k, p in enumerate(again) for j in p}
+        for x in links:
+            assert firms_apart(units - {x}, n) == firms_apart(links - {x}, n)
+            assert firms_apart({y for y in units if y[0] != x[0]}, n) == firms_apart({y for y in links if y[0] != x[0]}, n)
+        for s in range(n):
+            assert firms_apart({x for x in tied if x[1] != s}, n) == firms_apart({x for x in links if x[1] != s}, n)
+
+
+@pytest.mark.parametrize("unit", ["match", "worker", "firm"])
+def test_many_workers_few_firms(spark, unit, tmp_path_factory, monkeypatch):
+    """Sets of many workers are searched in a core that grows with the firms: little is written, in many small steps too, and what hangs by one link, worker or firm goes."""
+    import os
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    monkeypatch.setattr(graph, "LINKS", 300)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(10), t) for i in range(4000) for t in range(3)]
+    rows += [(9000 + k, 20 + (k + d) % 3, d) for k in range(6) for d in range(2)] + [(9100, 0, 0), (9100, 20, 1)]  # three firms that hang by one worker, and by firms 0 and 20
+    got = {tuple(r) for r in graph.leave_out(spark.createDataFrame(rows, "i long, j long, t long"), unit).collect()}
+    assert got == {r for r in rows if (0 < r[1] < 10 if unit == "firm" else r[1] < 10 and r[0] != 9100)}
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    assert size < 250_000, size

@@ -83,3 +83,21 @@ def test_zigzag(spark, tmp_path):
     x = spark.createDataFrame(df)
     got = fe.zigzag(x).orderBy("j").toPandas()["psi_hat"]
     assert np.allclose(got, fe.solve(fe.match_table(x)).psi, atol=1e-6)
+
+
+def test_zigzag_writes_no_rounds(spark, tmp_path):
+    """Rounds leave no tables behind; firms named by strings, weights, rows without a firm."""
+    import os
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = np.random.default_rng(6)
+    i, j = np.repeat(np.arange(80), 3), rng.integers(0, 6, 240)
+    own = pd.DataFrame({"i": i, "j": [f"f{k}" for k in j], "y": rng.normal(size=240) + j, "w": rng.integers(1, 4, 240).astype(float)})
+    own.loc[5, "j"] = None
+    got = fe.zigzag(spark.createDataFrame(own)).orderBy("j").toPandas()
+    kept = own.dropna()
+    a = np.concatenate([pd.get_dummies(kept["i"]).to_numpy(float), pd.get_dummies(kept["j"]).to_numpy(float)[:, 1:]], axis=1)
+    root = np.sqrt(kept["w"].to_numpy())
+    beta = np.linalg.lstsq(a * root[:, None], kept["y"].to_numpy() * root, rcond=None)[0]
+    assert list(got["j"]) == [f"f{k}" for k in range(6)] and np.allclose(got["psi_hat"], np.r_[0, beta[-5:]], atol=1e-6)
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names]

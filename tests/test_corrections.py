@@ -256,3 +256,26 @@ def test_few_rows_for_many_places():
         into = np.ones((size, 3))
         C.gathered(into, idx, val, rows)
         assert np.allclose(into - 1, (dense.T @ rows)[:size]) and np.allclose(C.spread(idx, val, x), dense[:, :size] @ x)
+
+
+def test_posterior_writes_events_once(spark, panel, tmp_path_factory):
+    """What the posterior reads several times is made once, and its files go at the end."""
+    import os
+
+    from duopanel.operators import cre, panel as P
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    x = panel.assign(g=panel["j"].str[1:].astype(int) % 3)[["i", "j", "t", "y", "g"]]
+    events = P.cross_section(P.event_study(P.collapse(spark.createDataFrame(x), "spell").select("i", "j", F.col("t1").alias("t"), "y", "g")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for own in batches:
+            seen.add(len(own))
+            yield own
+
+    n = events.count()
+    got = cre.posterior(events.mapInPandas(count, events.schema), 0.4, 0.7).first()
+    assert seen.value == n and got["posterior_var"] > 0
+    assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")) == 0
